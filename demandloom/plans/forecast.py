@@ -538,3 +538,31 @@ SELECT product, CAST(k AS BIGINT) AS step, {_DATE}, round(greatest(s + last_seas
 def m14(spark, sf_dir):
     """Seasonal difference, then the model above."""
     return model_rows(spark, sf_dir, sm.seasonal_ari)
+
+
+def _pooled_rows(spark, sf_dir, estimator):
+    from demandloom.operators import trees
+
+    series = product_series(spark, sf_dir)
+    made = trees.roll_pooled(trees.fit_pooled(series, ["product"], estimator), series, ["product"], HORIZON)
+    out = made.select("product", F.posexplode("forecast").alias("k", "v"))
+    return out.select(
+        "product", F.col("k").cast("bigint").alias("step"),
+        F.add_months(F.lit(START).cast("date"), F.col("k")).alias("forecast_date"), F.round("v", 4).alias("forecast"),
+    )
+
+
+@job("m11_random_forest")
+def m11(spark, sf_dir):
+    """One forest over the lag rows of all products."""
+    from demandloom.operators import trees
+
+    return _pooled_rows(spark, sf_dir, trees.forest(n_estimators=20, max_depth=6))
+
+
+@job("m12_gradient_boosting")
+def m12(spark, sf_dir):
+    """One boosted ensemble over the lag rows of all products."""
+    from demandloom.operators import trees
+
+    return _pooled_rows(spark, sf_dir, trees.boosting(n_estimators=10, max_depth=4))
