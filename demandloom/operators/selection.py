@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions import seriesmath as sm
-from demandloom.functions.scalars import let
+from demandloom.functions.scalars import let, steady_round
 from demandloom.operators.totals import first_rows
 
 # Metrics where more is better, and the bounds of a published value.
@@ -34,12 +34,11 @@ def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], hori
             F.struct(train.alias("v"), F.greatest(held, F.lit(1)).alias("h")),
             F.struct(whole.alias("v"), F.lit(horizon).alias("h")),
         )
-        made = []
-        for name in models:
-            fn = sm.MODELS[name]
-            out = F.transform(runs, lambda r, fn=fn, name=name: fn(r["v"], r["h"], **options.get(name, {})))
-            made.append(F.struct(F.lit(name).alias("algorithm"), out.alias("f")))
-        return F.array(*made)
+
+        def both_runs(name: str) -> Column:
+            return F.transform(runs, lambda r: sm.MODELS[name](r["v"], r["h"], **options.get(name, {})))
+
+        return F.array(*[F.struct(F.lit(m).alias("algorithm"), both_runs(m).alias("f")) for m in models])
 
     base = series.select(*keys, "periods", "ys", F.size("ys").alias("n"), cut.alias("cut"))
     held = F.col("n") - F.col("cut")
@@ -101,7 +100,7 @@ def best_fit(scored: DataFrame, keys: Sequence[str], metric: str = "mape", top:
         )
 
     def ensemble(rows: Column) -> Column:
-        means = [sm.mean(F.transform(rows, lambda r, c=c: r[c])) for c in names]
+        means = [sm.mean(rows[c]) for c in names]
         return F.struct(
             (means[names.index(metric)] * sign).alias("rank_value"), F.lit("ensemble").alias("algorithm"),
             blend(rows, "forecast").alias("forecast"), blend(rows, "test_forecast").alias("test_forecast"),
@@ -131,7 +130,7 @@ def published(c: Column, cap: float = VALUE_CAP) -> Column:
 
 
 def flat_band(c: Column, pct: float = 0.1) -> tuple[Column, Column]:
-    return F.round(c * (1 - pct), 4), F.round(c * (1 + pct), 4)
+    return steady_round(c * (1 - pct), 4), steady_round(c * (1 + pct), 4)
 
 
 def result_rows(scored: DataFrame, keys: Sequence[str], start: str, metric: str = "mape", cap: float = VALUE_CAP) -> DataFrame:

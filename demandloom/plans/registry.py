@@ -11,7 +11,7 @@ from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("totals", "forecast")
+MODULES = ("totals", "forecast", "choose")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
