@@ -34,3 +34,19 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+def cut_lineage(df):
+    """Reliable checkpoint in the shared folder the cluster names; a temporary one only where none is set."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        context.setCheckpointDir(folder)
+    elif context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
