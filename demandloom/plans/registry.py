@@ -11,7 +11,7 @@ from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("landing", "totals", "forecast", "choose")
+MODULES = ("landing", "totals", "forecast", "choose", "records")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
