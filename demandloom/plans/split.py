@@ -56,6 +56,12 @@ def d2(spark, sf_dir):
     return out.withColumn("allocation_factor", F.round("allocation_factor", 8))
 
 
+@job("c3_target_source", with_views("dp_sales_ratio", then="SELECT product, location, period, target_total, source_total FROM dp_sales_ratio"))
+def c3(spark, sf_dir):
+    """Target totals next to the totals of their source group and period."""
+    return ops.split_ratios(_flat(spark, sf_dir), SOURCE, TARGET, interval="QUARTERLY").drop("allocation_factor")
+
+
 add_view(
     "dp_granular",
     """
