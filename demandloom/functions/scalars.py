@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Cell texts that mean "missing" in an uploaded sheet.
 MISSING_TEXTS = ["", "nan", "null", "none"]
 
+# Texts that read as a number.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf(inity)?|nan)\s*$"
+
 # Calendar unit of each interval; anything else reads as a month.
 INTERVAL_UNITS = {
     "DAILY": "DAY",
@@ -27,8 +30,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trim; texts that mean missing become NULL."""
-    t = F.trim(c)
-    return F.when(~F.lower(t).isin(MISSING_TEXTS), t)
+    return F.when(~F.lower(F.trim(c)).isin(MISSING_TEXTS), F.trim(c))
+
+
+def to_number(c: Column, kind: str = "double") -> Column:
+    """Number in a text, else NULL. The pattern goes first: a failed cast costs an exception per row."""
+    return F.when(c.rlike(NUMBER), c.try_cast(kind))
 
 
 def period_start(d: Column, interval: str = "MONTHLY", legacy: bool = False) -> Column:
@@ -76,9 +83,10 @@ def natural_key(cols: Iterable[str]) -> Column:
 
 def erp_date(c: Column) -> Column:
     """``/Date(ms)/`` or an ISO prefix to a date, else NULL. Independent of the time zone."""
-    ms = F.regexp_extract(c, r"Date\((-?[0-9]+)\)", 1).try_cast("bigint")
+    stamp = r"Date\((-?[0-9]{1,15})\)"
+    ms = F.regexp_extract(c, stamp, 1).cast("bigint")
     epoch = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86400000).cast("int"))
-    return F.coalesce(epoch, iso_date(c))
+    return F.when(c.rlike(stamp), epoch).otherwise(iso_date(c))
 
 
 def iso_date(c: Column) -> Column:

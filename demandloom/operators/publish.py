@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandloom.session import cut_lineage
 
@@ -74,8 +75,7 @@ def duplicate_running(new: DataFrame, running: DataFrame, request: str = "reques
     return new.withColumn("request_key", key(new)).join(known, "request_key", "left_semi").drop("request_key")
 
 
-@F.pandas_udf("string")
-def _redact_nested(texts: pd.Series) -> pd.Series:
+def _redact_texts(texts: pd.Series) -> pd.Series:
     def walk(v):
         if isinstance(v, dict):
             return {k: REDACTED if k.lower() in SENSITIVE_KEYS else walk(x) for k, x in v.items()}
@@ -102,7 +102,8 @@ def redact(payload: str) -> Column:
     scalar = rf'(?i)"({keys})"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9][-+0-9.eE]*|true|false|null)'
     hard = F.col(payload).rlike(rf'(?i)"({keys})"\s*:\s*[\[{{]') | F.col(payload).contains("\\u")
     plain = F.regexp_replace(payload, scalar, f'"$1": "{REDACTED}"')
-    return F.when(hard, _redact_nested(F.when(hard, F.col(payload)))).otherwise(plain)
+    nested = F.pandas_udf(_redact_texts, T.StringType())
+    return F.when(hard, nested(F.when(hard, F.col(payload)))).otherwise(plain)
 
 
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, partitions: int | None = None) -> DataFrame:

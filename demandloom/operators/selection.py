@@ -17,6 +17,9 @@ VALUE_CAP = 999999.9999
 LEGACY_VALUE_CAP = 99999999.999999
 
 
+_built: dict[tuple, tuple[Column, Column]] = {}
+
+
 def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], horizon: int, ratio: float = 0.8, options: dict | None = None) -> DataFrame:
     """Every model on every series: scored on the held-back tail, refitted on the whole.
 
@@ -25,8 +28,6 @@ def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], hori
     one narrow stage (train part and whole), so the stage holds each model once and nothing
     is shuffled. Series under four points are scored in sample on their fitted line.
     """
-    n = F.size("ys")
-    cut = sm.train_length(n, ratio)
     options = options or {}
 
     def results(train: Column, whole: Column, held: Column) -> Column:
@@ -40,21 +41,35 @@ def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], hori
 
         return F.array(*[F.struct(F.lit(m).alias("algorithm"), both_runs(m).alias("f")) for m in models])
 
-    base = series.select(*keys, "periods", "ys", F.size("ys").alias("n"), cut.alias("cut"))
+    base = series.select(*keys, "periods", "ys", F.size("ys").alias("n"), sm.train_length(F.size("ys"), ratio).alias("cut"))
     held = F.col("n") - F.col("cut")
-    made = base.withColumn("m", F.explode(results(sm.head(F.col("ys"), F.col("cut")), F.col("ys"), held)))
     test = F.when(held > 0, F.slice("ys", F.col("cut") + 1, F.greatest(held, F.lit(1))))
     in_sample = F.col("n") == F.col("cut")
+
+    def build() -> tuple[Column, Column]:
+        scores = sm.score(
+            F.when(in_sample, F.col("ys")).otherwise(test),
+            F.when(in_sample, sm.linear_fitted(F.col("ys"))).otherwise(F.element_at("m.f", 1)),
+        )
+        return results(sm.head(F.col("ys"), F.col("cut")), F.col("ys"), held), scores
+
+    # The expressions name only columns of this function, so jobs of a session share them.
+    app = series.sparkSession.sparkContext.applicationId
+    key = None if options else (app, tuple(models), horizon)
+    if key is None or key not in _built:
+        made_of, scores = build()
+        if key:
+            _built[key] = made_of, scores
+    else:
+        made_of, scores = _built[key]
+    made = base.withColumn("m", F.explode(made_of))
     return made.select(
         *keys, F.col("m.algorithm").alias("algorithm"), "n", held.alias("test_periods"),
         F.when(held > 0, F.slice("periods", F.col("cut") + 1, F.greatest(held, F.lit(1)))).alias("test_dates"),
         test.alias("test_actual"),
         F.when(~in_sample, F.element_at("m.f", 1)).alias("test_forecast"),
         F.element_at("m.f", 2).alias("forecast"),
-        sm.score(
-            F.when(in_sample, F.col("ys")).otherwise(test),
-            F.when(in_sample, sm.linear_fitted(F.col("ys"))).otherwise(F.element_at("m.f", 1)),
-        ).alias("metrics"),
+        scores.alias("metrics"),
     ).select("*", "metrics.*").drop("metrics")
 
 

@@ -47,7 +47,7 @@ def _every(k: int) -> Column:
 def landed(spark, sf_dir, meta: bool = True):
     cols = [*star.DIMS, "sale_date", "quantity", "sales_id"]
     raw = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
-    df = star.sales_flat(spark, sf_dir, cols, raw)
+    df = star.sales_flat(spark, sf_dir, cols, raw, heavy=True)
     text = {
         "product": F.when(_every(2), F.concat(F.lit("  "), "product", F.lit(" "))).otherwise(F.col("product")),
         "product_group": F.col("product_group"),
@@ -315,7 +315,7 @@ ERP_SCHEMA = "CUSTID string, PRDID string, LOCID string, ACTUALSQTY string, PERI
 
 def responses(spark, sf_dir):
     """ERP responses, one per line, in the three envelopes the service uses."""
-    df = star.sales_flat(spark, sf_dir, ["product", "customer", "location", "sale_date", "quantity", "sales_id"], ["l_orderkey", "l_extendedprice"])
+    df = star.sales_flat(spark, sf_dir, ["product", "customer", "location", "sale_date", "quantity", "sales_id"], ["l_orderkey", "l_extendedprice"], heavy=True)
     days = F.datediff("sale_date", F.lit("1970-01-01").cast("date")).cast("bigint")
     stamp = (
         F.when(_every(3), F.concat(F.lit("/Date("), (days * 86400000).cast("string"), F.lit(")/")))

@@ -25,10 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales_flat(spark: SparkSession, sf_dir: str, columns: list[str], extra: list[str] = ()) -> DataFrame:
-    """Fact rows with the asked dimension columns; ``extra`` passes raw line columns through."""
+def sales_flat(spark: SparkSession, sf_dir: str, columns: list[str], extra: list[str] = (), heavy: bool = False) -> DataFrame:
+    """Fact rows with the asked dimension columns; ``extra`` passes raw line columns through.
+
+    ``heavy`` announces costly row work and spreads a table of few files.
+    """
     need = set(columns)
     df = table(spark, sf_dir, "lineitem")
+    if heavy:
+        df = spread(df, *LINE_KEYS)
     if need & _PART:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
         df = df.join(part, df.l_partkey == part.p_partkey)
@@ -65,6 +70,19 @@ def sales_flat(spark: SparkSession, sf_dir: str, columns: list[str], extra: list
     return df.select(*[made[c]().alias(c) for c in columns], *extra)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table in fewer files than there are cores, spread for heavy row work.
+
+    A table of many files is left as it is: no shuffle there. The keys identify a row, so
+    the spread is even and the same on every attempt.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def master(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Dimension rows, one per master_id."""
     return sales_flat(spark, sf_dir, ["master_id", *(columns or DIMS)]).distinct()

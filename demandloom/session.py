@@ -12,6 +12,9 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
+    # The JVM does not compile methods above 8000 bytecodes; wide row expressions then run
+    # interpreted. Beyond the limit Spark splits the projection into methods that compile.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -30,6 +33,9 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Static: expressions are built in bulk, and recording a call site for each one
+        # costs more than the rest of the planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandloom.functions.scalars import to_number
+
 # Spark type of each catalogue type.
 TYPES = {
     "Char": T.StringType(),
@@ -87,7 +89,10 @@ class Catalogue:
 def typed_load(df: DataFrame, catalogue: Catalogue, keep: Sequence[str] = ()) -> DataFrame:
     """Landed text to catalogue types. A cell that does not parse is NULL and named in ``rejected``."""
     schema = {f.name: f.dataType for f in catalogue.schema().fields if f.name in df.columns}
-    typed = {n: F.col(n).try_cast(t) for n, t in schema.items()}
+    typed = {
+        n: to_number(F.col(n), t.simpleString()) if isinstance(t, T.DecimalType) else F.col(n).try_cast(t)
+        for n, t in schema.items()
+    }
     failed = [F.when(F.col(n).isNotNull() & typed[n].isNull(), F.lit(n)) for n in schema]
-    rejected: Column = F.array_join(F.array_compact(F.array(*failed)), ",")
+    rejected: Column = F.concat_ws(",", *failed)
     return df.select(*keep, *[c.alias(n) for n, c in typed.items()], rejected.alias("rejected"))

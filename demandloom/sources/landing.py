@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.functions.scalars import clean_text, erp_date, iso_date
+from demandloom.functions.scalars import clean_text, erp_date, iso_date, to_number
 from demandloom.sources.catalogue import Catalogue
 
 # Header names a sheet may use for the date and the price.
@@ -96,21 +96,20 @@ def validate_sales(df: DataFrame) -> DataFrame:
 
     Validation looks at one row at a time, so a batch never has to fail as a whole.
     """
-    date = F.coalesce(F.col("date").try_cast("date"), F.lit(None).cast("date"))
-    qty = F.when(F.col("quantity").isNull(), F.lit(0.0)).otherwise(F.col("quantity").try_cast("double"))
-    errors = F.array_compact(
-        F.array(
-            F.when(F.col("date").isNull(), "Date cannot be empty").when(date.isNull(), "Invalid date format"),
-            F.when(qty.isNull(), "Invalid quantity").when(qty < 0, "Quantity cannot be negative"),
-        )
+    date = F.col("date").try_cast("date")
+    qty = F.when(F.col("quantity").isNull(), F.lit(0.0)).otherwise(to_number(F.col("quantity")))
+    errors = F.concat_ws(
+        "; ",
+        F.when(F.col("date").isNull(), "Date cannot be empty").when(date.isNull(), "Invalid date format"),
+        F.when(qty.isNull(), "Invalid quantity").when(qty < 0, "Quantity cannot be negative"),
     )
     return df.withColumns(
         {
-            "errors": F.array_join(errors, "; "),
+            "errors": errors,
             "date": date,
             "quantity": qty,
             "uom": F.coalesce(F.substring("uom", 1, 20), F.lit("EACH")),
-            "unit_price": F.col("unit_price").try_cast("double"),
+            "unit_price": to_number(F.col("unit_price")),
         }
     )
 
@@ -161,7 +160,7 @@ def typed_by_name(df: DataFrame) -> DataFrame:
         if low.endswith("_tstamp") or "date" in low:
             return erp_date(F.col(name).cast("string"))
         if low.endswith("qty") or "quantity" in low:
-            return F.col(name).cast("string").try_cast("double")
+            return to_number(F.col(name).cast("string"))
         return F.col(name)
 
     return df.select(*[typed(c).alias(c) for c in df.columns])
@@ -178,10 +177,10 @@ def split_records(
     date = next(s for s, t in fact.items() if t == "date")
     price = next((s for s, t in fact.items() if t == "unit_price"), None)
     named = [F.col(s).cast("string").alias(t) for s, t in dims.items()]
-    quantity = F.when(F.col(qty).isNotNull(), F.coalesce(F.col(qty).cast("string").try_cast("double"), F.lit(0.0)))
+    quantity = F.when(F.col(qty).isNotNull(), F.coalesce(to_number(F.col(qty).cast("string")), F.lit(0.0)))
     facts = df.select(
         *named, erp_date(F.col(date).cast("string")).alias("date"), quantity.alias("quantity"),
-        (F.col(price).cast("string").try_cast("double") if price else F.lit(None).cast("double")).alias("unit_price"),
+        (to_number(F.col(price).cast("string")) if price else F.lit(None).cast("double")).alias("unit_price"),
         (F.coalesce(F.col("UOMTOID"), F.lit(uom)) if "UOMTOID" in df.columns else F.lit(uom)).alias("uom"),
     )
     return df.select(*named).distinct(), facts
@@ -203,20 +202,18 @@ def observations(df: DataFrame, payload: str = "payload", keep: Sequence[str] =
     """Economic observations of landed responses; missing values (``.``) and bad dates drop out."""
     parsed = F.from_json(payload, "observations array<struct<date string, value string>>")
     rows = df.select(*keep, F.explode(parsed["observations"]).alias("o"))
-    out = rows.select(*keep, iso_date(F.col("o.date")).alias("factor_date"), F.col("o.value").try_cast("double").alias("factor_value"))
+    out = rows.select(*keep, iso_date(F.col("o.date")).alias("factor_date"), to_number(F.col("o.value")).alias("factor_value"))
     return out.where("factor_date IS NOT NULL AND factor_value IS NOT NULL")
 
 
 def validate_factors(df: DataFrame) -> DataFrame:
     """Factor sheet cells to typed rows with an ``errors`` text."""
     name, date = clean_text(F.col("factor_name")), F.col("factor_date").try_cast("date")
-    value = F.col("factor_value").try_cast("double")
-    errors = F.array_compact(
-        F.array(
-            F.when(name.isNull(), "Factor Name is required"), F.when(date.isNull(), "Invalid date"),
-            F.when(value.isNull(), "Invalid value"),
-        )
+    value = to_number(F.col("factor_value"))
+    errors = F.concat_ws(
+        "; ", F.when(name.isNull(), "Factor Name is required"), F.when(date.isNull(), "Invalid date"),
+        F.when(value.isNull(), "Invalid value"),
     )
     return df.withColumns(
-        {"errors": F.array_join(errors, "; "), "factor_name": name, "factor_date": date, "factor_value": value}
+        {"errors": errors, "factor_name": name, "factor_date": date, "factor_value": value}
     )
