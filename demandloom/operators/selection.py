@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import seriesmath as sm
@@ -188,3 +188,17 @@ def best_mapping(results: DataFrame, keys: Sequence[str], mapping: str = "mappin
     up = F.lit(legacy_rank) | F.lower(F.col("metric_name")).isin(sorted(HIGHER_IS_BETTER))
     ranked = scored.withColumn("_v", F.when(up, F.col("avg_metric")).otherwise(-F.col("avg_metric")))
     return first_rows(ranked, keys, [F.col("_v").desc_nulls_last(), F.col(mapping)]).drop("_v")
+
+
+def rows_of_best(results: DataFrame, run: str = "run_id", mapping: str = "mapping_id", legacy_rank: bool = False) -> DataFrame:
+    """Result rows of each run's best mapping in one pass, so the results are computed once.
+
+    A run holds as many rows as it has models and dates, so both windows stay small; they
+    share one exchange on the run.
+    """
+    per_mapping, per_run = Window.partitionBy(run, mapping), Window.partitionBy(run)
+    up = F.lit(legacy_rank) | F.lower(F.max("metric_type").over(per_mapping)).isin(sorted(HIGHER_IS_BETTER))
+    avg = F.avg("accuracy_metric").over(per_mapping)
+    ranked = results.repartition(run).withColumns({"avg_metric": avg, "_cost": F.when(up, -avg).otherwise(avg)})
+    best = F.min(F.struct(F.col("_cost").isNull(), "_cost", mapping).alias("b")).over(per_run)
+    return ranked.withColumn("_best", best[mapping]).where(F.col(mapping) == F.col("_best")).drop("_best", "_cost")

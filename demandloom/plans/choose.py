@@ -435,8 +435,7 @@ def forecast_data(spark, sf_dir):
 
 def publishable(spark, sf_dir, res):
     """Future rows of every run's best model as fact rows."""
-    best = sel.best_mapping(res, ["run_id"]).select("mapping_id")
-    future = res.where("result_type = 'future_forecast'").join(best, "mapping_id", "left_semi")
+    future = sel.rows_of_best(res).where("result_type = 'future_forecast'")
     entity = future.select(
         F.get_json_object("metadata", "$.entity_filter.product").alias("product"), F.col("result_date").alias("forecast_date"),
         F.col("value").alias("quantity"),

@@ -57,17 +57,14 @@ JOIN (SELECT mapping_id, min(result_date) AS forecast_start, max(result_date) AS
 )
 def k3(spark, sf_dir):
     """Best model, its score, the factor list from the filters JSON and the forecast span per run."""
-    res = results(spark, sf_dir)
-    best = sel.best_mapping(res, ["run_id"])
     filters = F.to_json(F.struct(F.array(F.lit("urgent"), F.lit("high")).alias("selected_external_factors")))
     listed = F.from_json(F.get_json_object(filters, "$.selected_external_factors"), "array<string>")
-    future = F.col("result_type") == "future_forecast"
-    span = res.groupBy("mapping_id", "algorithm_id").agg(
-        F.min(F.when(future, F.col("result_date"))).alias("forecast_start"), F.max(F.when(future, F.col("result_date"))).alias("forecast_end")
+    ahead = F.when(F.col("result_type") == "future_forecast", F.col("result_date"))
+    best = sel.rows_of_best(results(spark, sf_dir)).groupBy("run_id", "algorithm_id").agg(
+        F.round(F.max("avg_metric"), 4).alias("avg_metric"), F.min(ahead).alias("forecast_start"), F.max(ahead).alias("forecast_end")
     )
-    return best.join(span, "mapping_id").join(algorithms(spark), "algorithm_id").select(
-        "run_id", "algorithm_name", F.round("avg_metric", 4).alias("avg_metric"), F.array_join(listed, ",").alias("external_factors"),
-        "forecast_start", "forecast_end",
+    return best.join(algorithms(spark), "algorithm_id").select(
+        "run_id", "algorithm_name", "avg_metric", F.array_join(listed, ",").alias("external_factors"), "forecast_start", "forecast_end"
     )
 
 
@@ -191,9 +188,7 @@ def k6(spark, sf_dir):
     ),
 )
 def k7(spark, sf_dir):
-    res = results(spark, sf_dir)
-    best = sel.best_mapping(res, ["run_id"]).select("mapping_id")
-    rows = res.where("result_type <> 'testing_actual'").join(best, "mapping_id", "left_semi")
+    rows = sel.rows_of_best(results(spark, sf_dir)).where("result_type <> 'testing_actual'")
     return rows.select("run_id", "result_date", "result_type", F.col("value").alias("forecast_quantity"))
 
 

@@ -77,9 +77,8 @@ TRACKING = ["type", "disaggregation_level", "source_aggregation_level", "source_
 
 def granular(spark, sf_dir):
     """Every run's best future forecast on master rows of the target level."""
-    res = results(spark, sf_dir)
-    best = sel.best_mapping(res, ["run_id"]).select("mapping_id")
-    future = res.where("result_type = 'future_forecast'").join(best, "mapping_id", "left_semi").select(
+    best = sel.rows_of_best(results(spark, sf_dir))
+    future = best.where("result_type = 'future_forecast'").select(
         F.get_json_object("metadata", "$.entity_filter.product").alias("product"), F.col("result_date").alias("plan_date"),
         F.col("value").alias("quantity"), F.col("run_id").alias("source_forecast_run_id"),
     )

@@ -71,13 +71,13 @@ def sales_flat(spark: SparkSession, sf_dir: str, columns: list[str], extra: list
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a table in fewer files than there are cores, spread for heavy row work.
+    """Rows of a table in fewer splits than there are cores, spread for heavy row work.
 
-    A table of many files is left as it is: no shuffle there. The keys identify a row, so
+    A table of many splits is left as it is: no shuffle there. The keys identify a row, so
     the spread is even and the same on every attempt.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
