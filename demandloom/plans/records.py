@@ -498,14 +498,15 @@ _SEEDED_SQL = ", alg(algorithm_id, algorithm_name) AS (VALUES " + ", ".join(f"({
         then=_SEEDED_SQL + """
 , ids AS (SELECT *, unnest(CASE WHEN o_orderkey % 3 = 0 OR a1 = a2 THEN [a1] ELSE [a1, a2] END) AS algorithm_id FROM dp_jobs
   WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '2000-12-31')
-SELECT job_id, created_by, ids.algorithm_id, algorithm_name, created_at + INTERVAL 330 MINUTE AS created_local FROM ids LEFT JOIN alg ON ids.algorithm_id = alg.algorithm_id""",
+SELECT job_id, created_by, ids.algorithm_id, algorithm_name, strftime(created_at + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') AS created_local FROM ids LEFT JOIN alg ON ids.algorithm_id = alg.algorithm_id""",
     ),
 )
 def x8(spark, sf_dir):
     """Jobs of a time range with algorithm names and Indian wall time."""
     names = spark.createDataFrame(list(enumerate(SEEDED, 1)), "algorithm_id int, algorithm_name string")
     out = pub.job_history(jobs(spark, sf_dir), names, "Asia/Kolkata", created_from="1996-01-01 00:00:00", created_to="2000-12-31 00:00:00")
-    return out.select("job_id", "created_by", "algorithm_id", "algorithm_name", "created_local")
+    iso = F.date_format("created_local", "yyyy-MM-dd'T'HH:mm:ss").alias("created_local")
+    return out.select("job_id", "created_by", "algorithm_id", "algorithm_name", iso)
 
 
 @job(
