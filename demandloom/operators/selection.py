@@ -141,7 +141,7 @@ def best_fit(scored: DataFrame, keys: Sequence[str], metric: str = "mape", top:
 
 def published(c: Column, cap: float = VALUE_CAP) -> Column:
     """Clip to the column's range and round to its scale."""
-    return F.round(F.least(F.lit(cap), F.greatest(F.lit(0.0), c)), 4)
+    return steady_round(F.least(F.lit(cap), F.greatest(F.lit(0.0), c)), 4)
 
 
 def flat_band(c: Column, pct: float = 0.1) -> tuple[Column, Column]:
