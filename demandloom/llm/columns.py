@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.session import cut_lineage
+
 GAP = "[ \\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,3 +49,13 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
     """Equi-join on the keys, null equal to null; the keys of ``a`` stay."""
     b = b.withColumnsRenamed({k: f"{k}_b" for k in keys})
     return a.join(b, [a[k].eqNullSafe(b[f"{k}_b"]) for k in keys], how).drop(*[f"{k}_b" for k in keys])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once, as a table in the shared folder of ``spark.checkpoint.dir``, and read from there."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return cut_lineage(df)
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

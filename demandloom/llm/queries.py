@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import linededup, mixing, quality, sharding
+from demandloom.llm import linededup, mixing, quality, sharding, tokencount, urlfilter
 from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +44,16 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_quality_rules, op7_line_dedup, op9_source_mixing, op10_histogram_sharding)}
+def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer``: path of the vocabulary file; by default that of the installed package."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
 ORACLES: dict[str, str] = {}
