@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import linededup, mixing, quality, sharding, tokencount, urlfilter
+from demandloom.llm import jaccard, linededup, mixing, quality, sharding, tokencount, urlfilter
 from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken_rules", ",").alias("broken_rules"))
@@ -55,5 +59,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_jaccard_join, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
 ORACLES: dict[str, str] = {}
