@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import jaccard, linededup, mixing, quality, sharding, tokencount, urlfilter
+from demandloom.llm import decontaminate, jaccard, linededup, mixing, quality, sharding, tokencount, urlfilter
 from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "items")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """``tokenizer``: path of the vocabulary file; by default that of the installed package."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,5 +65,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op4_jaccard_join, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_template_decontamination, op2_token_counts, op4_jaccard_join, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
 ORACLES: dict[str, str] = {}
