@@ -4,27 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.llm.mixing import mixed
-from demandloom.llm.sharding import shard
+from demandloom.llm import decontaminate, jaccard, mixing, sharding, toxicity
+from demandloom.llm.columns import stored
+from demandloom.session import tune
+
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labelled ones among them, does not call toxic."""
+    labels = toxicity.categories_of(tune(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.where("NOT rejected").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingles of five words at a similarity of 0.8 link."""
+    tune(spark)
+    return jaccard.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixed(docs)
+    tune(spark)
+    return mixing.mixed(docs)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot."""
-    return shard(docs)
-
-
-STAGES = [("mixing sources to target weights", mix_sources), ("sharding", shard_documents)]
+    tune(spark)
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", shard_documents),
+]
+#: SQL cannot express trained models and linked groups of hashed sets.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages in turn over documents, with a stored table between two stages."""
+    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, stored(docs) if i else docs, sf_dir)
     return docs
