@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import decontaminate, jaccard, linededup, mixing, pii, quality, sharding, tokencount, toxicity, urlfilter
+from demandloom.llm import decontaminate, jaccard, linededup, mixing, pii, quality, sharding, sql, tokencount, toxicity, urlfilter
 from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,4 +78,6 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_template_decontamination, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_pii, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
-ORACLES: dict[str, str] = {}
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for line in quality.STOP_WORDS.values() for w in line.split()}))
+#: Trained models, linked groups, span positions, token pieces and the CRC are out of reach of SQL.
+ORACLES: dict[str, str] = {"op6_quality_rules": sql.OP6.replace("{stop}", _STOP), "op7_line_dedup": sql.OP7, "op9_source_mixing": sql.OP9}
