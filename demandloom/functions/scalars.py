@@ -11,7 +11,18 @@ from pyspark.sql import functions as F
 MISSING_TEXTS = ["", "nan", "null", "none"]
 
 # Texts that read as a number.
-NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf(inity)?|nan)\s*$"
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?)\s*$"
+
+# Spellings of a date after its separators are made slashes, month before day.
+DATE_SHAPES = [
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}/[A-Za-z]{3}/\d{4}$", "d/MMM/y"),
+    (r"^\d{1,2}/[A-Za-z]{4,}/\d{4}$", "d/MMMM/y"),
+    (r"^[A-Za-z]{3}/\d{1,2}/\d{4}$", "MMM/d/y"),
+    (r"^[A-Za-z]{4,}/\d{1,2}/\d{4}$", "MMMM/d/y"),
+]
 
 # Calendar unit of each interval; anything else reads as a month.
 INTERVAL_UNITS = {
@@ -34,8 +45,28 @@ def clean_text(c: Column) -> Column:
 
 
 def to_number(c: Column, kind: str = "double") -> Column:
-    """Number in a text, else NULL. The pattern goes first: a failed cast costs an exception per row."""
-    return F.when(c.rlike(NUMBER), c.try_cast(kind))
+    """Finite number in a text, else NULL. The pattern goes first: a failed cast costs an exception per row."""
+    made = F.when(c.rlike(NUMBER), c.try_cast(kind))
+    return F.when(F.abs(made) < F.lit(float("inf")), made) if kind == "double" else made
+
+
+def to_date(c: Column, day_first: bool = False) -> Column:
+    """Date in a text, else NULL: ISO, with slashes, dots or dashes, compact, or with an English month; a time is cut off.
+
+    The shape of the text picks the pattern, so a text is parsed once and a bad one costs no exception.
+    """
+    text = F.initcap(F.lower(F.trim(c)))
+    text = F.regexp_replace(text, r"(?<=\d)[t ]+\d{1,2}:\d{2}.*$", "")
+    text = F.regexp_replace(text, r"[-./, ]+", "/")
+
+    def parsed(s: Column) -> Column:
+        out = F.lit(None).cast("date")
+        for shape, pattern in reversed(DATE_SHAPES):
+            known = "d/M/y" if day_first and pattern == "M/d/y" else pattern
+            out = F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(known)).cast("date")).otherwise(out)
+        return out
+
+    return let(text, parsed)
 
 
 def period_start(d: Column, interval: str = "MONTHLY", legacy: bool = False) -> Column:
@@ -89,6 +120,15 @@ def erp_date(c: Column) -> Column:
     return F.when(c.rlike(stamp), epoch).otherwise(iso_date(c))
 
 
+def erp_moment(c: Column) -> Column:
+    """``/Date(ms)/`` or ISO text to a time without zone, else NULL."""
+    stamp = r"Date\((-?[0-9]{1,15})\)"
+    seconds = F.regexp_extract(c, stamp, 1).try_cast("bigint") / F.lit(1000).cast("decimal(4,0)")
+    none = F.lit(0)
+    since = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, seconds.cast("decimal(18,6)"))
+    return F.when(c.rlike(stamp), since).otherwise(c.try_cast("timestamp_ntz"))
+
+
 def iso_date(c: Column) -> Column:
     head = F.substring(c, 1, 10)
     return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))

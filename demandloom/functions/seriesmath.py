@@ -721,7 +721,7 @@ def train_length(n: Column, ratio: float = 0.8) -> Column:
 
 
 def score(actual: Column, predicted: Column) -> Column:
-    """Accuracy figures of two arrays, cut to the shorter; worst values for unusable input."""
+    """Accuracy figures of two arrays, cut to the shorter; NULL figures for missing, empty or non-finite input."""
 
     def pairs(a: Column, p: Column) -> Column:
         m = F.least(F.size(a), F.size(p))
@@ -742,8 +742,8 @@ def score(actual: Column, predicted: Column) -> Column:
                 mean(F.transform(nonzero, lambda r: F.abs((r["a"] - r["p"]) / r["a"]))) * 100, F.lit(100.0)
             ).alias("mape"),
         )
-        worst = metric_struct(F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-        return F.when(bad, worst).otherwise(let(raw, rounded_metrics))
+        none = metric_struct(*[F.lit(None).cast("double")] * 6)
+        return F.when(~F.coalesce(bad, F.lit(True)), let(raw, rounded_metrics)).otherwise(none)
 
     return let(F.struct(actual.alias("a"), predicted.alias("p")), lambda s: let(pairs(s["a"], s["p"]), figures))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.scalars import erp_moment
+
 # Request keys that steer a job and are not dimension filters.
 CONTROL_KEYS = {"aggregation_level", "interval", "selected_external_factors"}
 
@@ -67,8 +69,12 @@ def _is_iso(value: Any) -> bool:
     return True
 
 
-def condition(field: str, operator: str, value: Any) -> Column:
-    """One ERP filter condition. Texts that start like an ISO date compare as timestamps."""
+def condition(field: str, operator: str, value: Any, kind: str = "date") -> Column:
+    """One ERP filter condition.
+
+    A value that starts like an ISO date compares in time with a field of type ``kind``: a date,
+    a timestamp, or ``string`` for raw ERP text, whose unreadable dates match nothing.
+    """
     c = F.col(field)
     if operator == "in":
         values = value if isinstance(value, (list, tuple)) else [value]
@@ -77,16 +83,24 @@ def condition(field: str, operator: str, value: Any) -> Column:
         raise ValueError(f"unknown operator {operator}")
     if _is_iso(value):
         stamp = value if "T" in value else f"{value}T00:00:00"
-        return _COMPARE[operator](c.cast("timestamp_ntz"), F.lit(stamp).cast("timestamp_ntz"))
+        moment = erp_moment(c) if kind == "string" else c.cast("timestamp_ntz")
+        return _COMPARE[operator](moment, F.lit(stamp).cast("timestamp_ntz"))
     return _COMPARE[operator](c, value)
 
 
-def erp_filter(config: Mapping[str, Any]) -> Column:
+def _condition(kinds: Mapping[str, str], field: str, operator: str, value: Any) -> Column:
+    return condition(field, operator, value, kinds.get(field, "date"))
+
+
+def erp_filter(config: Mapping[str, Any], kinds: Mapping[str, str] | None = None) -> Column:
     """``{field: {op: value}}`` AND-ed, or ``{"and": [...], "or": [...]}`` groups AND-ed together.
 
     Group members are ``(field, op, value)``. Built from plain comparisons, so the scan
-    receives whatever part of it can be pushed down.
+    receives whatever part of it can be pushed down. ``kinds`` gives the type of fields that
+    are not dates already, as ``dict(df.dtypes)`` does.
     """
+    kinds = kinds or {}
+    condition = partial(_condition, kinds)
     if set(config) <= {"and", "or"}:
         parts = []
         if config.get("and"):

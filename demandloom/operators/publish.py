@@ -64,12 +64,23 @@ def job_history(
     return named.withColumn("created_local", in_zone(F.col("created_at"), zone))
 
 
+def canonical_json(text: Column, depth: int = 4) -> Column:
+    """JSON text with the keys of its objects sorted, down to ``depth`` levels."""
+    if depth == 0:
+        return text
+    deeper = lambda v: F.coalesce(canonical_json(v, depth - 1), F.lit("null"))
+    pairs = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), deeper(e["value"])))
+    items = F.transform(F.from_json(text, "array<string>"), deeper)
+    wrap = lambda a, xs, b: F.concat(F.lit(a), F.array_join(xs, ","), F.lit(b))
+    return F.when(F.startswith(text, F.lit("{")), wrap("{", F.sort_array(pairs), "}")).when(F.startswith(text, F.lit("[")), wrap("[", items, "]")).otherwise(text)
+
+
 def duplicate_running(new: DataFrame, running: DataFrame, request: str = "request_data") -> DataFrame:
-    """New jobs whose filters, dates and algorithms equal those of a running one."""
+    """New jobs whose filters, dates and algorithms equal those of a running one, in whatever order their keys stand."""
     parts = ["forecast_filters", "forecast_start", "forecast_end", "algorithms"]
 
     def key(df: DataFrame) -> Column:
-        return F.sha2(F.to_json(F.struct(*[F.get_json_object(request, f"$.{p}").alias(p) for p in parts]), {"ignoreNullFields": "false"}), 256)
+        return F.sha2(F.to_json(F.array(*[F.coalesce(canonical_json(F.get_json_object(request, f"$.{p}")), F.lit("null")) for p in parts])), 256)
 
     known = running.select(key(running).alias("request_key")).distinct()
     return new.withColumn("request_key", key(new)).join(known, "request_key", "left_semi").drop("request_key")

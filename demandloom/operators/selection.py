@@ -8,25 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import seriesmath as sm
-from demandloom.functions.scalars import let, steady_round
+from demandloom.functions.scalars import add_periods, let, steady_round
 from demandloom.operators.totals import first_rows
 
-# Metrics where more is better, and the bounds of a published value.
+# Metrics where more is better.
 HIGHER_IS_BETTER = {"accuracy", "mae_accuracy", "rmse_accuracy"}
-VALUE_CAP = 999999.9999
-LEGACY_VALUE_CAP = 99999999.999999
-
-
-_built: dict[tuple, tuple[Column, Column]] = {}
+METRICS = ["mae", "rmse", "mape", "accuracy", "mae_accuracy", "rmse_accuracy"]
+# The largest values that two generations of the result table could hold, for callers that must fit one.
+RESULT_BOUND, LEGACY_RESULT_BOUND = 999999.9999, 99999999.999999
 
 
 def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], horizon: int, ratio: float = 0.8, options: dict | None = None) -> DataFrame:
     """Every model on every series: scored on the held-back tail, refitted on the whole.
 
     Output: one row per entity and model with ``test_forecast``, ``test_actual``,
-    ``test_periods``, ``forecast`` and the metric columns. Both fits of a series are rows of
-    one narrow stage (train part and whole), so the stage holds each model once and nothing
-    is shuffled. Series under four points are scored in sample on their fitted line.
+    ``test_periods``, ``forecast`` and the metric columns, next to ``fallback``, the simple
+    moving average of the whole series. Both fits of a series are rows of one narrow stage
+    (train part and whole), so the stage holds each model once and nothing is shuffled. A
+    series under four points holds nothing back: its models have no score, and rank behind
+    any model that has one.
     """
     options = options or {}
 
@@ -44,38 +44,28 @@ def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], hori
     base = series.select(*keys, "periods", "ys", F.size("ys").alias("n"), sm.train_length(F.size("ys"), ratio).alias("cut"))
     held = F.col("n") - F.col("cut")
     test = F.when(held > 0, F.slice("ys", F.col("cut") + 1, F.greatest(held, F.lit(1))))
-    in_sample = F.col("n") == F.col("cut")
-
-    def build() -> tuple[Column, Column]:
-        scores = sm.score(
-            F.when(in_sample, F.col("ys")).otherwise(test),
-            F.when(in_sample, sm.linear_fitted(F.col("ys"))).otherwise(F.element_at("m.f", 1)),
-        )
-        return results(sm.head(F.col("ys"), F.col("cut")), F.col("ys"), held), scores
-
-    # The expressions name only columns of this function, so jobs of a session share them.
-    app = series.sparkSession.sparkContext.applicationId
-    key = None if options else (app, tuple(models), horizon)
-    if key is None or key not in _built:
-        made_of, scores = build()
-        if key:
-            _built[key] = made_of, scores
-    else:
-        made_of, scores = _built[key]
-    made = base.withColumn("m", F.explode(made_of))
+    scores = sm.score(test, F.when(held > 0, F.element_at("m.f", 1)))
+    made = base.withColumn("fallback", sm.MODELS["simple_moving_average"](F.col("ys"), F.lit(horizon)))
+    made = made.withColumn("m", F.explode(results(sm.head(F.col("ys"), F.col("cut")), F.col("ys"), held)))
     return made.select(
-        *keys, F.col("m.algorithm").alias("algorithm"), "n", held.alias("test_periods"),
+        *keys, F.col("m.algorithm").alias("algorithm"), "n", "fallback", held.alias("test_periods"),
         F.when(held > 0, F.slice("periods", F.col("cut") + 1, F.greatest(held, F.lit(1)))).alias("test_dates"),
         test.alias("test_actual"),
-        F.when(~in_sample, F.element_at("m.f", 1)).alias("test_forecast"),
+        F.when(held > 0, F.element_at("m.f", 1)).alias("test_forecast"),
         F.element_at("m.f", 2).alias("forecast"),
         scores.alias("metrics"),
     ).select("*", "metrics.*").drop("metrics")
 
 
+def usable(forecast: Column) -> Column:
+    """Whether there is a forecast and all of it is finite."""
+    finite = F.forall(forecast, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(forecast) > 0) & finite, F.lit(False))
+
+
 def succeeded(scored: DataFrame) -> DataFrame:
-    """Drop failures before ranking: no forecast means no rank."""
-    return scored.where(F.col("forecast").isNotNull() & (F.size("forecast") > 0))
+    """Drop failures before ranking: no forecast, or one that is not finite, means no rank."""
+    return scored.where(usable(F.col("forecast")))
 
 
 def direction(metric: str) -> Column:
@@ -88,27 +78,36 @@ def best_parameters(scored: DataFrame, keys: Sequence[str], order: Sequence[str]
     return first_rows(succeeded(scored), keys, [F.col("accuracy").desc_nulls_last(), *[F.col(c) for c in order]])
 
 
-def best_fit(scored: DataFrame, keys: Sequence[str], metric: str = "mape", top: int = 3) -> DataFrame:
+def best_fit(scored: DataFrame, keys: Sequence[str], metric: str | Column = "mape", top: int = 3) -> DataFrame:
     """Best model or the mean of the best three, per entity.
 
-    An entity has one entry per model, so its candidates fit one row; the ensemble and the
-    final choice are expressions over that row.
+    ``metric`` is a name for all entities, or a column that names one for each entity, the same
+    on all its rows. An entity has one entry per model, so its candidates fit one row; the
+    ensemble and the final choice are expressions over that row. Models without a score come
+    after all scored ones, by name, and take no part in an ensemble. An entity without any usable
+    forecast gets its ``fallback``, where the rows have one, under the name of that model.
     """
-    sign = -1.0 if metric in HIGHER_IS_BETTER else 1.0
-    names = ["mae", "rmse", "mape", "accuracy", "mae_accuracy", "rmse_accuracy"]
+    names = METRICS
+    chosen = F.lit(metric) if isinstance(metric, str) else metric
+    pick = lambda of: F.coalesce(*[F.when(F.col("metric") == m, of(m)) for m in names])
+    sign = F.when(F.col("metric").isin(sorted(HIGHER_IS_BETTER)), -1.0).otherwise(1.0)
+    rank = pick(lambda m: F.col(m)) * sign
     entry = F.struct(
-        (F.col(metric) * sign).alias("rank_value"), F.col("algorithm").alias("algorithm"),
+        rank.isNull().alias("unranked"), rank.alias("rank_value"), F.col("algorithm").alias("algorithm"),
         F.col("forecast").alias("forecast"), F.col("test_forecast").alias("test_forecast"),
         *[F.col(c).alias(c) for c in names],
     )
-    packed = succeeded(scored).where(F.col(metric).isNotNull()).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(entry)).alias("c")
+    ok = usable(F.col("forecast"))
+    if "fallback" not in scored.columns:
+        scored = scored.withColumn("fallback", F.lit(None).cast("array<double>"))
+    packed = scored.withColumn("metric", chosen).groupBy(*keys, "metric").agg(
+        F.sort_array(F.collect_list(F.when(ok, entry))).alias("c"), F.first("fallback").alias("fallback")
     )
 
     def blend(rows: Column, field: str) -> Column:
         # As long as the best model's values; shorter ones drop out of later steps.
         return F.transform(
-            F.element_at(rows, 1)[field],
+            F.get(rows, F.lit(0))[field],
             lambda _, i: sm.mean(
                 F.array_compact(F.transform(F.filter(rows, lambda r: F.size(r[field]) > i), lambda r: F.get(r[field], i)))
             ),
@@ -117,39 +116,51 @@ def best_fit(scored: DataFrame, keys: Sequence[str], metric: str = "mape", top:
     def ensemble(rows: Column) -> Column:
         means = [sm.mean(rows[c]) for c in names]
         return F.struct(
-            (means[names.index(metric)] * sign).alias("rank_value"), F.lit("ensemble").alias("algorithm"),
+            F.lit(False).alias("unranked"), (pick(lambda m: means[names.index(m)]) * sign).alias("rank_value"), F.lit("ensemble").alias("algorithm"),
             blend(rows, "forecast").alias("forecast"), blend(rows, "test_forecast").alias("test_forecast"),
             *[m.alias(c) for m, c in zip(means, names)],
         )
 
     def choose(c: Column) -> Column:
-        best = F.element_at(c, 1)
-        blended = let(F.slice(c, 1, top), ensemble)
+        best = F.get(c, F.lit(0))
+        ranked = F.filter(c, lambda e: ~e["unranked"])
+        blended = let(F.slice(ranked, 1, top), ensemble)
         return let(
             blended,
-            lambda e: F.when((F.size(c) >= 2) & (e["rank_value"] < best["rank_value"]), e).otherwise(best),
+            lambda e: F.when((F.size(ranked) >= 2) & (e["rank_value"] < best["rank_value"]), e).otherwise(best),
         )
 
-    picked = packed.select(*keys, let(F.col("c"), choose).alias("b"), F.size("c").alias("candidates"))
-    summary = {"mape": 100.0 - F.col("b.mape"), "mae": F.col("b.mae_accuracy"), "rmse": F.col("b.rmse_accuracy")}.get(metric, F.col("b.accuracy"))
+    choice = F.when(F.size("c") > 0, let(F.col("c"), choose))
+    picked = packed.select(*keys, "metric", "fallback", choice.alias("b"), F.size("c").alias("candidates"))
+    summary = F.when(F.col("metric") == "mape", 100.0 - F.col("b.mape")).when(F.col("metric") == "mae", F.col("b.mae_accuracy"))
+    summary = summary.when(F.col("metric") == "rmse", F.col("b.rmse_accuracy")).otherwise(F.col("b.accuracy"))
     return picked.select(
-        *keys, F.col("b.algorithm").alias("selected_algorithm"), "candidates", summary.alias("summary_accuracy"),
-        *[F.col(f"b.{c}").alias(c) for c in names], F.col("b.forecast").alias("forecast"),
-        F.col("b.test_forecast").alias("test_forecast"),
+        *keys, F.coalesce("b.algorithm", F.lit("simple_moving_average")).alias("selected_algorithm"), "candidates",
+        "metric", summary.alias("summary_accuracy"), *[F.col(f"b.{c}").alias(c) for c in names],
+        F.coalesce("b.forecast", "fallback").alias("forecast"), F.col("b.test_forecast").alias("test_forecast"),
     )
 
 
-def published(c: Column, cap: float = VALUE_CAP) -> Column:
-    """Clip to the column's range and round to its scale."""
-    return steady_round(F.least(F.lit(cap), F.greatest(F.lit(0.0), c)), 4)
+def published(c: Column, cap: float | None = None) -> Column:
+    """Not below 0 and rounded to four digits; not above ``cap`` where the caller's table needs one."""
+    floored = F.greatest(F.lit(0.0), c)
+    return steady_round(floored if cap is None else F.least(F.lit(cap), floored), 4)
 
 
 def flat_band(c: Column, pct: float = 0.1) -> tuple[Column, Column]:
     return steady_round(c * (1 - pct), 4), steady_round(c * (1 + pct), 4)
 
 
-def result_rows(scored: DataFrame, keys: Sequence[str], start: str, metric: str = "mape", cap: float = VALUE_CAP) -> DataFrame:
-    """Long result rows: test actuals, test forecasts and future forecasts of each model."""
+def result_rows(
+    scored: DataFrame, keys: Sequence[str], start: str, metric: str | Column = "mape", cap: float | None = None, interval: str = "MONTHLY",
+) -> DataFrame:
+    """Long result rows: test actuals, test forecasts and future forecasts of each model.
+
+    Future dates are ``start`` and the periods of ``interval`` after it. ``metric`` names the stored
+    figure, for all rows or, as a column, for each.
+    """
+    name = F.lit(metric) if isinstance(metric, str) else metric
+    figure = F.coalesce(*[F.when(name == m, F.col(m)) for m in METRICS])
     shared = [*keys, "algorithm"]
     zipped = F.arrays_zip(F.col("test_dates").alias("d"), F.col("test_actual").alias("a"), F.col("test_forecast").alias("f"))
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -163,11 +174,11 @@ def result_rows(scored: DataFrame, keys: Sequence[str], start: str, metric: str
     actual = F.transform(zipped, lambda z: entry(z["d"], published(z["a"], cap), "testing_actual", none_d, none_s, none_d, none_d))
     test = F.transform(
         zipped,
-        lambda z: entry(z["d"], published(z["f"], cap), "testing_forecast", F.col(metric), F.lit(metric.upper()), none_d, none_d),
+        lambda z: entry(z["d"], published(z["f"], cap), "testing_forecast", figure, F.upper(name), none_d, none_d),
     )
 
     def ahead(v: Column, k: Column) -> Column:
-        d = F.add_months(F.lit(start).cast("date"), k)
+        d = add_periods(F.lit(start).cast("date"), k, interval)
         return let(published(v, cap), lambda p: entry(d, p, "future_forecast", none_d, none_s, *flat_band(p)))
 
     future = F.transform("forecast", ahead)

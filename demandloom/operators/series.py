@@ -16,12 +16,10 @@ def to_series(rows: DataFrame, keys: Sequence[str], date: str = "period", value:
     """One row per entity with ``periods`` and ``ys`` in time order.
 
     The input is already one row per entity and period, so an array is as long as the
-    calendar, whatever the entity's share of the facts. Fitting models is bound by
-    processor time and not by bytes, so the entities are spread over all cores instead of
-    being coalesced by size; the aggregation uses that same exchange.
+    calendar, whatever the entity's share of the facts. How many tasks share the entities is
+    left to the session's shuffle partitions and AQE.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    packed = rows.repartition(cores, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(date, value))).alias("_s"))
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(date, value))).alias("_s"))
     return packed.select(
         *keys, F.col(f"_s.{date}").alias("periods"), F.col(f"_s.{value}").cast("array<double>").alias("ys"),
         F.size("_s").alias("n"),

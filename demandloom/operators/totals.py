@@ -46,20 +46,20 @@ def combinations_at(df: DataFrame, cols: Sequence[str], filters: Mapping[str, An
     return df.where(dimension_filter(filters)).select(*cols).distinct()
 
 
-def offered_levels(fields: Sequence[str]) -> list[tuple[str, ...]]:
-    """Every single field, the first ten pairs and the first five triples."""
+def offered_levels(fields: Sequence[str], pairs: int | None = None, triples: int | None = None) -> list[tuple[str, ...]]:
+    """Every single field, pair and triple; a caller's menu may show only so many pairs and triples."""
     return [
-        *combinations(fields, 1), *list(combinations(fields, 2))[:10], *list(combinations(fields, 3))[:5]
+        *combinations(fields, 1), *list(combinations(fields, 2))[:pairs], *list(combinations(fields, 3))[:triples]
     ]
 
 
-def all_levels(flat: DataFrame, fields: Sequence[str], target: str = "quantity") -> DataFrame:
-    """Totals at every offered level at once.
+def all_levels(flat: DataFrame, fields: Sequence[str], target: str = "quantity", levels: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Totals at every offered level at once, or at the given ones.
 
     Rows collapse to the finest level first; the grouping sets then expand only that.
     """
     fine = flat.groupBy(*fields).agg(F.sum(target).alias("q"), F.count("*").alias("c"))
-    levels = offered_levels(fields)
+    levels = levels or offered_levels(fields)
     sets = [[F.col(f) for f in level] for level in levels]
     rolled = fine.groupingSets(sets, *[F.col(f) for f in fields]).agg(
         F.sum("q").alias("total_quantity"), F.sum("c").alias("transaction_count"),

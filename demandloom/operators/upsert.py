@@ -32,9 +32,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``existing`` with the same key. ``new`` has unique keys."""
-    kept = existing.join(new.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    """Rows of ``new`` replace rows of ``existing`` with the same key. ``new`` has unique keys.
+
+    One outer join reads either side once. A column that only the old rows have is NULL in new ones.
+    """
+    columns = [*existing.columns, *[c for c in new.columns if c not in existing.columns]]
+    old = existing.select(F.struct(*existing.columns).alias("_old"))
+    fresh = new.select(F.struct(*new.columns).alias("_new"))
+    same = [F.col(f"_old.{k}") == F.col(f"_new.{k}") for k in keys]
+
+    def pick(c: str) -> Column:
+        newer = F.col(f"_new.{c}") if c in new.columns else F.lit(None)
+        older = F.col(f"_old.{c}") if c in existing.columns else F.lit(None)
+        return F.when(F.col("_new").isNotNull(), newer).otherwise(older).alias(c)
+
+    return old.join(fresh, same, "full").select(*[pick(c) for c in columns])
 
 
 def upsert_flags(existing: DataFrame, new: DataFrame, keys: Sequence[str], key_values: Sequence[str] = ()) -> DataFrame:
@@ -71,17 +83,25 @@ def find_or_create(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     """Dimension after the batch: old rows, plus the first row of every unseen key.
 
     Keys compare NULL-safely. Without keys every incoming row is new. New ids are hashes of
-    the key, so a repeated job makes the same ids.
+    the key, so a repeated job makes the same ids. One outer join reads either side once.
     """
+    columns = existing.columns
     if not keys:
         data = [c for c in incoming.columns if c not in order]
         fresh = incoming.withColumn(id_col, natural_key([*data, *order])).withColumn("is_new", F.lit(True))
-    else:
-        firsts = first_per_key(incoming, keys, order)
-        unseen = firsts.join(existing, null_safe(firsts, existing, keys), "left_anti")
-        fresh = unseen.withColumn(id_col, natural_key(keys)).withColumn("is_new", F.lit(True))
-    cols = existing.columns
-    return existing.withColumn("is_new", F.lit(False)).unionByName(fresh.select(*cols, "is_new"))
+        return existing.withColumn("is_new", F.lit(False)).unionByName(fresh.select(*columns, "is_new"))
+    firsts = first_per_key(incoming, keys, order).withColumn(id_col, natural_key(keys)).select(*columns)
+    return _with_unseen(existing, firsts, keys).select(*columns, "is_new")
+
+
+def _with_unseen(existing: DataFrame, firsts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Old rows, and those of ``firsts`` whose key none of them has, marked ``is_new``."""
+    old = existing.select(F.struct(*existing.columns).alias("_old"))
+    fresh = firsts.select(F.struct(*firsts.columns).alias("_new"))
+    same = [F.col(f"_old.{k}").eqNullSafe(F.col(f"_new.{k}")) for k in keys]
+    # A row of NULLs on the other side would look like an equal key: the flags tell them apart.
+    met = old.withColumn("_has_old", F.lit(True)).join(fresh, same, "full")
+    return met.select(F.coalesce("_old", "_new").alias("_row"), F.col("_has_old").isNull().alias("is_new")).select("_row.*", "is_new")
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
@@ -90,8 +110,8 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, fields: Sequence[str
     if unknown:
         raise ValueError(f"unknown fields {unknown}")
     blank = incoming.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in fields]).distinct()
-    fresh = blank.join(existing, null_safe(blank, existing, fields), "left_anti").withColumn(id_col, natural_key(fields))
-    return existing.unionByName(fresh.select(*existing.columns))
+    fresh = blank.withColumn(id_col, natural_key(fields)).select(*existing.columns)
+    return _with_unseen(existing, fresh, fields).select(*existing.columns)
 
 
 def soft_delete(df: DataFrame, hit: Column, stamp: Column, column: str = "deleted_at") -> DataFrame:

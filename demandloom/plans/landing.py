@@ -47,7 +47,7 @@ def _every(k: int) -> Column:
 def landed(spark, sf_dir, meta: bool = True):
     cols = [*star.DIMS, "sale_date", "quantity", "sales_id"]
     raw = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
-    df = star.sales_flat(spark, sf_dir, cols, raw, heavy=True)
+    df = star.sales_flat(spark, sf_dir, cols, raw)
     text = {
         "product": F.when(_every(2), F.concat(F.lit("  "), "product", F.lit(" "))).otherwise(F.col("product")),
         "product_group": F.col("product_group"),
@@ -275,9 +275,9 @@ def s9(spark, sf_dir):
     ),
 )
 def s9_errors(spark, sf_dir):
-    """The report lists the first hundred bad rows of an upload."""
-    bad = validated(spark, sf_dir).where("errors <> ''").select("upload_id", "row_no", "sales_id", "errors")
-    top = first_rows(bad, ["upload_id"], [F.col("row_no"), F.col("sales_id")], 100, "error_no")
+    """The report lists the first hundred bad rows of an upload; the operator gives any number, or all."""
+    bad = validated(spark, sf_dir).select("upload_id", "row_no", "sales_id", "errors")
+    top = src.error_rows(bad, "upload_id", ["row_no", "sales_id"], 100)
     return top.select("upload_id", (F.col("row_no") + 2).alias("sheet_row"), "errors", F.col("error_no").cast("bigint").alias("error_no"))
 
 
@@ -315,7 +315,7 @@ ERP_SCHEMA = "CUSTID string, PRDID string, LOCID string, ACTUALSQTY string, PERI
 
 def responses(spark, sf_dir):
     """ERP responses, one per line, in the three envelopes the service uses."""
-    df = star.sales_flat(spark, sf_dir, ["product", "customer", "location", "sale_date", "quantity", "sales_id"], ["l_orderkey", "l_extendedprice"], heavy=True)
+    df = star.sales_flat(spark, sf_dir, ["product", "customer", "location", "sale_date", "quantity", "sales_id"], ["l_orderkey", "l_extendedprice"])
     days = F.datediff("sale_date", F.lit("1970-01-01").cast("date")).cast("bigint")
     stamp = (
         F.when(_every(3), F.concat(F.lit("/Date("), (days * 86400000).cast("string"), F.lit(")/")))

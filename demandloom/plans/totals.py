@@ -90,7 +90,9 @@ def a2(spark, sf_dir):
 
 
 def _a3_sql() -> str:
-    levels = ops.offered_levels(star.DIMS)
+    d = star.DIMS
+    levels = [[a] for a in d] + [[a, b] for i, a in enumerate(d) for b in d[i + 1 :]]
+    levels += [[a, b, c] for i, a in enumerate(d) for j, b in enumerate(d) for c in d[j + 1 :] if i < j]
     sets = ", ".join("(" + ", ".join(level) + ")" for level in levels)
     names = ", ".join(f"CASE WHEN grouping({f}) = 0 THEN '{f}' END" for f in star.DIMS)
     values = ", ".join(f"CASE WHEN grouping({f}) = 0 THEN coalesce({f}, 'NULL') END" for f in star.DIMS)

@@ -8,11 +8,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandloom.functions.scalars import to_number
+from demandloom.functions.scalars import to_date, to_number
 
 # Spark type of each catalogue type.
 TYPES = {
@@ -47,10 +47,6 @@ class Catalogue:
                 raise ValueError(f"exactly one field needs {role}")
         return cls(fields)
 
-    @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Catalogue:
-        return cls.parse(spark.read.text(path, wholetext=True).first()[0])
-
     @property
     def target(self) -> str:
         return next(f["field_name"] for f in self.fields if f.get("is_target_variable"))
@@ -90,7 +86,7 @@ def typed_load(df: DataFrame, catalogue: Catalogue, keep: Sequence[str] = ()) ->
     """Landed text to catalogue types. A cell that does not parse is NULL and named in ``rejected``."""
     schema = {f.name: f.dataType for f in catalogue.schema().fields if f.name in df.columns}
     typed = {
-        n: to_number(F.col(n), t.simpleString()) if isinstance(t, T.DecimalType) else F.col(n).try_cast(t)
+        n: to_number(F.col(n), t.simpleString()) if isinstance(t, T.DecimalType) else to_date(F.col(n)) if isinstance(t, T.DateType) else F.col(n).try_cast(t)
         for n, t in schema.items()
     }
     failed = [F.when(F.col(n).isNotNull() & typed[n].isNull(), F.lit(n)) for n in schema]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.scalars import clean_text, erp_date, iso_date, to_number
+from demandloom.functions.scalars import clean_text, erp_date, iso_date, to_date, to_number
+from demandloom.operators.totals import first_rows
 from demandloom.sources.catalogue import Catalogue
 
 # Header names a sheet may use for the date and the price.
@@ -22,10 +23,13 @@ ERP_FACT = {"ACTUALSQTY": "quantity", "PERIODID3_TSTAMP": "date", "UNITPRICE": "
 # ---------------------------------------------------------------- files
 
 
-def read_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Landed rows as text. CSV cells stay text, so nothing is lost to type guessing."""
+def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Landed rows as text. CSV cells stay text, so nothing is lost to type guessing.
+
+    ``multi_line`` allows line breaks inside quoted cells; a file is then read by one task.
+    """
     if fmt == "csv":
-        return spark.read.option("header", True).option("multiLine", True).csv(path)
+        return spark.read.option("header", True).option("multiLine", multi_line).csv(path)
     if fmt == "json":
         return spark.read.option("primitivesAsString", True).json(path)
     if fmt == "parquet":
@@ -91,27 +95,37 @@ def clean_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- validation
 
 
-def validate_sales(df: DataFrame) -> DataFrame:
+# Error texts of the upload report, and how many characters a unit may have.
+NO_DATE, BAD_DATE = "Date cannot be empty", "Invalid date format"
+BAD_QUANTITY, NEGATIVE_QUANTITY = "Invalid quantity", "Quantity cannot be negative"
+UNIT_CHARS = 20
+
+
+def validate_sales(df: DataFrame, unit_chars: int | None = UNIT_CHARS, day_first: bool = False) -> DataFrame:
     """Typed fact columns next to an ``errors`` text, empty for good rows.
 
-    Validation looks at one row at a time, so a batch never has to fail as a whole.
+    Validation looks at one row at a time, so a batch never has to fail as a whole. Unit texts are
+    cut to ``unit_chars`` characters, the width of the unit column (None: as they are). ``day_first``
+    reads 03/04/2024 as the third of April.
     """
-    date = F.col("date").try_cast("date")
+    date = to_date(F.col("date"), day_first)
     qty = F.when(F.col("quantity").isNull(), F.lit(0.0)).otherwise(to_number(F.col("quantity")))
     errors = F.concat_ws(
         "; ",
-        F.when(F.col("date").isNull(), "Date cannot be empty").when(date.isNull(), "Invalid date format"),
-        F.when(qty.isNull(), "Invalid quantity").when(qty < 0, "Quantity cannot be negative"),
+        F.when(F.col("date").isNull(), NO_DATE).when(F.col("_d").isNull(), BAD_DATE),
+        F.when(F.col("_q").isNull(), BAD_QUANTITY).when(F.col("_q") < 0, NEGATIVE_QUANTITY),
     )
+    df = df.withColumns({"_d": date, "_q": qty})
+    unit = F.col("uom") if unit_chars is None else F.substring("uom", 1, unit_chars)
     return df.withColumns(
         {
             "errors": errors,
-            "date": date,
-            "quantity": qty,
-            "uom": F.coalesce(F.substring("uom", 1, 20), F.lit("EACH")),
+            "date": F.col("_d"),
+            "quantity": F.col("_q"),
+            "uom": F.coalesce(unit, F.lit("EACH")),
             "unit_price": to_number(F.col("unit_price")),
         }
-    )
+    ).drop("_d", "_q")
 
 
 def good_rows(validated: DataFrame) -> DataFrame:
@@ -127,6 +141,14 @@ def upload_report(validated: DataFrame, upload: str) -> DataFrame:
     )
 
 
+def error_rows(validated: DataFrame, upload: str, order: Sequence[str], most: int | None = None) -> DataFrame:
+    """Bad rows of each upload with ``error_no`` from 1 in row order; all of them, or the first ``most``."""
+    bad = validated.where("errors <> ''")
+    if most is not None:
+        return first_rows(bad, [upload], [F.col(c) for c in order], most, "error_no")
+    return bad.withColumn("error_no", F.row_number().over(Window.partitionBy(upload).orderBy(*order)))
+
+
 # ---------------------------------------------------------------- ERP records
 
 
@@ -208,7 +230,7 @@ def observations(df: DataFrame, payload: str = "payload", keep: Sequence[str] =
 
 def validate_factors(df: DataFrame) -> DataFrame:
     """Factor sheet cells to typed rows with an ``errors`` text."""
-    name, date = clean_text(F.col("factor_name")), F.col("factor_date").try_cast("date")
+    name, date = clean_text(F.col("factor_name")), to_date(F.col("factor_date"))
     value = to_number(F.col("factor_value"))
     errors = F.concat_ws(
         "; ", F.when(name.isNull(), "Factor Name is required"), F.when(date.isNull(), "Invalid date"),

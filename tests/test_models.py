@@ -173,5 +173,5 @@ def test_scores(spark):
     rows = [r.m for r in df.select(sm.score(F.col("a"), F.col("p")).alias("m")).collect()]
     assert (rows[0].accuracy, rows[0].mae, rows[0].mae_accuracy) == (100.0, 0.0, 100.0)
     assert (rows[1].mape, rows[1].accuracy, rows[1].rmse_accuracy) == (100.0, 0.0, 0.0)
-    assert (rows[2].mape, rows[2].accuracy) == (100.0, 0.0)
+    assert (rows[2].mape, rows[2].accuracy) == (None, None)  # unusable input has no score, so it never ranks
     assert rows[3].mape == 20.0 and rows[3].mae == 2.0

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from demandloom.functions.scalars import clean_text, erp_date, natural_key, period_start, table_name, to_number
+from demandloom.functions.scalars import clean_text, erp_date, natural_key, period_start, table_name, to_date, to_number
 from demandloom.operators import compare as cmp
 from demandloom.operators import filters as flt
 from demandloom.operators import hierarchy as hier
@@ -265,3 +265,131 @@ def test_distinct_count_of_repeated_ids(spark):
     assert tot.period_totals(df, []).first().transaction_count == 2
     with pytest.raises(ValueError):
         tot.level_columns("a-b", ["a"])
+
+
+# ---------------------------------------------------------------- dates, filters and requests as they are written
+
+
+def test_written_dates(spark):
+    want = {
+        "2024-03-15": "2024-03-15", " 2024/3/5 ": "2024-03-05", "03/15/2024": "2024-03-15", "15 Mar 2024": "2024-03-15", "15-march-2024": "2024-03-15",
+        "Mar 15, 2024": "2024-03-15", "20240315": "2024-03-15", "2024-03-15T10:20:30": "2024-03-15", "3/15/2024 10:20": "2024-03-15", "15.3.2024": None,
+        "2024": None, "13/13/2024": None, "2024-02-30": None, "soon": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r.t: r.d and r.d.isoformat() for r in df.select("t", to_date(F.col("t")).alias("d")).collect()}
+    assert got == want
+    assert df.select(to_date(F.lit("15.3.2024"), day_first=True)).first()[0] == dt.date(2024, 3, 15)
+
+
+def test_non_finite_numbers_are_no_numbers(spark):
+    df = spark.createDataFrame([("inf",), ("-Infinity",), ("nan",), ("1e999",), ("7",)], "t string")
+    assert [r[0] for r in df.select(to_number(F.col("t"))).collect()] == [None, None, None, None, 7.0]
+
+
+def test_sales_rows_keep_odd_cells_apart(spark):
+    cells = [("03/15/2024", "inf", "u" * 30), ("15 Mar 2024", "5", None), (None, "-1", "EA")]
+    df = spark.createDataFrame([(*c, "1.5") for c in cells], "date string, quantity string, uom string, unit_price string")
+    got = src.validate_sales(df).select("date", "quantity", "errors", F.length("uom").alias("n")).collect()
+    assert [tuple(r) for r in got] == [
+        (dt.date(2024, 3, 15), None, src.BAD_QUANTITY, 20), (dt.date(2024, 3, 15), 5.0, "", 4), (None, -1.0, f"{src.NO_DATE}; {src.NEGATIVE_QUANTITY}", 2),
+    ]
+    assert src.validate_sales(df, unit_chars=None).agg(F.max(F.length("uom"))).first()[0] == 30
+    bad = src.error_rows(src.validate_sales(df).withColumn("up", F.lit(1)).withColumn("i", F.monotonically_increasing_id()), "up", ["i"])
+    assert [r.error_no for r in bad.orderBy("i").collect()] == [1, 2]
+
+
+def test_erp_filter_over_raw_text(spark):
+    texts = ["/Date(1705363200000)/", "2024-01-14T23:59:59", "2024-01-15", "soon", None]  # the first is 16 January 2024
+    df = spark.createDataFrame([(t,) for t in texts], "P string")
+    hit = flt.erp_filter({"P": {"ge": "2024-01-15"}}, dict(df.dtypes))
+    assert [r.P for r in df.where(hit).collect()] == [texts[0], texts[2]]
+
+
+def test_equal_requests_in_any_key_order(spark):
+    parts = ['"forecast_filters":{"a":[1,2],"b":{"x":1,"y":null}}', '"forecast_start":"2024-01"', '"forecast_end":"2024-06"', '"algorithms":[{"algorithm_id":2,"k":1}]']
+    turned = ['"algorithms":[{"k":1,"algorithm_id":2}]', '"forecast_filters":{"b":{"y":null,"x":1},"a":[1,2]}', *parts[1:3]]
+    other = [parts[0].replace("[1,2]", "[2,1]"), *parts[1:]]
+    text = lambda ps: "{" + ", ".join(ps) + "}"
+    new = spark.createDataFrame([(1, text(turned)), (2, text(other)), (3, "{}")], "id int, request_data string")
+    running = spark.createDataFrame([(text(parts),)], "request_data string")
+    assert [r.id for r in pub.duplicate_running(new, running).collect()] == [1]
+
+
+# ---------------------------------------------------------------- nothing is capped or lost
+
+
+def test_large_values_are_published_whole(spark):
+    series = spark.createDataFrame([(1, [dt.date(2024, m, 1) for m in range(1, 13)], [2e6 + 1000.0 * m for m in range(12)])], "e int, periods array<date>, ys array<double>")
+    scored = sel.evaluate(series, ["e"], ["linear_regression"], 3)
+    values = [r.value for r in sel.result_rows(scored, ["e"], "2025-01-01").collect()]
+    assert min(values) > 1.9e6 and len(set(values)) > 3
+    capped = sel.result_rows(scored, ["e"], "2025-01-01", cap=sel.RESULT_BOUND)
+    assert {r.value for r in capped.collect()} == {sel.RESULT_BOUND}
+
+
+def test_future_dates_follow_the_interval(spark):
+    series = spark.createDataFrame([(1, [dt.date(2024, 1, 1)] * 8, [1.0 * k for k in range(8)])], "e int, periods array<date>, ys array<double>")
+    scored = sel.evaluate(series, ["e"], ["linear_regression"], 3)
+    for interval, days in (("WEEKLY", ["2025-01-06", "2025-01-13", "2025-01-20"]), ("QUARTERLY", ["2025-01-06", "2025-04-06", "2025-07-06"])):
+        rows_ = sel.result_rows(scored, ["e"], "2025-01-06", interval=interval).where("result_type = 'future_forecast'")
+        assert sorted(r.result_date.isoformat() for r in rows_.collect()) == days
+
+
+def test_every_level_is_offered():
+    assert len(tot.offered_levels("abcde")) == 5 + 10 + 10
+    assert len(tot.offered_levels("abcde", pairs=2, triples=1)) == 5 + 2 + 1
+
+
+def test_trees_keep_short_series_and_refuse_odd_settings(spark):
+    from demandloom.functions import seriesmath as sm
+    from demandloom.operators import trees
+
+    data = [(k, [float(10 + (k + i) % 4) for i in range(n)]) for k, n in enumerate((1, 3, 6, 9, 10, 30, 30))]
+    series = spark.createDataFrame(data, "e int, ys array<double>")
+    model = trees.fit_pooled(series, ["e"], trees.forest(10, 2), partitions=3)
+    made = {r.e: r.forecast for r in trees.roll_pooled(model, series, ["e"], 4).collect()}
+    line = {r.e: r.f for r in series.select("e", sm.linear(F.col("ys"), 4).alias("f")).collect()}
+    assert sorted(made) == [k for k, _ in data] and all(made[k] == line[k] for k in range(4))
+    assert made[5] != line[5]
+    short = series.where("e < 4")
+    assert trees.fit_pooled(short, ["e"], trees.forest(10, 2)) is None
+    with pytest.raises(ValueError, match="n_estimators"):
+        trees.forest(n_estimators=1000)
+
+
+def _scored(spark, data):
+    names = "e int, algorithm string, mape double, accuracy double, mae double, rmse double, mae_accuracy double, rmse_accuracy double, forecast array<double>, test_forecast array<double>, fallback array<double>"
+    return spark.createDataFrame([(e, a, m, 100.0 - m if m is not None else None, mae, mae, 50.0, 50.0, f, f, [9.0]) for e, a, m, mae, f in data], names)
+
+
+def test_non_finite_and_unscored_models_never_win(spark):
+    nan = float("nan")
+    scored = _scored(spark, [(1, "a", 5.0, 2.0, [1.0]), (1, "b", 0.0, 0.0, [nan]), (1, "c", None, None, [3.0]), (2, "c", None, None, [3.0]), (2, "d", None, None, [4.0]), (3, "a", 1.0, 1.0, None), (3, "b", 1.0, 1.0, [float("inf")])])
+    got = {r.e: (r.selected_algorithm, r.forecast, r.candidates) for r in sel.best_fit(scored, ["e"], "mae").collect()}
+    assert got == {1: ("a", [1.0], 2), 2: ("c", [3.0], 2), 3: ("simple_moving_average", [9.0], 0)}
+
+
+def test_metric_of_each_entity(spark):
+    scored = _scored(spark, [(1, "a", 5.0, 2.0, [1.0]), (1, "b", 9.0, 1.0, [2.0]), (2, "a", 5.0, 2.0, [1.0]), (2, "b", 9.0, 1.0, [2.0])])
+    by = F.when(F.col("e") == 1, "mae").otherwise("mape")
+    got = {r.e: (r.selected_algorithm, r.metric) for r in sel.best_fit(scored, ["e"], by).collect()}
+    assert got == {1: ("b", "mae"), 2: ("a", "mape")}
+
+
+def test_short_series_have_no_score(spark):
+    series = spark.createDataFrame([(1, [dt.date(2024, m, 1) for m in (1, 2, 3)], [1.0, 5.0, 2.0])], "e int, periods array<date>, ys array<double>")
+    scored = sel.evaluate(series, ["e"], ["linear_regression", "moving_average"], 2)
+    assert {(r.mae, r.test_periods, len(r.forecast)) for r in scored.collect()} == {(None, 0, 2)}
+
+
+def test_merges_read_each_side_once(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (None, "n", "x")], "k int, v string, kept string")
+    new = spark.createDataFrame([(2, "B"), (3, "C"), (None, "N")], "k int, v string")
+    merged = up.upsert(old, new, ["k"])
+    assert sorted(rows(merged, "k", "v"), key=str) == sorted([(1, "a", "x"), (2, "B", None), (3, "C", None), (None, "n", "x"), (None, "N", None)], key=str)
+    assert merged._jdf.queryExecution().toString().count("Join FullOuter") > 0
+    dims = spark.createDataFrame([("a", None, "1"), (None, None, "2")], "x string, y string, id string")
+    batch = spark.createDataFrame([("a", None, 1), ("b", "c", 2), (None, None, 3), ("b", "c", 4)], "x string, y string, i int")
+    made = up.find_or_create(dims, batch, ["x", "y"], ["i"], "id")
+    assert made.count() == 3 and [r.x for r in made.where("is_new").collect()] == ["b"]
