@@ -140,6 +140,9 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, partiti
 def wide_dashboard(rows: DataFrame, dims: Sequence[str], series: str, date: str, months: Sequence[str]) -> DataFrame:
     """One row per dimension row and series, one column per month (``yyyy-MM``), first known unit."""
     month = F.date_format(date, "yyyy-MM")
+    # The months' own range first: plain comparisons, which the scan can prune by.
+    first, last = (F.lit(f"{m}-01").cast("date") for m in (min(months), max(months)))
+    rows = rows.where((F.col(date) >= first) & (F.col(date) < F.add_months(last, 1)))
     return rows.where(month.isin(list(months))).groupBy(*dims, series).agg(
         F.coalesce(F.min("uom"), F.lit("")).alias("uom"),
         *[F.sum(F.when(month == m, F.col("quantity"))).alias(F"m_{m.replace('-', '_')}") for m in months],

@@ -78,8 +78,12 @@ def tagged_totals(tables: Mapping[str, tuple[DataFrame, str]], by: Sequence[str]
     """Sum per group and date of several tables, one branch each; ``name -> (rows, date column)``."""
     out = None
     for name, (df, date) in tables.items():
-        aggs = [F.sum("quantity").alias("quantity")] + ([F.max("uom").alias("uom")] if uom else [])
-        part = df.groupBy(*by, F.col(date).alias("row_date")).agg(*aggs).withColumn("table_name", F.lit(name))
+        total, when = F.sum("quantity").alias("quantity"), F.col(date).alias("row_date")
+        # The highest text needs a sort: rows collapse by hash first, with the text among the keys.
+        part = df.groupBy(*by, when, *["uom"] * uom).agg(total)
+        if uom:
+            part = part.groupBy(*by, "row_date").agg(total, F.max("uom").alias("uom"))
+        part = part.withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

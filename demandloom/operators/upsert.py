@@ -144,7 +144,12 @@ def latest_attributes(facts: DataFrame, key: str, attributes: Sequence[str], ord
     return picked.select(key, "_a.*")
 
 
+def lowest_text(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Lowest text of each key. Repeats go by a hash aggregate first: the minimum of a text needs a sort."""
+    return rows.select(*keys, text).distinct().groupBy(*keys).agg(F.min(text).alias(text))
+
+
 def resolve_master(entities: DataFrame, dims: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Lowest master_id that matches each entity; NULL where none does."""
-    first = dims.groupBy(*cols).agg(F.min("master_id").alias("master_id"))
+    first = lowest_text(dims, cols, "master_id")
     return entities.join(first, list(cols), "left")

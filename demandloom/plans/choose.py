@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import seriesmath as sm
@@ -127,12 +128,16 @@ def scored(spark, sf_dir):
     return sel.evaluate(product_series(spark, sf_dir), ["product"], MODELS, HORIZON)
 
 
+# The factors that the runs were asked with.
+RUN_FACTORS = ["urgent", "high"]
+
+
 def results(spark, sf_dir):
     """Long result table of one job: a run per product, a mapping per model."""
     rows = sel.result_rows(scored(spark, sf_dir), ["product"], START)
     ids = F.create_map(*[F.lit(x) for pair in ALGORITHM_IDS.items() for x in pair])
     run = F.concat(F.lit("run-"), "product")
-    entity = F.to_json(F.struct("algorithm", F.struct("product").alias("entity_filter")))
+    entity = F.to_json(F.struct("algorithm", F.struct("product").alias("entity_filter"), F.array(*map(F.lit, RUN_FACTORS)).alias("selected_external_factors")))
     return rows.select(
         "*", run.alias("run_id"), F.concat(run, F.lit("-"), "algorithm").alias("mapping_id"),
         F.element_at(ids, F.col("algorithm")).alias("algorithm_id"), entity.alias("metadata"),
@@ -204,6 +209,37 @@ def x3(spark, sf_dir):
     return out.select("product", "selected_algorithm", "summary_accuracy", "mae", "rmse", "mape")
 
 
+@job(
+    "x3_metric_per_entity",
+    twin(
+        "dp_score",
+        then="""
+, by_product AS (SELECT product, list_extract(['mape', 'mae', 'rmse', 'accuracy'], CAST(row_number() OVER (ORDER BY product) % 4 AS INTEGER) + 1) AS metric FROM (SELECT DISTINCT product FROM dp_score)),
+v AS (SELECT s.*, metric, CASE metric WHEN 'mape' THEN mape WHEN 'mae' THEN mae WHEN 'rmse' THEN rmse ELSE -accuracy END AS cost FROM dp_score s JOIN by_product b ON b.product = s.product),
+r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY cost, algorithm) AS rn FROM v),
+e AS (SELECT product, avg(cost) AS cost FROM r WHERE rn <= 3 GROUP BY product)
+SELECT r.product, metric, CASE WHEN e.cost < r.cost THEN 'ensemble' ELSE r.algorithm END AS selected_algorithm FROM r JOIN e ON r.product = e.product WHERE rn = 1""",
+    ),
+)
+def x3_by_metric(spark, sf_dir):
+    """Each product ranked by a metric of its own, here dealt out in turn."""
+    made = scored(spark, sf_dir)
+    turn = F.dense_rank().over(Window.orderBy("product")) % 4
+    names = made.select("product").distinct().withColumn("metric_name", F.element_at(F.array(*[F.lit(m) for m in ("mape", "mae", "rmse", "accuracy")]), (turn + 1).cast("int")))
+    return sel.best_fit(made.join(names, "product"), ["product"], F.col("metric_name")).select("product", "metric", "selected_algorithm")
+
+
+@job("x3_all_models")
+def x3_all(spark, sf_dir):
+    """Best of every native model by the metric that the product's own profile asks for."""
+    names = [m for m in sm.MODELS if m != "simple_moving_average"]
+    rows = period_totals(star.sales_flat(spark, sf_dir, ["product", "sale_date", "quantity"]), ["product"], price=None)
+    asked = ops.auto_metric(ops.profile(rows, ["product"])).select("product", "primary_metric")
+    made = sel.evaluate(ops.to_series(rows, ["product"]), ["product"], names, HORIZON).join(asked, "product")
+    out = sel.best_fit(made, ["product"], F.col("primary_metric"))
+    return out.select("product", "metric", "selected_algorithm", "candidates", F.size("forecast").alias("steps"))
+
+
 @job(
     "x3_ensemble_forecast",
     twin(
@@ -280,6 +316,25 @@ def w1(spark, sf_dir):
     return out.withColumn("avg_metric", F.round("avg_metric", 4))
 
 
+@job(
+    "t12_weekly_rows",
+    with_views(
+        "dp_flat",
+        then="""
+, w AS (SELECT product, CAST(date_trunc('week', sale_date) AS DATE) AS period, sum(quantity) AS y FROM dp_flat GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY period) - 1 AS t, count(*) OVER (PARTITION BY product) AS n FROM w),
+f AS (SELECT product, regr_slope(y, t) AS s, regr_intercept(y, t) AS b, any_value(n) AS n FROM i GROUP BY product)
+SELECT product, CAST(DATE '2002-01-07' + to_days(CAST(7 * k AS INTEGER)) AS DATE) AS result_date, floor(greatest(b + s * (n + k), 0) * 10000 + 0.500001) / 10000 AS value FROM f, range(6) r(k)""",
+    ),
+)
+def t12_weekly(spark, sf_dir):
+    """A weekly series is published on weekly dates."""
+    rows = period_totals(star.sales_flat(spark, sf_dir, ["product", "sale_date", "quantity"]), ["product"], "WEEKLY", price=None)
+    scored_ = sel.evaluate(ops.to_series(rows, ["product"]), ["product"], ["linear_regression"], 6)
+    out = sel.result_rows(scored_, ["product"], "2002-01-07", interval="WEEKLY").where("result_type = 'future_forecast'")
+    return out.select("product", "result_date", "value")
+
+
 @job("w2_best_of_run", twin("dp_best", then="SELECT run_id, mapping_id, round(avg_metric, 4) AS avg_metric, 'MAPE' AS metric_name FROM dp_best"))
 def w2(spark, sf_dir):
     """Best mapping per run with the metric's own direction."""
@@ -416,7 +471,7 @@ SELECT master_id, CAST(DATE '{START}' + to_months(CAST(k AS INTEGER)) AS DATE) A
 
 
 def first_masters(spark, sf_dir):
-    return star.sales_flat(spark, sf_dir, ["product", "master_id"]).groupBy("product").agg(F.min("master_id").alias("master_id"))
+    return up.lowest_text(star.sales_flat(spark, sf_dir, ["product", "master_id"]), ["product"], "master_id")
 
 
 def latest_prices(spark, sf_dir):

@@ -56,12 +56,11 @@ JOIN (SELECT mapping_id, min(result_date) AS forecast_start, max(result_date) AS
     ),
 )
 def k3(spark, sf_dir):
-    """Best model, its score, the factor list from the filters JSON and the forecast span per run."""
-    filters = F.to_json(F.struct(F.array(F.lit("urgent"), F.lit("high")).alias("selected_external_factors")))
-    listed = F.from_json(F.get_json_object(filters, "$.selected_external_factors"), "array<string>")
+    """Best model, its score, the factor list from the run's JSON and the forecast span per run."""
+    listed = F.from_json(F.get_json_object("metadata", "$.selected_external_factors"), "array<string>")
     ahead = F.when(F.col("result_type") == "future_forecast", F.col("result_date"))
     best = sel.rows_of_best(results(spark, sf_dir)).groupBy("run_id", "algorithm_id").agg(
-        F.round(F.max("avg_metric"), 4).alias("avg_metric"), F.min(ahead).alias("forecast_start"), F.max(ahead).alias("forecast_end")
+        F.round(F.max("avg_metric"), 4).alias("avg_metric"), F.first("metadata").alias("metadata"), F.min(ahead).alias("forecast_start"), F.max(ahead).alias("forecast_end")
     )
     return best.join(algorithms(spark), "algorithm_id").select(
         "run_id", "algorithm_name", "avg_metric", F.array_join(listed, ",").alias("external_factors"), "forecast_start", "forecast_end"
@@ -126,7 +125,8 @@ def o3(spark, sf_dir):
 def o5(spark, sf_dir):
     """Requested run ids, one per supplier number, that no run has."""
     asked = star.table(spark, sf_dir, "supplier").select(F.concat(F.lit("run-Brand#"), F.col("s_suppkey").cast("string")).alias("run_id"))
-    return ops.missing_ids(asked, results(spark, sf_dir), "run_id")
+    runs = star.sales_flat(spark, sf_dir, ["product"]).distinct().select(F.concat(F.lit("run-"), "product").alias("run_id"))
+    return ops.missing_ids(asked, runs, "run_id")
 
 
 @job(

@@ -12,6 +12,7 @@ from demandloom.plans import star
 from demandloom.plans.registry import job
 from demandloom.plans.totals import FACTOR_COLUMNS, PRIORITIES, monthly
 from demandloom.plans.twins import add_view, with_views
+from demandloom.session import cut_lineage
 
 START, HORIZON = "2001-12-01", 12
 
@@ -543,8 +544,8 @@ def m14(spark, sf_dir):
 def _pooled_rows(spark, sf_dir, estimator):
     from demandloom.operators import trees
 
-    series = product_series(spark, sf_dir)
-    made = trees.roll_pooled(trees.fit_pooled(series, ["product"], estimator), series, ["product"], HORIZON)
+    series = cut_lineage(product_series(spark, sf_dir))  # the fit and the roll-out both read it
+    made = trees.roll_pooled(trees.fit_pooled(series, ["product"], estimator, partitions=4), series, ["product"], HORIZON)
     out = made.select("product", F.posexplode("forecast").alias("k", "v"))
     return out.select(
         "product", F.col("k").cast("bigint").alias("step"),
@@ -557,7 +558,7 @@ def m11(spark, sf_dir):
     """One forest over the lag rows of all products."""
     from demandloom.operators import trees
 
-    return _pooled_rows(spark, sf_dir, trees.forest(n_estimators=20, max_depth=6))
+    return _pooled_rows(spark, sf_dir, trees.forest())
 
 
 @job("m12_gradient_boosting")
@@ -565,4 +566,31 @@ def m12(spark, sf_dir):
     """One boosted ensemble over the lag rows of all products."""
     from demandloom.operators import trees
 
-    return _pooled_rows(spark, sf_dir, trees.boosting(n_estimators=10, max_depth=4))
+    return _pooled_rows(spark, sf_dir, trees.boosting(max_depth=4))
+
+
+@job(
+    "m11_row_set",
+    with_views(
+        "dp_idx",
+        then=f"""
+, cut AS (SELECT product, regr_slope(y, t) AS s, regr_intercept(y, t) AS b FROM dp_idx WHERE t < 8 GROUP BY product),
+have AS (SELECT product, max(n) AS n FROM dp_idx GROUP BY product)
+SELECT product, 'short' AS part, k AS step, {_DATE}, round(greatest(b + s * (8 + k), 0), 4) AS line FROM cut, {_STEPS}
+UNION ALL SELECT product, 'whole', k, {_DATE}, NULL FROM have, {_STEPS} WHERE n >= 10""",
+    ),
+)
+def m11_rows(spark, sf_dir):
+    """Pooled trees over whole series and over their first eight points: the latter get the fitted line."""
+    from demandloom.operators import trees
+
+    series = product_series(spark, sf_dir)
+    short = series.select("product", F.lit("short").alias("part"), F.slice("ys", 1, 8).alias("ys"))
+    both = cut_lineage(short.unionByName(series.where(F.size("ys") >= 10).select("product", F.lit("whole").alias("part"), "ys")))
+    keys = ["product", "part"]
+    made = trees.roll_pooled(trees.fit_pooled(both, keys, trees.forest(10, 3), partitions=4), both, keys, HORIZON)
+    out = made.select(*keys, F.posexplode("forecast").alias("k", "v"))
+    return out.select(
+        *keys, F.col("k").cast("bigint").alias("step"), F.add_months(F.lit(START).cast("date"), F.col("k")).alias("forecast_date"),
+        F.when(F.col("part") == "short", F.round("v", 4)).alias("line"),
+    )

@@ -431,10 +431,9 @@ def s14_dims(spark, sf_dir):
     with_views("dp_split", then="SELECT master_id, date, quantity, unit_price, uom FROM dp_split"),
 )
 def s14(spark, sf_dir):
-    """Facts joined back to the dimension rows of the same batch, NULL-safe."""
-    dims, facts = src.split_records(erp_rows(spark, sf_dir))
-    keyed = dims.withColumn("master_id", natural_key(_ERP_DIMS))
-    return src.attach_master(facts, keyed, _ERP_DIMS).select("master_id", "date", "quantity", "unit_price", "uom")
+    """Facts under the id of their dimension row. The id is a hash of the row, so no join is needed."""
+    _, facts = src.split_records(erp_rows(spark, sf_dir))
+    return facts.select(natural_key(_ERP_DIMS).alias("master_id"), "date", "quantity", "unit_price", "uom")
 
 
 add_view(
@@ -462,14 +461,13 @@ FROM inc i FULL JOIN dp_known k ON i.customer IS NOT DISTINCT FROM k.customer AN
     ),
 )
 def s15_dims(spark, sf_dir):
-    """Records that match an existing dimension row update it, the others insert one."""
+    """Records that match an existing dimension row update it, the others insert one; either side is read once."""
     incoming, _ = src.split_records(erp_rows(spark, sf_dir))
-    known = known_dims(spark, sf_dir)
-    hit = known.join(incoming, up.null_safe(known, incoming, _ERP_DIMS), "left_semi").withColumn("origin", F.lit("updated"))
-    rest = known.join(incoming, up.null_safe(known, incoming, _ERP_DIMS), "left_anti")
-    fresh = incoming.join(known, up.null_safe(incoming, known, _ERP_DIMS), "left_anti")
-    fresh = fresh.select(natural_key(_ERP_DIMS).alias("master_id"), *_ERP_DIMS, F.lit("inserted").alias("origin"))
-    return hit.unionByName(rest).unionByName(fresh)
+    old = known_dims(spark, sf_dir).select(F.struct("master_id", *_ERP_DIMS).alias("_old"))
+    new = incoming.select(F.struct(natural_key(_ERP_DIMS).alias("master_id"), *_ERP_DIMS).alias("_new"))
+    met = old.join(new, [F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}")) for c in _ERP_DIMS], "full")
+    origin = F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull(), "known").otherwise("updated")
+    return met.select(F.coalesce("_old", "_new").alias("_row"), origin.alias("origin")).select("_row.*", "origin")
 
 
 @job(

@@ -10,9 +10,10 @@ from demandloom.operators import selection as sel
 from demandloom.operators import upsert as up
 from demandloom.operators.filters import date_range, dimension_filter
 from demandloom.plans import star
-from demandloom.plans.choose import latest_prices, results, twin
+from demandloom.plans.choose import first_masters, latest_prices, results, twin
 from demandloom.plans.registry import job
 from demandloom.plans.twins import add_view, with_views
+from demandloom.session import cut_lineage
 
 SOURCE, TARGET = ["product"], ["product", "location"]
 
@@ -155,9 +156,7 @@ def multi_table(spark, sf_dir):
     }
     out = None
     for name, (rows, date, base, base_date) in sets.items():
-        totals = rows.where(date_range(date, *WINDOW)).groupBy(*SOURCE, period_start(F.col(date), "QUARTERLY").alias("period")).agg(
-            F.sum("quantity").alias("quantity"), F.max("uom").alias("uom")
-        )
+        totals = star.total_with_text(rows.where(date_range(date, *WINDOW)), [*SOURCE, period_start(F.col(date), "QUARTERLY").alias("period")])
         ratios = ops.split_ratios(base.where(date_range(base_date, *WINDOW)), SOURCE, TARGET, date=base_date, interval="QUARTERLY")
         part = ops.allocate(totals, ratios, [*SOURCE, "period"]).withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -221,20 +220,32 @@ add_view("dp_key", member_sql("dp_kf", _LOOKBACK), ["dp_members", "dp_kf"])
 add_view("dp_equal", member_sql(None), ["dp_members"])
 
 
-def members(spark, sf_dir):
-    flat = star.sales_flat(spark, sf_dir, ["product", "master_id", "customer", "location_region"])
-    return flat.where(dimension_filter(_MEMBERS)).select("product", "master_id").distinct()
+def by_master(spark, sf_dir):
+    """The one pass over the facts that members, plan rows and the key figure of a job come from.
 
-
-def key_figure(spark, sf_dir):
-    """Sales as the key figure, with returns as negatives and one product without figures."""
-    flat = star.sales_flat(spark, sf_dir, ["product", "master_id", "sale_date", "quantity"])
+    A row per master and month, written once to the checkpoint folder. The key figure counts returns
+    as negatives, leaves one product without figures, and looks back over two years of sale dates.
+    """
+    dims = ["master_id", "product", "customer", "location_region"]
+    flat = star.sales_flat(spark, sf_dir, [*dims, "sale_date", "quantity", "uom"])
     q = F.when(F.col("product") == "Brand#12", 0.0).when(F.col("quantity") > 45, -F.col("quantity")).otherwise(F.col("quantity"))
-    return flat.select("master_id", F.col("sale_date").alias("plan_date"), q.alias("quantity"))
+    seen = date_range("sale_date", "1996-01-01", "1997-12-31")
+    keys = [*dims, period_start(F.col("sale_date")).alias("plan_date")]
+    fine = flat.groupBy(*keys, "uom").agg(F.sum("quantity").alias("quantity"), F.sum(F.when(seen, q).otherwise(0.0)).alias("key_quantity"))
+    out = fine.groupBy(*dims, "plan_date").agg(F.sum("quantity").alias("quantity"), F.max("uom").alias("uom"), F.sum("key_quantity").alias("key_quantity"))
+    return cut_lineage(out)
+
+
+def members(base):
+    return base.where(dimension_filter(_MEMBERS)).select("product", "master_id").distinct()
+
+
+def plan_of(base):
+    return star.with_plan_type(base.select("master_id", "plan_date", "quantity", "uom"))
 
 
-def key_ratios(spark, sf_dir):
-    return ops.member_ratios(members(spark, sf_dir), ["product"], table=key_figure(spark, sf_dir), start="1996-01-01", end="1997-12-31")
+def key_ratios(base):
+    return ops.member_ratios(members(base), ["product"], table=base.select("master_id", F.col("key_quantity").alias("quantity")))
 
 
 @job(
@@ -248,9 +259,10 @@ def key_ratios(spark, sf_dir):
     ),
 )
 def d6(spark, sf_dir):
-    own = ops.member_ratios(members(spark, sf_dir), ["product"], table=star.plan_rows(spark, sf_dir))
-    equal = ops.member_ratios(members(spark, sf_dir), ["product"])
-    sets = {"own_ratio": own, "key_figure": key_ratios(spark, sf_dir), "equal": equal}
+    base = by_master(spark, sf_dir)
+    own = ops.member_ratios(members(base), ["product"], table=plan_of(base))
+    equal = ops.member_ratios(members(base), ["product"])
+    sets = {"own_ratio": own, "key_figure": key_ratios(base), "equal": equal}
     out = None
     for method, df in sets.items():
         part = df.select(F.lit(method).alias("method"), "product", "master_id", F.round("ratio", 8).alias("ratio"))
@@ -277,8 +289,9 @@ add_view(
 @job("d7_apply_ratios", with_views("dp_key", "dp_listed", then=apply_sql("dp_key", "dp_listed")))
 def d7(spark, sf_dir):
     """Shares rounded to four places; each product and date sums to its total exactly."""
-    group = members(spark, sf_dir)
-    out = ops.apply_ratios(key_ratios(spark, sf_dir), ops.listed_periods(group, ["product"], LISTED), ["product"])
+    base = by_master(spark, sf_dir)
+    group = members(base)
+    out = ops.apply_ratios(key_ratios(base), ops.listed_periods(group, ["product"], LISTED), ["product"])
     return out.drop("ratio")
 
 
@@ -290,8 +303,8 @@ add_view(
 )
 
 
-def ranged(spark, sf_dir):
-    return ops.period_totals(star.plan_rows(spark, sf_dir), members(spark, sf_dir), ["product"], "1998-01-01", "1998-12-31")
+def ranged(base):
+    return ops.period_totals(plan_of(base), members(base), ["product"], "1998-01-01", "1998-12-31")
 
 
 @job(
@@ -305,10 +318,11 @@ UNION ALL SELECT 'range', product, plan_date, quantity FROM dp_range""",
     ),
 )
 def d8(spark, sf_dir):
-    group = members(spark, sf_dir)
+    base = by_master(spark, sf_dir)
+    group = members(base)
     many = ops.listed_periods(group, ["product"], LISTED).withColumn("mode", F.lit("periods"))
     one = ops.listed_periods(group, ["product"], LISTED[:1]).withColumn("mode", F.lit("single"))
-    return many.unionByName(one).unionByName(ranged(spark, sf_dir).withColumn("mode", F.lit("range")))
+    return many.unionByName(one).unionByName(ranged(base).withColumn("mode", F.lit("range")))
 
 
 @job(
@@ -323,13 +337,14 @@ SELECT * FROM new UNION ALL SELECT *, NULL FROM dp_plan p WHERE NOT EXISTS (SELE
 )
 def d9(spark, sf_dir):
     """Range totals by key-figure ratios, written over the plan with type and audit columns."""
-    shares = ops.apply_ratios(key_ratios(spark, sf_dir), ranged(spark, sf_dir), ["product"])
+    base = by_master(spark, sf_dir)
+    shares = ops.apply_ratios(key_ratios(base), ranged(base), ["product"])
     priced = shares.join(latest_prices(spark, sf_dir).select("master_id", "uom"), "master_id", "left")
     new = priced.select(
         "master_id", "plan_date", "quantity", F.coalesce("uom", F.lit("UNIT")).alias("uom"), F.lit("disaggregated").alias("plan_type"),
         F.lit("planner").alias("updated_by"),
     )
-    return up.upsert(star.plan_rows(spark, sf_dir).withColumn("updated_by", F.lit(None).cast("string")), new, ["master_id", "plan_date"])
+    return up.upsert(plan_of(base).withColumn("updated_by", F.lit(None).cast("string")), new, ["master_id", "plan_date"])
 
 
 @job(
@@ -345,8 +360,9 @@ FROM new n FULL JOIN dp_plan p ON n.master_id = p.master_id AND n.plan_date = p.
 )
 def d10(spark, sf_dir):
     """An edited group total spread by the table's own totals; on conflict only the target changes."""
-    plan = star.plan_rows(spark, sf_dir).select("master_id", "plan_date", "quantity", "uom")
-    ratios = ops.member_ratios(members(spark, sf_dir), ["product"], table=plan, clamp=False)
+    base = by_master(spark, sf_dir)
+    plan = plan_of(base).drop("plan_type")
+    ratios = ops.member_ratios(members(base), ["product"], table=plan, clamp=False)
     priced = ratios.join(latest_prices(spark, sf_dir).select("master_id", "uom"), "master_id", "left")
     new = priced.select(
         "master_id", F.lit("1998-06-01").cast("date").alias("plan_date"), (F.col("ratio") * 5000).alias("quantity"), F.coalesce("uom", F.lit("UNIT")).alias("uom")
@@ -372,7 +388,8 @@ def d11(spark, sf_dir):
     """Filtered copy between tables; rows already there keep their unit and price."""
     flat = star.sales_flat(spark, sf_dir, ["master_id", "product", "sale_date", "quantity", "uom", "unit_price"])
     rows = flat.where(dimension_filter({"product": ["Brand#11", "Brand#13"]}) & date_range("sale_date", "1996-01-01", "1999-06-30"))
-    src = rows.groupBy("master_id", F.col("sale_date").alias("plan_date")).agg(*[F.max(c).alias(c) for c in ("quantity", "uom", "unit_price")])
+    fine = rows.groupBy("master_id", F.col("sale_date").alias("plan_date"), "uom").agg(F.max("quantity").alias("quantity"), F.max("unit_price").alias("unit_price"))
+    src = fine.groupBy("master_id", "plan_date").agg(*[F.max(c).alias(c) for c in ("quantity", "uom", "unit_price")])
     tgt = star.plan_rows(spark, sf_dir).select("master_id", "plan_date", "quantity", F.lit("PLAN").alias("uom"), F.lit(7.0).alias("unit_price"))
     return up.upsert_target_only(tgt, src, ["master_id", "plan_date"], "quantity")
 
@@ -388,6 +405,6 @@ FROM dp_first_master f LEFT JOIN dp_plan p ON p.master_id = f.master_id AND p.pl
 )
 def d12(spark, sf_dir):
     """One edited cell per product, reported as inserted or updated."""
-    first = star.sales_flat(spark, sf_dir, ["product", "master_id"]).groupBy("product").agg(F.min("master_id").alias("master_id"))
+    first = first_masters(spark, sf_dir)
     cell = first.select("master_id", F.lit("1998-01-01").cast("date").alias("plan_date"), F.lit(42.0).alias("quantity"))
     return up.upsert_flags(star.plan_rows(spark, sf_dir), cell, ["master_id", "plan_date"])

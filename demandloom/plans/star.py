@@ -70,17 +70,28 @@ def master(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
     return sales_flat(spark, sf_dir, ["master_id", *(columns or DIMS)]).distinct()
 
 
+def total_with_text(rows: DataFrame, keys: list, quantity: str = "quantity", text: str = "uom") -> DataFrame:
+    """Sum of the quantity and highest text per key.
+
+    Rows collapse by hash with the text among the keys; only what is left is sorted for the text.
+    """
+    fine = rows.groupBy(*keys, text).agg(F.sum(quantity).alias(quantity))
+    names = [c for c in fine.columns if c not in (quantity, text)]
+    return fine.groupBy(*names).agg(F.sum(quantity).alias(quantity), F.max(text).alias(text))
+
+
 def plan_rows(spark: SparkSession, sf_dir: str, dims: list[str] = ()) -> DataFrame:
     """Planning table: monthly totals per master, large ones entered by hand.
 
     Dimension columns hang on master_id, so they ride along as grouping keys.
     """
     rows = sales_flat(spark, sf_dir, ["master_id", *dims, "sale_date", "quantity", "uom"])
-    out = rows.groupBy("master_id", *dims, period_start(F.col("sale_date")).alias("plan_date")).agg(
-        F.sum("quantity").alias("quantity"), F.max("uom").alias("uom")
-    )
-    kind = F.when(F.col("quantity") > 60, "manual").otherwise("disaggregated")
-    return out.withColumn("plan_type", kind)
+    out = total_with_text(rows, ["master_id", *dims, period_start(F.col("sale_date")).alias("plan_date")])
+    return with_plan_type(out)
+
+
+def with_plan_type(plan: DataFrame) -> DataFrame:
+    return plan.withColumn("plan_type", F.when(F.col("quantity") > 60, "manual").otherwise("disaggregated"))
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
