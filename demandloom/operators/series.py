@@ -119,12 +119,22 @@ def factor_interval(rows: DataFrame, key: str = "factor_name", date: str = "fact
     return gaps.groupBy(key).agg(gap.alias("median_gap")).withColumn("interval", name)
 
 
+FACTOR_POINTS = 3
+
+
+def short_factors(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked factors that have too few points to be continued, with their number of points."""
+    have = rows.groupBy("factor_name").agg(F.count("*").alias("points"))
+    out = asked.select("factor_name").distinct().join(have, "factor_name", "left").fillna(0, ["points"])
+    return out.where(F.col("points") < FACTOR_POINTS)
+
+
 def extend_factors(rows: DataFrame, start: str, end: str, floor: bool = True) -> DataFrame:
     """Linear continuation of each factor over an inclusive date range at its own frequency.
 
-    Factors with fewer than three points are left out; the caller lists them as failed.
+    Factors with fewer than three points are left out; ``short_factors`` lists them.
     """
-    series = to_series(rows, ["factor_name"], "factor_date", "factor_value").where(F.col("n") >= 3)
+    series = to_series(rows, ["factor_name"], "factor_date", "factor_value").where(F.col("n") >= FACTOR_POINTS)
     freq = factor_interval(rows)
     a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
     units = {"DAILY": "DAILY", "WEEKLY": "WEEKLY", "MONTHLY": "MONTHLY", "QUARTERLY": "QUARTERLY", "YEARLY": "YEARLY"}

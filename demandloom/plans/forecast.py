@@ -217,6 +217,19 @@ def t8(spark, sf_dir):
     return out.withColumn("factor_value", F.round("factor_value", 4))
 
 
+@job(
+    "t8_failed_factors",
+    with_views("dp_factors", then="SELECT factor_name, count(*) AS points FROM dp_factors WHERE factor_name < '3' AND factor_date < DATE '1995-03-01' OR factor_name >= '3' "
+               "GROUP BY factor_name HAVING count(*) < 3 UNION ALL SELECT 'no such factor', 0"),
+)
+def t8_failed(spark, sf_dir):
+    """Asked factors that cannot be continued, with the points they have; some histories are cut short here."""
+    known = star.factors(spark, sf_dir)
+    short = known.where((F.col("factor_name") >= "3") | (F.col("factor_date") < F.lit("1995-03-01").cast("date")))
+    asked = known.select("factor_name").distinct().unionByName(spark.createDataFrame([("no such factor",)], "factor_name string"))
+    return ops.short_factors(short, asked)
+
+
 _WIDE = (
     "SELECT product, period, total_quantity, transaction_count, 1.0 AS constant_factor, "
     + ", ".join(f"max(CASE WHEN factor_name = '{p}' THEN factor_value END) AS {c}" for p, c in zip(PRIORITIES, FACTOR_COLUMNS))

@@ -266,6 +266,19 @@ def s9(spark, sf_dir):
     return src.upload_report(validated(spark, sf_dir), "upload_id")
 
 
+@job(
+    "s9_history_page",
+    with_views(
+        "dp_valid",
+        then="SELECT upload_id, count(*) AS total_rows, count(*) FILTER (errors = '') AS success_count, count(*) FILTER (errors <> '') AS failed_count, "
+        "'completed' AS status FROM dp_valid GROUP BY upload_id ORDER BY upload_id DESC LIMIT 3 OFFSET 1",
+    ),
+)
+def s9_history(spark, sf_dir):
+    """A page of the upload history, newest first; uploads are numbered as they come."""
+    return src.upload_report(validated(spark, sf_dir), "upload_id").orderBy(F.col("upload_id").desc()).offset(1).limit(3)
+
+
 @job(
     "s9_error_rows",
     with_views(
@@ -676,9 +689,10 @@ SELECT {nk_sql('master_id', 'CAST(period AS VARCHAR)')} AS plan_id, master_id, p
 def s23(spark, sf_dir):
     """Planning table in the fact's shape with its tracking columns."""
     flat = star.sales_flat(spark, sf_dir, ["master_id", "sale_date", "quantity", "uom", "unit_price"])
-    rows = flat.groupBy("master_id", period_start(F.col("sale_date")).alias("plan_date")).agg(
-        F.sum("quantity").alias("quantity"), F.max("uom").alias("uom"), F.max("unit_price").alias("unit_price")
+    fine = flat.groupBy("master_id", period_start(F.col("sale_date")).alias("plan_date"), "uom").agg(
+        F.sum("quantity").alias("quantity"), F.max("unit_price").alias("unit_price")
     )
+    rows = fine.groupBy("master_id", "plan_date").agg(F.sum("quantity").alias("quantity"), F.max("uom").alias("uom"), F.max("unit_price").alias("unit_price"))
     return rows.withColumn("_d", F.col("plan_date").cast("string")).select(
         natural_key(["master_id", "_d"]).alias("plan_id"), "master_id", "plan_date", "quantity", "uom", "unit_price",
         F.lit("manual").alias("type"), F.lit("product-product_group-customer-location").alias("disaggregation_level"),

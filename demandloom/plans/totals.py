@@ -154,6 +154,28 @@ def a6(spark, sf_dir):
     return ops.tagged_totals({"sales_data": (flat, "sale_date"), "final_plan": (plan, "plan_date")}, by)
 
 
+@job(
+    "a6_group_page",
+    with_views(
+        "dp_sales", "dp_plan", "dp_master",
+        then="""
+, g AS (SELECT DISTINCT product, location_region FROM dp_master ORDER BY product, location_region LIMIT 20 OFFSET 20)
+SELECT m.product, m.location_region, sale_date AS row_date, sum(quantity) AS quantity, max(uom) AS uom, 'sales_data' AS table_name
+FROM dp_sales s JOIN dp_master m ON s.master_id = m.master_id JOIN g ON g.product = m.product AND g.location_region = m.location_region GROUP BY ALL
+UNION ALL
+SELECT m.product, m.location_region, plan_date, sum(quantity), max(uom), 'final_plan'
+FROM dp_plan s JOIN dp_master m ON s.master_id = m.master_id JOIN g ON g.product = m.product AND g.location_region = m.location_region GROUP BY ALL""",
+    ),
+)
+def a6_page(spark, sf_dir):
+    """The second page of twenty groups with their totals of every table."""
+    by = ["product", "location_region"]
+    flat = star.sales_flat(spark, sf_dir, [*by, "sale_date", "quantity", "uom"])
+    groups = flat.select(*by).distinct().orderBy(*by).offset(20).limit(20)
+    plan = star.plan_rows(spark, sf_dir, by)
+    return ops.tagged_totals({n: (df.join(groups, by), d) for n, (df, d) in {"sales_data": (flat, "sale_date"), "final_plan": (plan, "plan_date")}.items()}, by)
+
+
 @job(
     "a6_group_count",
     with_views("dp_master", then="SELECT count(*) AS group_count FROM (SELECT DISTINCT product, location_region FROM dp_master)"),

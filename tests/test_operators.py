@@ -393,3 +393,31 @@ def test_merges_read_each_side_once(spark):
     batch = spark.createDataFrame([("a", None, 1), ("b", "c", 2), (None, None, 3), ("b", "c", 4)], "x string, y string, i int")
     made = up.find_or_create(dims, batch, ["x", "y"], ["i"], "id")
     assert made.count() == 3 and [r.x for r in made.where("is_new").collect()] == ["b"]
+
+
+def test_table_versions(spark, tmp_path):
+    from demandloom.sources import tables
+
+    root, df = str(tmp_path), spark.createDataFrame([(1, "a")], "k int, v string")
+    assert tables.list_tables(spark, root) == [] and tables.versions(spark, root, "plan") == []
+    assert tables.write_table(df, root, "plan") == 1
+    assert tables.write_table(tables.read_table(spark, root, "plan").union(df), root, "plan") == 2
+    (tmp_path / "plan" / "v000000003").mkdir()  # a writer that was lost
+    assert tables.read_table(spark, root, "plan").count() == 2 and tables.read_table(spark, root, "plan", 1).count() == 1
+    assert tables.list_tables(spark, root) == ["plan"] and tables.write_table(df, root, "plan") == 4
+    for bad in (lambda: tables.write_table(df, root, "a/b"), lambda: tables.read_table(spark, root, "none"), lambda: tables.read_table(spark, root, "plan", 3)):
+        with pytest.raises(ValueError):
+            bad()
+    assert tables.drop_table(spark, root, "plan") and tables.list_tables(spark, root) == []
+
+
+def test_tables_hold_the_catalogues_types(spark, tmp_path):
+    from demandloom.sources import tables
+
+    fields = [{"field_name": "d", "data_type": "Date", "is_date_field": True}, {"field_name": "q", "data_type": "Decimal", "is_target_variable": True}]
+    catalogue = Catalogue.parse({"fields": fields})
+    typed = typed_load(spark.createDataFrame([("2024-01-02", "1.5")], "d string, q string"), catalogue).drop("rejected")
+    assert tables.write_table(typed, str(tmp_path), "sales", catalogue) == 1
+    assert tables.read_table(spark, str(tmp_path), "sales").dtypes == [("d", "date"), ("q", "decimal(18,2)")]
+    with pytest.raises(ValueError, match="another type"):
+        tables.write_table(typed.withColumn("q", F.lit("x")), str(tmp_path), "sales", catalogue)
