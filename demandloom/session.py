@@ -11,6 +11,9 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A shuffle of a few kilobytes can feed much processor work (a model per series): AQE may keep
+    # as many tasks as there are cores for it.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
     "spark.sql.ansi.enabled": "true",
     # The JVM does not compile methods above 8000 bytecodes; wide row expressions then run
     # interpreted. Beyond the limit Spark splits the projection into methods that compile.
