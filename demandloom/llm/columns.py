@@ -52,10 +52,13 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The frame written once, as a table in the shared folder of ``spark.checkpoint.dir``, and read from there."""
+    """The frame written once, as a table in the shared folder of ``spark.checkpoint.dir``, and read from there.
+
+    The tables of an application lie in one folder of its id, to be removed when the application is done.
+    """
     shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not shared:
         return cut_lineage(df)
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{df.sparkSession.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

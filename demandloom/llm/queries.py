@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +67,12 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """``tokenizer``: path of the vocabulary file; by default that of the installed package."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.count_tokens(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return tokencount.count_tokens(docs, tokenizer)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
