@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from demandloom.llm.columns import packed, stored, unpacked
-from demandloom.llm.shingles import BITS, Shingler, bitmap
+from demandloom.llm.columns import let, packed, stored, unpacked
+from demandloom.llm.shingles import Shingler, bitmap
 from demandloom.session import cut_lineage
 
 WORDS, PERCENT = 4, 85
 SAMPLE, SEEN, COMMON = 32, 3, 1 << 18
 FILTER_BITS = 1 << 24
+HOT, BLOCK, WIDE_BITS = 256, 1024, 12
 
 
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
@@ -33,6 +34,15 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     return n - need + 1, n - least + 1
 
 
+def prefix(hashes: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
+    """The set's first shingles in the order all sets follow: by hash, the common ones last."""
+    late = np.zeros(len(hashes), bool)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        late = often[at] == hashes
+    return np.concatenate([hashes[~late], hashes[late]])[: prefix_sizes(len(hashes), percent)[0]]
+
+
 def _class(hashes: np.ndarray) -> int:
     """64-bit name of a set; sets of one name are taken as equal."""
     sums = int(hashes.sum()) * 0xD6E8FEB86659FD93 % 2**64
@@ -67,12 +77,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             sets = list(shingler.sets(b.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())],
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
                 ["at", "doc_id", "cls", "n", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("at", "doc_id", "text").mapInArrow(sign, f"at bigint, doc_id {kind}, cls bigint, n bigint, bits binary"))
+    return stored(docs.select("at", "doc_id", "text").mapInArrow(sign, f"at bigint, doc_id {kind}, cls bigint, n bigint, bits array<bigint>"))
 
 
 def shared_prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -89,10 +99,8 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarra
                 if not n or name in done:
                     continue
                 done.add(name)
-                at = np.searchsorted(often, s)
-                late = (at < len(often)) & (often[np.minimum(at, len(often) - 1)] == s) if len(often) else np.zeros(n, bool)
                 p, q = prefix_sizes(n, percent)
-                own = np.concatenate([s[~late], s[late]])[:p].view(np.int64)
+                own = prefix(s, percent, often).view(np.int64)
                 out.append((own, np.full(p, name), np.full(p, n), np.arange(p), np.arange(p) < q))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "cls", "n", "pos", "lead"])
@@ -110,47 +118,69 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 def overlap_bound(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps leave room: a bit only one set has is a shingle the other lacks."""
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    split = lambda c: F.array(*[word(F.col(c), i) for i in range(BITS // 64)])
-    side = lambda x: signs.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), split("bits").alias(f"bits_{x}"))
-    only = lambda x, y: sum((F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(BITS // 64)), F.lit(0))
+    side = lambda x: signs.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    most = F.least(F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
-    return both.where(enough(most, percent)).select("a", "b", "n_a", "n_b")
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+
+    def most(x: Column, y: Column) -> Column:
+        return F.least(F.col("n_a") - only(x, y), F.col("n_b") - only(y, x))
+
+    length = F.least(F.size("bits_a"), F.size("bits_b"))
+    bound = let(folded(F.col("bits_a"), length), lambda x: let(folded(F.col("bits_b"), length), lambda y: most(x, y)))
+    return both.where(enough(bound, percent)).select("a", "b", "n_a", "n_b")
+
+
+def folded(bits: Column, length: Column) -> Column:
+    """The map as it would be with ``length`` words."""
+    part = lambda j: F.slice(bits, j * length + 1, length)
+    fold = F.aggregate(F.sequence(F.lit(1), (F.size(bits) / length).cast("int") - 1), part(F.lit(0)), lambda s, j: F.zip_with(s, part(j.cast("int")), lambda p, q: p.bitwiseOR(q)))
+    return F.when(F.size(bits) == length, bits).otherwise(fold)
 
 
 def enough(common: Column, percent: int) -> Column:
     return F.lit(100) * common >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose exact overlap reaches the threshold.
+def passed_by(wanted: DataFrame, docs: DataFrame) -> tuple[DataFrame, object]:
+    """Documents with the place of their bit, and the broadcast filter of the wanted rows' bits.
 
-    Sets are built again, for documents of the named classes alone: a bit filter of fixed size over
-    their ids lets them through, and whatever else passes is dropped by the join on the class.
+    The filter has a fixed size; a larger share of it is set where more rows are wanted.
     """
-    pairs = stored(pairs)
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    one = signs.groupBy("cls").agg(F.min("at").alias("at"))
-    wanted = stored(classes.join(one, "cls"))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     filled = wanted.select(place(F.col("at")).alias("pos")).groupBy(F.expr("int(pos div 64)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(pos % 64))")).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     for r in filled:
         table[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
-    asked = docs.sparkSession.sparkContext.broadcast(table)
+    return docs.select("at", place(F.col("at")).alias("pos"), "text"), docs.sparkSession.sparkContext.broadcast(table)
+
+
+def passing(batch: pa.RecordBatch, bits: np.ndarray, step: int = 256) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(at, text) of the rows that the filter lets through, a few at a time."""
+    pos = batch.column(1).to_numpy()
+    hit = pa.array((bits[pos // 64] >> (pos % 64).astype(np.uint64)) & np.uint64(1) == 1)
+    ats, texts = batch.column(0).filter(hit), batch.column(2).filter(hit)
+    for i in range(0, len(ats), step):
+        yield ats[i : i + step], texts[i : i + step]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, signs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose exact overlap reaches the threshold.
+
+    Sets are built again, for documents of the named classes alone: a bit filter of fixed size over
+    their places lets them through, and whatever else passes is dropped by the join on the place.
+    """
+    pairs = stored(pairs)
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = stored(classes.join(signs.groupBy("cls").agg(F.min("at").alias("at")), "cls"))
+    rows, asked = passed_by(wanted, docs)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bits = Shingler(words), asked.value
+        shingler = Shingler(words)
         for b in batches:
-            pos = b.column(1).to_numpy()
-            hit = (bits[pos // 64] >> (pos % 64).astype(np.uint64)) & np.uint64(1) == 1
-            for i in range(0, len(ats := b.column(0).filter(pa.array(hit))), 256):
-                sets = list(shingler.sets(b.column(2).filter(pa.array(hit))[i : i + 256]))
-                yield pa.RecordBatch.from_arrays([ats[i : i + 256], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["at", "items"])
-
-    some = docs.select("at", place(F.col("at")).alias("pos"), "text").mapInArrow(build, "at bigint, items array<bigint>")
-    sets = stored(some.join(wanted, "at").select("cls", "items"))
+            for ats, texts in passing(b, asked.value):
+                yield pa.RecordBatch.from_arrays([ats, pa.array([s.view(np.int64) for s in shingler.sets(texts)], pa.list_(pa.int64()))], ["at", "items"])
+
+    sets = stored(rows.mapInArrow(build, "at bigint, items array<bigint>").join(wanted, "at").select("cls", "items"))
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("items").alias(f"items_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(enough(F.size(F.array_intersect("items_a", "items_b")), percent)).select("a", "b")
@@ -184,12 +214,17 @@ def _star_pairs(hits: DataFrame, percent: int) -> DataFrame:
     return ends.select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b")).distinct()
 
 
-def _tile_pairs(hits: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs between different components that meet in a tile and pass the bounds on size and place."""
-    named = hits.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def _between(hits: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the tokens that classes of different components share, with ``root`` and the tile's size ``met``."""
     by = Window.partitionBy("token")
-    named = named.withColumns({"low": F.min("root").over(by), "high": F.max("root").over(by)}).where("low < high").drop("low", "high")
-    named = named.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100))).cast("int"))
+    named = hits.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = named.withColumns({"low": F.min("root").over(by), "high": F.max("root").over(by), "met": F.count("*").over(by)})
+    return stored(named.where("low < high").drop("low", "high"))
+
+
+def _tile_pairs(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs between different components that meet in a small tile and pass the bounds on size and place."""
+    named = named.where(F.col("met") <= HOT).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100))).cast("int"))
     # The smaller set is at home in its band; the larger one calls there from the same band or the next.
     # One band more on each side covers rounding at a band's edge.
     home = named.where("lead").select("token", F.col("band").alias("tile"), F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
@@ -200,13 +235,79 @@ def _tile_pairs(hits: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _hot_pairs(named: DataFrame, docs: DataFrame, signs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
+    """Pairs between different components in tiles of more than ``HOT`` classes, already bound by bitmaps.
+
+    A tile is cut into blocks of about ``BLOCK`` classes and each pair of blocks is a task's group, so no
+    tile has to fit in a task. Blocks are compared as matrices of wide bitmaps; a pair is given out
+    only where the tile's token is the first prefix shingle the two share, so once over all tiles.
+    """
+    hot = named.where(F.col("met") > HOT)
+    wanted = stored(hot.select("cls").distinct().join(signs.groupBy("cls").agg(F.min("at").alias("at")), "cls"))
+    rows, asked = passed_by(wanted, docs)
+    last = docs.sparkSession.sparkContext.broadcast(common)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            for ats, texts in passing(b, asked.value):
+                sets = list(shingler.sets(texts))
+                heads = [prefix(s, percent, last.value).view(np.int64) for s in sets]
+                wide = [bitmap(s, WIDE_BITS) for s in sets]
+                yield pa.RecordBatch.from_arrays([ats, pa.array(heads, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], ["at", "head", "bits"])
+
+    signed = stored(rows.mapInArrow(build, "at bigint, head array<bigint>, bits array<bigint>").join(wanted, "at").select("cls", "head", "bits"))
+    blocks = F.ceil(F.col("met") / BLOCK).cast("int")
+    dealt = hot.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "root").join(signed, "cls")
+    keys = ["token", "i", "j"]
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "own", "cls")
+
+    def compare(group: list[dict]) -> Iterator[tuple[int, int, int, int]]:
+        first = [r for r in group if r["own"] == r["i"]]
+        second = first if group[0]["i"] == group[0]["j"] else [r for r in group if r["own"] == r["j"]]
+        n, root = (np.array([r[c] for r in second], np.int64) for c in ("n", "root"))
+        bits, heads = np.array([r["bits"] for r in second], np.int64), [set(r["head"]) for r in second]
+        for k, r in enumerate(first):
+            start = k + 1 if second is first else 0
+            own = np.array(r["bits"], np.int64)
+            fit = np.flatnonzero((root[start:] != r["root"]) & (100 * np.minimum(n[start:], r["n"]) >= percent * np.maximum(n[start:], r["n"]))) + start
+            most = np.minimum(r["n"] - np.bitwise_count(own & ~bits[fit]).sum(1, dtype=np.int64), n[fit] - np.bitwise_count(~own & bits[fit]).sum(1, dtype=np.int64))
+            for x in fit[100 * most >= percent * (r["n"] + n[fit] - most)]:
+                if next(t for t in r["head"] if t in heads[x]) == r["token"]:
+                    a, b = sorted(((r["cls"], r["n"]), (second[x]["cls"], int(n[x]))))
+                    yield a[0], b[0], a[1], b[1]
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, out = [], []
+        for r in (r for b in batches for r in b.to_pylist()):
+            if group and any(group[0][k] != r[k] for k in keys):
+                out += compare(group)
+                group = []
+            group.append(r)
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out + (list(compare(group)) if group else []))
+
+    return dealt.select(*keys, "own", "cls", "n", "root", "head", "bits").mapInArrow(tiles, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
+
+
+def _pairs(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n_a", "n_b"])
+
+
 def class_links(docs: DataFrame, signs: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links between classes that join exactly what all links join."""
-    hits = shared_prefixes(docs, words, percent, common_shingles(docs, words))
-    stars = verified(overlap_bound(_star_pairs(hits, percent), _classes(signs), percent), docs, signs, words, percent)
-    stars = stored(stars)
-    rest = _tile_pairs(hits, components(stars), percent)
-    return stars.union(verified(overlap_bound(rest, _classes(signs), percent), docs, signs, words, percent))
+    common = common_shingles(docs, words)
+    hits = shared_prefixes(docs, words, percent, common)
+    stars = stored(verified(overlap_bound(_star_pairs(hits, percent), _classes(signs), percent), docs, signs, words, percent))
+    named = _between(hits, components(stars))
+    rest = overlap_bound(_tile_pairs(named, percent), _classes(signs), percent)
+    rest = rest.unionByName(_hot_pairs(named, docs, signs, words, percent, common)).distinct()
+    return stars.union(verified(rest, docs, signs, words, percent))
 
 
 def _classes(signs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 20
-BITS = 1024
+LEAST_BITS, MOST_BITS = 10, 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,8 +84,11 @@ class Shingler:
             i = j
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """``BITS`` bits; each hash sets one."""
-    bits = np.zeros(BITS, bool)
-    bits[(hashes >> np.uint64(54)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+def bitmap(hashes: np.ndarray, power: int | None = None) -> np.ndarray:
+    """A bit for each hash, in 64-bit words: a map of 2^power bits, or of two to four for each hash.
+
+    The number of words is a power of two, so that a map folds to the length of a shorter one.
+    """
+    bits = np.zeros(1 << (power or min(MOST_BITS, max(LEAST_BITS, int(len(hashes)).bit_length() + 1))), bool)
+    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)

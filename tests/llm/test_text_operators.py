@@ -141,6 +141,24 @@ def test_jaccard(spark, edge_rows, documents):
         assert jaccard_rows(df, words=k, percent=percent) == Counter(zip(range(len(texts)), n, group, strict=True))
 
 
+def test_jaccard_hot_tiles(spark, monkeypatch):
+    """A hot group cut into many blocks gives the same groups as small tiles do."""
+    random.seed(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for i in random.sample(range(60), k % 6):
+            w[i] = f"x{random.randrange(40)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    group, n = brute.groups(texts, 4, 85)
+    assert len(set(group)) > 3
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    assert jaccard_rows(df) == Counter(zip(range(len(texts)), n, group, strict=True))
+
+
 def test_jaccard_prefixes_cover():
     for n in range(1, 400):
         for percent in (50, 80, 85, 100):
