@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from demandloom.llm.columns import join_null_safe, let, packed, unpacked
 from demandloom.session import cut_lineage
 
-WINDOW, COVERAGE, LITERALS = 5, 0.8, 3
+WINDOW, COVERAGE, LITERALS, SENT_ROWS = 5, 0.8, 3, 500_000
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs day days week weeks month months year years "
     "hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams liter liters "
@@ -81,11 +81,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     """(at, item) for each document that holds ``coverage`` of an item's windows; ``docs`` has a column at.
 
     Windows meet by hash. Along one alignment of document and item every value of the item must stand
-    for one value of the document; alignments that break this do not count. Which side is sent whole to
-    the other is left to measured sizes.
+    for one value of the document; alignments that break this do not count. The benchmark's windows are
+    counted first: up to ``SENT_ROWS`` of them are sent to all tasks, more are joined by exchange.
     """
     found = docs.select("at", F.explode(windows(tokens(docs[text]))).alias("w")).select("at", "w.hash", F.col("w.pos").alias("p"), "w.slots")
-    hits = found.join(item_windows(benchmark, item_text, item_id), "hash")
+    known = cut_lineage(item_windows(benchmark, item_text, item_id))
+    if known.count() <= SENT_ROWS:
+        known = F.broadcast(known)
+    hits = found.join(known, "hash")
     hits = cut_lineage(hits.select("at", "item", "mark", (F.col("p") - F.col("q")).alias("shift"), "q", "slots", "item_slots", "places"))
     line = ["at", "item", "mark", "shift"]
     pairs = hits.where("slots IS NOT NULL AND item_slots IS NOT NULL").select(*line, F.split("item_slots", GAP).alias("i"), F.split("slots", GAP).alias("d"))
