@@ -268,10 +268,10 @@ def _hot_pairs(named: DataFrame, docs: DataFrame, signs: DataFrame, words: int,
         first = [r for r in group if r["own"] == r["i"]]
         second = first if group[0]["i"] == group[0]["j"] else [r for r in group if r["own"] == r["j"]]
         n, root = (np.array([r[c] for r in second], np.int64) for c in ("n", "root"))
-        bits, heads = np.array([r["bits"] for r in second], np.int64), [set(r["head"]) for r in second]
+        bits, heads = np.array([r["bits"] for r in second], np.int64).view(np.uint64), [set(r["head"]) for r in second]
         for k, r in enumerate(first):
             start = k + 1 if second is first else 0
-            own = np.array(r["bits"], np.int64)
+            own = np.array(r["bits"], np.int64).view(np.uint64)  # of a negative number numpy counts the bits of its absolute value
             fit = np.flatnonzero((root[start:] != r["root"]) & (100 * np.minimum(n[start:], r["n"]) >= percent * np.maximum(n[start:], r["n"]))) + start
             most = np.minimum(r["n"] - np.bitwise_count(own & ~bits[fit]).sum(1, dtype=np.int64), n[fit] - np.bitwise_count(~own & bits[fit]).sum(1, dtype=np.int64))
             for x in fit[100 * most >= percent * (r["n"] + n[fit] - most)]:

@@ -144,13 +144,14 @@ def test_jaccard(spark, edge_rows, documents):
 def test_jaccard_hot_tiles(spark, monkeypatch):
     """A hot group cut into many blocks gives the same groups as small tiles do."""
     random.seed(9)
-    base = [f"w{i}" for i in range(60)]
     texts = []
-    for k in range(120):
-        w = list(base)
-        for i in random.sample(range(60), k % 6):
-            w[i] = f"x{random.randrange(40)}"
-        texts.append(" ".join(w))
+    for size in (60, 1500):  # the larger sets fill whole words of the bitmaps
+        base = [f"w{size}.{i}" for i in range(size)]
+        for k in range(80):
+            w = list(base)
+            for i in random.sample(range(size), size // 60 * (k % 6)):
+                w[i] = f"x{random.randrange(40)}"
+            texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     group, n = brute.groups(texts, 4, 85)
     assert len(set(group)) > 3
