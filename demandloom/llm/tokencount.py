@@ -92,51 +92,69 @@ def vocabulary(docs: DataFrame, text: str, path: str, added: list[str]) -> DataF
     return stored(distinct.mapInArrow(encode, "token string, n bigint, pieces int"))
 
 
+def frequent(vocab: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens: all those above the frequency that at most ``most`` reach."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    kept, least = 0, None
+    for r in sorted(vocab.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["step"]):
+        kept += r["tokens"]
+        if kept > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    return dict(map(tuple, vocab.where(step >= least).select("token", "pieces").collect()))
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, common: int = COMMON) -> DataFrame:
     """Per document ``n_bytes``, ``n_tokens`` and ``over_limit``: more tokens than ``limit``.
 
-    ``path`` must be readable on every executor. ``common`` bounds the table every task holds; it moves
-    work between that table and the join and never changes a count. ``docs`` must come from stored data
+    ``path`` must be readable on every executor. ``common`` bounds the table that the driver gathers and
+    every task holds; it moves work between that table and the join and never changes a count. ``docs`` must come from stored data
     (a table or a checkpoint), because it is read more than once and its rows are told apart by place.
     A null or empty text has no bytes and no tokens; repeated rows, equal or null ids give a row each;
     an empty table gives no rows; other columns are not looked at.
     """
     added = check(path)
     vocab = vocabulary(docs, text, path, added)
-    top = vocab.orderBy(F.desc("n"), "token").limit(common).select("token", "pieces").collect()
-    table = docs.sparkSession.sparkContext.broadcast(dict(map(tuple, top)))
+    table = docs.sparkSession.sparkContext.broadcast(frequent(vocab, common))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (at, n) per document with what the table knows; rows (token, ats, ns) of the pre-tokens it does not."""
+        split, known, held, n = splitter(path, added), table.value.get, defaultdict(list), 0
+        names, pairs = ["at", "n", "token", "ats", "ns"], pa.list_(pa.int64())
+        none = lambda k: [pa.nulls(k, pa.string()), pa.nulls(k, pairs), pa.nulls(k, pairs)]
+
+        def others() -> pa.RecordBatch:
+            lists = [pa.array([v[i::2] for v in held.values()], pairs) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(list(held), pa.string()), *lists], names)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces = splitter(path, added), table.value
-        for b in batches:
-            sums = []
-            for t in b.column(1).to_pylist():
-                found, n = split(t or "")
-                sums.append(n + sum(map(pieces.get, found, [0] * len(found))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.int64())], ["at", "n"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces, held, n = splitter(path, added), table.value, defaultdict(list), 0
-        pairs = pa.list_(pa.int64())
-        rows = lambda: pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.string()), "ats": pa.array([v[::2] for v in held.values()], pairs), "ns": pa.array([v[1::2] for v in held.values()], pairs)})
         for b in batches:
+            got = []
             for at, t in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
-                for token, k in Counter([x for x in split(t or "")[0] if x not in pieces]).items():
-                    held[token] += (at, k)
-                    n += 1
+                found, marks = split(t)
+                each = list(map(known, found))
+                if None in each:
+                    for token, k in Counter([x for x, v in zip(found, each, strict=True) if v is None]).items():
+                        held[token] += (at, k)
+                        n += 1
+                    each = filter(None, each)
+                got.append(marks + sum(each))
                 if n > FLUSH:
-                    yield rows()
+                    yield others()
                     held.clear()
                     n = 0
-        yield rows()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64()), *none(b.num_rows)], names)
+        yield others()
 
     placed = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
-    sums = placed.select("at", "text").mapInArrow(known, "at bigint, n bigint")
-    other = placed.select("at", "text").mapInArrow(rest, "token string, ats array<bigint>, ns array<bigint>")
-    other = other.join(vocab.select("token", "pieces"), "token").select("pieces", F.explode(F.arrays_zip("ats", "ns")).alias("x"))
+    passed = stored(placed.select("at", "text").mapInArrow(sums, "at bigint, n bigint, token string, ats array<bigint>, ns array<bigint>"))
+    known = passed.where("token IS NULL").select("at", "n")
+    other = passed.where("token IS NOT NULL").select("token", "ats", "ns").join(vocab.select("token", "pieces"), "token")
+    other = other.select("pieces", F.explode(F.arrays_zip("ats", "ns")).alias("x"))
     other = other.select(F.col("x.ats").alias("at"), (F.col("x.ns") * F.col("pieces")).alias("n"))
     none = F.lit(None).cast(placed.schema["doc_id"].dataType)
     heads = placed.select("at", F.lit(0).cast("long").alias("n"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    parts = heads.unionByName(sums.unionByName(other).withColumns({"doc_id": none, "n_bytes": F.lit(None).cast("long")}))
+    parts = heads.unionByName(known.unionByName(other).withColumns({"doc_id": none, "n_bytes": F.lit(None).cast("long")}))
     total = parts.groupBy("at").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
