@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,48 +31,63 @@ def _is_number(t: Column) -> Column:
     return (t >= "0") & (t < ":")
 
 
-def template(words: Column, names: bool = True) -> Column:
-    """Numbers, units after a number and, if asked, names become placeholders; the rest is lower-cased."""
-    plain = lambda t: F.lower(F.ltrim(t, F.lit(NAME)))
+def template(words: Column) -> Column:
+    """Numbers, units after a number and names become placeholders; the rest is lower-cased."""
     after_number = lambda i: (i > 0) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False))
 
     def one(t: Column, i: Column) -> Column:
         out = F.when(_is_number(t), F.lit(NUMBER)).when(F.lower(t).isin(UNITS) & after_number(i), F.lit(UNIT))
-        return (out.when(F.startswith(t, F.lit(NAME)), F.lit(NAME)) if names else out).otherwise(plain(t))
+        return out.when(F.startswith(t, F.lit(NAME)), F.lit(NAME)).otherwise(F.lower(t))
 
     return F.transform(words, one)
 
 
-def windows(words: Column, names: bool = True, width: int = WINDOW, literals: int = LITERALS) -> Column:
-    """(hash, place, slot values) of each run of ``width`` tokens that has ``literals`` real words or more.
+def plain(words: Column) -> Column:
+    return F.transform(words, lambda t: F.lower(F.ltrim(t, F.lit(NAME))))
+
+
+def windows(words: Column, width: int = WINDOW, literals: int = LITERALS) -> Column:
+    """(hash, place, slot values) of each run of ``width`` tokens, read with names as placeholders and as they stand.
 
+    Either reading counts where it has ``literals`` real words or more; a run without names has one reading.
     Fewer tokens than ``width`` are one window as a whole, whatever it holds.
     """
-    slot = lambda x: x.isin(NUMBER, NAME, UNIT)
 
-    def of(ws: Column, ts: Column) -> Column:
-        held = F.transform(ts, lambda x: F.when(slot(x), F.lit(1)).otherwise(F.lit(0)))
-        values = F.transform(ts, lambda x, i: F.when(slot(x), F.lower(F.ltrim(ws[i], F.lit(NAME)))).otherwise(F.lit("")))
-        hashes = F.transform(ts, lambda x: F.xxhash64(x))
+    def of(low: Column, ts: Column) -> Column:
+        numeric = lambda x: x.isin(NUMBER, UNIT)
+        # Per token 16 for a name and 1 for another placeholder, so that one sum over a window counts both.
+        codes = F.transform(ts, lambda x: F.when(x == NAME, F.lit(16)).when(numeric(x), F.lit(1)).otherwise(F.lit(0)))
+        masked = F.transform(ts, lambda x: F.xxhash64(x))
+        stand = F.transform(ts, lambda x, i: F.when(x == NAME, F.xxhash64(low[i])).otherwise(F.xxhash64(x)))
+        all_values = F.transform(ts, lambda x, i: F.when((x == NAME) | numeric(x), low[i]).otherwise(F.lit("")))
+        numbers = F.transform(ts, lambda x, i: F.when(numeric(x), low[i]).otherwise(F.lit("")))
+
+        def each(codes: Column, readings: list[tuple[Column, Column]]) -> Column:
+            starts = F.slice(codes, 1, F.greatest(F.size(codes) - (width - 1), F.lit(0)))
+            sums = F.transform(starts, lambda _, i: sum((codes[i + k] for k in range(1, width)), codes[i]))
+            names, others = lambda c: F.shiftright(c, 4), lambda c: c.bitwiseAND(15)
+
+            def run(sums: Column, hs: Column, vs: Column, slots: Callable[[Column], Column], wanted: Callable[[Column], Column]) -> Column:
+                text = lambda c, i: F.when(slots(c) > 0, F.array_join(F.slice(vs, i + 1, width), GAP))
+                one = lambda c, i: F.struct(F.xxhash64(*[hs[i + k] for k in range(width)]).alias("hash"), i.alias("pos"), text(c, i).alias("slots"))
+                return F.transform(sums, lambda c, i: F.when(wanted(c) & (slots(c) <= width - literals), one(c, i)))
+
+            def both(sums: Column) -> Column:
+                masked = run(sums, *readings[0], lambda c: names(c) + others(c), lambda c: F.lit(True))
+                return F.array_compact(F.concat(masked, run(sums, *readings[1], others, lambda c: names(c) > 0)))
 
-        def each(hs: Column, vs: Column, slots: Column) -> Column:
-            starts = F.slice(hs, 1, F.greatest(F.size(hs) - (width - 1), F.lit(0)))
-            n = lambda i: sum((slots[i + k] for k in range(1, width)), slots[i])
-            text = lambda i: F.when(n(i) > 0, F.array_join(F.slice(vs, i + 1, width), GAP))
-            run = F.transform(starts, lambda _, i: F.when(n(i) <= width - literals, F.struct(F.xxhash64(*[hs[i + k] for k in range(width)]).alias("hash"), i.alias("pos"), text(i).alias("slots"))))
-            whole = F.array(F.struct(F.xxhash64(hs, F.size(hs)).alias("hash"), F.lit(0).alias("pos"), F.array_join(vs, GAP).alias("slots")))
-            short = F.when(F.size(hs) > 0, whole).otherwise(F.slice(whole, 1, 0))
-            return F.when(F.size(hs) < width, short).otherwise(F.array_compact(run))
+            whole = F.array_distinct(F.array(*[F.struct(F.xxhash64(hs, F.size(hs)).alias("hash"), F.lit(0).alias("pos"), F.array_join(vs, GAP).alias("slots")) for hs, vs in readings]))
+            short = F.when(F.size(codes) > 0, whole).otherwise(F.slice(whole, 1, 0))
+            return F.when(F.size(codes) < width, short).otherwise(let(sums, both))
 
-        return let(hashes, lambda hs: let(values, lambda vs: let(held, lambda sl: each(hs, vs, sl))))
+        return let(codes, lambda c: let(masked, lambda hm: let(all_values, lambda vm: let(stand, lambda hs: let(numbers, lambda vs: each(c, [(hm, vm), (hs, vs)]))))))
 
-    return let(words, lambda ws: let(template(ws, names), lambda ts: of(ws, ts)))
+    return let(words, lambda ws: let(plain(ws), lambda low: let(template(ws), lambda ts: of(low, ts))))
 
 
 def item_windows(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
-    """Windows of each item, with names as placeholders and as they stand, and how many places it has."""
-    words = tokens(benchmark[text])
-    both = F.concat(windows(words, True), windows(words, False))
+    """Windows of each item, and how many places it has."""
+    both = windows(tokens(benchmark[text]))
     rows = benchmark.select(benchmark[item_id].alias("item"), F.xxhash64(benchmark[text]).alias("mark"), F.explode(both).alias("w"))
     rows = rows.select("item", "mark", "w.hash", F.col("w.pos").alias("q"), F.col("w.slots").alias("item_slots")).distinct()
     sizes = rows.groupBy("item", "mark").agg(F.count_distinct("q").alias("places"))
@@ -80,7 +97,7 @@ def item_windows(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """(at, item) for each document that holds ``coverage`` of an item's windows; ``docs`` has a column at.
 
-    Windows meet by hash. Along one alignment of document and item every value of the item must stand
+    Documents and items are windowed alike, so a verbatim copy meets every place. Windows meet by hash. Along one alignment of document and item every value of the item must stand
     for one value of the document; alignments that break this do not count. The benchmark's windows are
     counted first: up to ``SENT_ROWS`` of them are sent to all tasks, more are joined by exchange.
     """

@@ -215,6 +215,22 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontaminate.decontaminated(df, bench(spark, (item, other))).collect()) == [2, 3, 7, 8, 9, 10]
 
 
+def items_of(spark, texts, items):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r["doc_id"]: r["items"] for r in decontaminate.contamination(df, bench(spark, items)).collect()}
+
+
+def test_decontamination_of_capitalised_text(spark):
+    """Verbatim copies full of capitalised words: title case, German nouns, lists of names."""
+    items = (
+        "What Is The Capital City Of France",
+        "Im Garten steht der Hund neben Baum, Zaun, Haus, Auto und Fahrrad, während Katze, Maus, Vogel und Igel im Schatten der Hecke schlafen",
+        "Choose one of Berlin, Madrid, Paris, London, Rome, Vienna, Lisbon, Prague or Oslo as the place",
+    )
+    texts = [f"so we read this: {x}. and more of it" for x in items] + ["so we read What Is The Best Way Of Life. and more of it"]
+    assert items_of(spark, texts, items) == {0: [0], 1: [1], 2: [2], 3: []}
+
+
 def test_decontamination_of_documents(spark, documents):
     items = pq.read_table(f"{SF_DIR}/benchmark.parquet").to_pylist()
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*", (t or "").lower()))
