@@ -94,12 +94,48 @@ def item_windows(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
     return join_null_safe(rows, sizes, ["item", "mark"])
 
 
+def runs(words: Column, n: Column) -> Column:
+    """(n, hash, place) of each run of ``n`` tokens as they stand, numbers and units too."""
+
+    def of(low: Column) -> Column:
+        starts = F.slice(low, 1, F.greatest(F.size(low) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda _, i: F.struct(n.alias("n"), F.xxhash64(F.slice(low, i + 1, n)).alias("hash"), i.alias("pos")))
+
+    return let(plain(words), of)
+
+
+def exact_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str) -> DataFrame | None:
+    """(at, item) for each document that holds, word for word, an item that has no window of its own; None without such items.
+
+    Items shorter than a window are runs of their own length; longer ones of which no window has enough
+    real words are found by all their runs of ``WINDOW`` tokens along one alignment. So documents are
+    cut into runs of at most ``WINDOW`` lengths, those that occur.
+    """
+    words = tokens(benchmark[item_text])
+    own = benchmark.select(benchmark[item_id].alias("item"), F.xxhash64(benchmark[item_text]).alias("mark"), words.alias("words"))
+    own = own.where((F.size("words") > 0) & ((F.size("words") < WINDOW) | (F.size(windows(F.col("words"))) == 0)))
+    n = F.least(F.size("words"), F.lit(WINDOW))
+    known = own.select("item", "mark", (F.size("words") - n + 1).alias("places"), F.explode(runs(F.col("words"), n)).alias("r"))
+    known = cut_lineage(known.select("item", "mark", "places", "r.n", "r.hash", F.col("r.pos").alias("q")).distinct())
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
+    if not lengths:
+        return None
+    found = docs.select("at", F.explode(let(tokens(docs[text]), lambda ws: F.concat(*[runs(ws, F.lit(k)) for k in lengths]))).alias("r"))
+    if known.count() <= SENT_ROWS:
+        known = F.broadcast(known)
+    hits = found.select("at", "r.n", "r.hash", F.col("r.pos").alias("p")).join(known, ["n", "hash"])
+    shift = F.when(F.col("places") > 1, F.col("p") - F.col("q")).otherwise(F.lit(0)).alias("shift")
+    met = hits.select("at", "item", "mark", shift, "q", "places").distinct().groupBy("at", "item", "mark", "shift").agg(F.count("*").alias("met"), F.max("places").alias("places"))
+    return met.where("met = places").select("at", "item")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """(at, item) for each document that holds ``coverage`` of an item's windows; ``docs`` has a column at.
 
     Documents and items are windowed alike, so a verbatim copy meets every place. Windows meet by hash. Along one alignment of document and item every value of the item must stand
     for one value of the document; alignments that break this do not count. The benchmark's windows are
-    counted first: up to ``SENT_ROWS`` of them are sent to all tasks, more are joined by exchange.
+    counted first: up to ``SENT_ROWS`` of them are sent to all tasks, more are joined by exchange. Items
+    without a window, or shorter than one, are found by ``exact_leaks``.
     """
     found = docs.select("at", F.explode(windows(tokens(docs[text]))).alias("w")).select("at", "w.hash", F.col("w.pos").alias("p"), "w.slots")
     known = cut_lineage(item_windows(benchmark, item_text, item_id))
@@ -112,14 +148,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     pairs = pairs.select(*line, F.explode(F.arrays_zip("i", "d")).alias("x")).select(*line, "x.i", "x.d").where("i != '' AND d != ''").distinct()
     broken = pairs.groupBy(*line, "i").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()
     kept = join_null_safe(hits, broken, line, "left_anti").groupBy("at", "item", "mark").agg(F.count_distinct("q").alias("met"), F.max("places").alias("places"))
-    return kept.where(F.col("met") >= F.lit(coverage) * F.col("places")).select("at", "item").distinct()
+    kept = kept.where(F.col("met") >= F.lit(coverage) * F.col("places")).select("at", "item")
+    exact = exact_leaks(docs, benchmark, text, item_text, item_id)
+    return (kept if exact is None else kept.unionByName(exact)).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """Every document with ``items``, the sorted ids of the benchmark items it holds, and ``contaminated``.
 
-    A null or empty text holds nothing, and a null or empty item is held by nothing; an item or text of
-    fewer than ``WINDOW`` tokens is one window as a whole; repeated rows are judged alike; without
+    A null or empty text holds nothing, and a null or empty item is held by nothing; an item of fewer
+    than ``WINDOW`` tokens is held by a text that is its template as a whole, or that has it anywhere as
+    it stands, as are longer items without a window of three real words; repeated rows are judged alike; without
     documents there are no rows, without items nothing is contaminated; input columns with a computed
     name are replaced. ``docs`` must come from stored data, because rows are told apart by place.
     """

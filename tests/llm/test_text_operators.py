@@ -231,6 +231,16 @@ def test_decontamination_of_capitalised_text(spark):
     assert items_of(spark, texts, items) == {0: [0], 1: [1], 2: [2], 3: []}
 
 
+def test_decontamination_without_windows(spark):
+    """Items too short for a window, or without three real words in any, are found where they stand."""
+    items = ("Compute 12 + 34 * 56 - 78", "Add 3 apples", "7 7 7 7 7 7 9", "Solve 1 2 3 4 5 6", None, "")
+    texts = [
+        "so please compute 12 + 34 * 56 - 78 at once", "Compute 12 + 34 * 56 - 79", "you add 3 apples to the lot", "you add 4 apples to the lot", "Add 5 apples",
+        "see 7 7 7 7 7 7 7 9 there", "7 7 7 7 7 8 9", "Solve 1 2 3 4 5 and 2 3 4 5 6", "solve 1 2 3 4 5 6", "Add 3", None, "",
+    ]
+    assert items_of(spark, texts, items) == {0: [0], 1: [], 2: [1], 3: [], 4: [1], 5: [2], 6: [], 7: [], 8: [3], 9: [], 10: [], 11: []}
+
+
 def test_decontamination_of_documents(spark, documents):
     items = pq.read_table(f"{SF_DIR}/benchmark.parquet").to_pylist()
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*", (t or "").lower()))
