@@ -16,14 +16,35 @@ UNITS = (
     "hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams liter liters "
     "litre litres dollar dollars cent cents euro euros pound pounds percent degrees kmh mph"
 ).split()
+#: Words that are no names although they begin a sentence. Words that are given names too (will, may) are left out.
+FUNCTION = (
+    "a about after again all also although always among an and another any are as at be because been before being both but by can cannot could "
+    "did do does during each either else even every few first for from further had has have having he her here hers his how however i if in into is it its "
+    "just last later let many more most much must my neither never next no nor not now of often on once one only or other our out over per "
+    "shall she should since so some such than that the their them then there therefore these they this those though through thus to too two under until up upon us "
+    "very was we were what whatever when whenever where whereas which while who whoever whom whose why with within without would yes yet you your "
+    "aber alle als also am an auch auf aus bei beim bis da dabei dann das dass dein dem den denn der deren des dessen die dies diese dieser dieses doch du durch ein eine einem einen einer eines er es euch für "
+    "gegen hat ich ihm ihn ihr ihre im in ist ja jede jeder jedes kein keine man mein mit nach nicht noch nun nur ob oder ohne sein seine seit sich sie sind so sobald über um und uns unser unter "
+    "viele vom von vor wann warum was weil welche welcher welches wem wen wenn wer werden wessen wie wieviel wir wird wo woher wohin während zu zum zur zwar zwischen "
+    "au aucun aussi autre aux avec avant car ce cela ces cet cette chaque chez ci combien comme comment dans de depuis des donc dont du elle elles en entre est et étaient était être eux "
+    "il ils je jamais jusque la le les leur leurs lors lorsque lui mais même mes mon ne ni nos notre nous on où ou par parce pas pendant plus plusieurs pour pourquoi puis puisque quand que quel quelle quelles quels qui quoi "
+    "sa sans se selon ses si son sont sous sur ta tes ton tous tout toute toutes très tu un une vers vos votre vous "
+    "al algún antes aquel aunque cada como cómo con cual cuál cuando cuándo cuánta cuántas cuánto cuántos cuyo del desde después donde dónde durante él el ella ellas ellos entonces era es esa ese eso esta está este estos "
+    "ha hasta hay las lo los más me mi mientras muy nada ni no nosotros nuestra nuestro o para pero por porque pues qué quien quién según ser si sí sin sino sobre solo su sus también tan tanto te todo todos tu un una unas uno unos usted y ya yo"
+).split()
 NUMBER, NAME, UNIT, GAP = "0", "\x02", "\x03", "\x04"
+#: Before a capitalised word that is no function word, wherever it stands.
+NAMED = f"(?=\\p{{Lu}}\\p{{Ll}})(?<![\\p{{L}}\\p{{M}}])(?!(?:{'|'.join(sorted({w.capitalize() for w in FUNCTION if len(w) > 1}))})(?![\\p{{L}}\\p{{M}}]))"
 TOKEN = "\x02?[\\p{L}\\p{M}]++|[0-9]++(?:[.,][0-9]++)*+"
 
 
 def tokens(text: Column) -> Column:
-    """Words and numbers in order; a capitalised word inside a sentence, so a likely name, begins with a mark."""
+    """Words and numbers in order; a capitalised word that is no function word, so a likely name, begins with a mark.
+
+    What stands before a word does not matter, so an item's words are read alike wherever the item stands.
+    """
     clean = F.translate(F.coalesce(text, F.lit("")), NAME, " ")
-    marked = F.regexp_replace(clean, "(?<=[\\p{Ll}0-9,;:)] )(\\p{Lu}\\p{Ll}++)", f"{NAME}$1")
+    marked = F.regexp_replace(clean, NAMED, NAME)
     return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
 
 

@@ -241,6 +241,16 @@ def test_decontamination_without_windows(spark):
     assert items_of(spark, texts, items) == {0: [0], 1: [], 2: [1], 3: [], 4: [1], 5: [2], 6: [], 7: [], 8: [3], 9: [], 10: [], 11: []}
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    """A name is a name at the start of a sentence too, and an item is read alike after a colon or a lower-case word."""
+    apples = "Alice has 5 red apples. Alice gives 2 to Tom. How many apples does Alice have left?"
+    short = ("What did the old Tom buy", "Which river did the tall Anna cross by boat")
+    maria = apples.replace("Alice", "Maria")
+    texts = [maria, f"Question: {maria} Answer: 3", maria.replace("2", "4").replace("Tom", "Jim"), maria.replace("does Maria", "does Jane")]
+    texts += [f"Question: {x}?" for x in short] + [f"the question {x}".replace("Tom", "Jim").replace("Anna", "Eve") for x in short]
+    assert items_of(spark, texts, (apples, *short)) == {0: [0], 1: [0], 2: [0], 3: [], 4: [1], 5: [2], 6: [1], 7: [2]}
+
+
 def test_decontamination_of_documents(spark, documents):
     items = pq.read_table(f"{SF_DIR}/benchmark.parquet").to_pylist()
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*", (t or "").lower()))
