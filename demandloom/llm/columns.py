@@ -51,6 +51,14 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
     return a.join(b, [a[k].eqNullSafe(b[f"{k}_b"]) for k in keys], how).drop(*[f"{k}_b" for k in keys])
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """All columns in ``row_`` and a number ``at`` for each row, given once and written with the rows.
+
+    A scan may be split otherwise in a later job, so numbers that are given again can meet other rows.
+    """
+    return stored(packed(docs).withColumn("at", F.monotonically_increasing_id()))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame written once, as a table in the shared folder of ``spark.checkpoint.dir``, and read from there.
 

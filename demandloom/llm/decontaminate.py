@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.columns import join_null_safe, let, packed, unpacked
+from demandloom.llm.columns import join_null_safe, let, placed, unpacked
 from demandloom.session import cut_lineage
 
 WINDOW, COVERAGE, LITERALS, SENT_ROWS = 5, 0.8, 3, 500_000
@@ -181,11 +181,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
     than ``WINDOW`` tokens is held by a text that is its template as a whole, or that has it anywhere as
     it stands, as are longer items without a window of three real words; repeated rows are judged alike; without
     documents there are no rows, without items nothing is contaminated; input columns with a computed
-    name are replaced. ``docs`` must come from stored data, because rows are told apart by place.
+    name are replaced. Rows are numbered once and stored with their number.
     """
-    rows = packed(docs).withColumn("at", F.monotonically_increasing_id())
-    plain = docs.select(docs[text].alias("text"), F.monotonically_increasing_id().alias("at"))
-    held = leaks(plain, benchmark, "text", **options).groupBy("at").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = placed(docs)
+    held = leaks(rows.select("at", F.col("row_").getField(text).alias("text")), benchmark, "text", **options).groupBy("at").agg(F.sort_array(F.collect_set("item")).alias("items"))
     df = rows.join(held, "at", "left")
     none = F.slice(F.array(F.lit(0).cast(held.schema["items"].dataType.elementType)), 1, 0)
     return unpacked(df, docs.columns, {"items": F.coalesce("items", none), "contaminated": F.col("items").isNotNull()})
@@ -193,6 +192,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    plain = docs.select(docs[text].alias("text"), F.monotonically_increasing_id().alias("at"))
-    held = leaks(plain, benchmark, "text", **options).select("at").distinct()
-    return unpacked(packed(docs).withColumn("at", F.monotonically_increasing_id()).join(held, "at", "left_anti"), docs.columns, {})
+    rows = placed(docs)
+    held = leaks(rows.select("at", F.col("row_").getField(text).alias("text")), benchmark, "text", **options).select("at").distinct()
+    return unpacked(rows.join(held, "at", "left_anti"), docs.columns, {})

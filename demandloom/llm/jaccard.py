@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from demandloom.llm.columns import let, packed, stored, unpacked
+from demandloom.llm.columns import let, placed, stored, unpacked
 from demandloom.llm.shingles import Shingler, bitmap
 from demandloom.session import cut_lineage
 
@@ -314,11 +314,15 @@ def _classes(signs: DataFrame) -> DataFrame:
     return signs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("n").alias("n"), F.first("bits").alias("bits"))
 
 
-def _grouped(docs: DataFrame, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
-    """Row place, id, set size, and the group's class for every document."""
-    placed = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.monotonically_increasing_id().alias("at"))
-    signs = signatures(placed, words)
-    roots = components(class_links(placed, signs, words, percent))
+def _numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Row number, id and text, stored once, so that every job meets the same numbers."""
+    return stored(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.monotonically_increasing_id().alias("at")))
+
+
+def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Row number, id, set size, and the group's class for every document."""
+    signs = signatures(rows, words)
+    roots = components(class_links(rows, signs, words, percent))
     return signs.join(roots, "cls", "left").select("at", "doc_id", "n", F.coalesce("root", "cls").alias("group"))
 
 
@@ -329,10 +333,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     text of fewer words than a shingle is one shingle; a text without words, or null, has none and is
     linked with nothing. Equal texts and repeated rows are one class and linked; a null id never is the
     smallest unless all ids are null; an empty table gives no rows; other columns are not looked at.
-    ``docs`` must come from stored data, because rows are told apart by place. Shingles and sets are
-    compared by 64-bit hashes.
+    Rows are numbered once and stored with their number. Shingles and sets are compared by 64-bit hashes.
     """
-    groups = _grouped(docs, text, doc_id, words, percent)
+    groups = _grouped(_numbered(docs, text, doc_id), words, percent)
     least = groups.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = groups.join(least, "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -340,9 +343,10 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, one of each group: that of the smallest id. Documents without words all stay."""
-    groups = stored(_grouped(docs, text, doc_id, words, percent))
+    rows = placed(docs)
+    parts = rows.select("at", F.col("row_").getField(doc_id).alias("doc_id"), F.col("row_").getField(text).alias("text"))
+    groups = stored(_grouped(parts, words, percent))
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "at"))
     gone = groups.where("group IS NOT NULL").groupBy("group").agg(first["at"].alias("keep"))
     gone = groups.join(gone, "group").where("at != keep").select("at")
-    placed = packed(docs).withColumn("at", F.monotonically_increasing_id())
-    return unpacked(placed.join(gone, "at", "left_anti"), docs.columns, {})
+    return unpacked(rows.join(gone, "at", "left_anti"), docs.columns, {})

@@ -110,8 +110,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     """Per document ``n_bytes``, ``n_tokens`` and ``over_limit``: more tokens than ``limit``.
 
     ``path`` must be readable on every executor. ``common`` bounds the table that the driver gathers and
-    every task holds; it moves work between that table and the join and never changes a count. ``docs`` must come from stored data
-    (a table or a checkpoint), because it is read more than once and its rows are told apart by place.
+    every task holds; it moves work between that table and the join and never changes a count. ``docs`` should come from stored data
+    (a table or a checkpoint), because its texts are read twice; its rows are numbered in one pass.
     A null or empty text has no bytes and no tokens; repeated rows, equal or null ids give a row each;
     an empty table gives no rows; other columns are not looked at.
     """
@@ -120,17 +120,17 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     table = docs.sparkSession.sparkContext.broadcast(frequent(vocab, common))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (at, n) per document with what the table knows; rows (token, ats, ns) of the pre-tokens it does not."""
+        """A row (at, n, doc_id, n_bytes) per document, n with what the table knows; rows (token, ats, ns) of the pre-tokens it does not."""
         split, known, held, n = splitter(path, added), table.value.get, defaultdict(list), 0
-        names, pairs = ["at", "n", "token", "ats", "ns"], pa.list_(pa.int64())
+        names, pairs, kind = ["at", "n", "token", "ats", "ns", "doc_id", "n_bytes"], pa.list_(pa.int64()), None
         none = lambda k: [pa.nulls(k, pa.string()), pa.nulls(k, pairs), pa.nulls(k, pairs)]
 
         def others() -> pa.RecordBatch:
             lists = [pa.array([v[i::2] for v in held.values()], pairs) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(list(held), pa.string()), *lists], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(list(held), pa.string()), *lists, pa.nulls(len(held), kind), pa.nulls(len(held), pa.int64())], names)
 
         for b in batches:
-            got = []
+            got, kind = [], b.column(2).type
             for at, t in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
                 found, marks = split(t)
                 each = list(map(known, found))
@@ -144,17 +144,19 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
                     yield others()
                     held.clear()
                     n = 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64()), *none(b.num_rows)], names)
-        yield others()
-
-    placed = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
-    passed = stored(placed.select("at", "text").mapInArrow(sums, "at bigint, n bigint, token string, ats array<bigint>, ns array<bigint>"))
-    known = passed.where("token IS NULL").select("at", "n")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64()), *none(b.num_rows), b.column(2), b.column(3)], names)
+        if held:
+            yield others()
+
+    # Numbers are given in the one pass whose rows are stored, so every later job meets the same ones.
+    filled = F.coalesce(docs[text], F.lit(""))
+    placed = docs.select(F.monotonically_increasing_id().alias("at"), filled.alias("text"), docs[doc_id].alias("doc_id"), F.octet_length(filled).cast("long").alias("n_bytes"))
+    kind = placed.schema["doc_id"].dataType
+    passed = stored(placed.mapInArrow(sums, f"at bigint, n bigint, token string, ats array<bigint>, ns array<bigint>, doc_id {kind.simpleString()}, n_bytes bigint"))
+    known = passed.where("token IS NULL").select("at", "n", "doc_id", "n_bytes")
     other = passed.where("token IS NOT NULL").select("token", "ats", "ns").join(vocab.select("token", "pieces"), "token")
     other = other.select("pieces", F.explode(F.arrays_zip("ats", "ns")).alias("x"))
     other = other.select(F.col("x.ats").alias("at"), (F.col("x.ns") * F.col("pieces")).alias("n"))
-    none = F.lit(None).cast(placed.schema["doc_id"].dataType)
-    heads = placed.select("at", F.lit(0).cast("long").alias("n"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    parts = heads.unionByName(known.unionByName(other).withColumns({"doc_id": none, "n_bytes": F.lit(None).cast("long")}))
+    parts = known.unionByName(other.withColumns({"doc_id": F.lit(None).cast(kind), "n_bytes": F.lit(None).cast("long")}))
     total = parts.groupBy("at").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -379,3 +379,39 @@ def test_stored_writes_to_the_shared_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(kind, "get", lambda self, key, *default: str(tmp_path) if key == "spark.checkpoint.dir" else get(self, key, *default))
     assert stored(spark.range(5)).count() == 5
     assert list(tmp_path.iterdir())
+
+
+def test_row_numbers_outlast_another_split(spark, tmp_path, monkeypatch):
+    """Files that later jobs pack into other partitions still give every row its own result."""
+    item = "A train from the old station travels along the long river to the sea"
+    kinds = ["plain words number {i} and more", "write to user{i}@mail.example.org today", item + " {i}", "one and the same text in all of the files"]
+    for i in range(24):
+        one = spark.createDataFrame([(10 * i + k, kinds[k].format(i=i) + " tail" * (i if k != 3 else 0)) for k in sorted({i % 3, i % 4})], "doc_id bigint, text string")
+        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    base = lambda d: pii.find(d).select("doc_id", pii.joined(F.col("base")))
+    operators = {
+        "decontaminate": lambda: decontaminate.contamination(docs, bench(spark, (item,))).select("doc_id", "contaminated"), "decontaminated": lambda: decontaminate.decontaminated(docs, bench(spark, (item,))),
+        "one of each": lambda: jaccard.one_of_each(docs), "jaccard": lambda: jaccard.jaccard_groups(docs), "pii": lambda: base(docs), "tokens": lambda: tokencount.count_tokens(docs, BPE, common=1),
+    }
+    want = {k: Counter(map(tuple, f().collect())) for k, f in operators.items()}
+    sizes = ["1k", "128m"]
+
+    def flipping(real):
+        def run(df):
+            out = real(df)
+            sizes.reverse()
+            spark.conf.set("spark.sql.files.maxPartitionBytes", sizes[0])
+            return out
+
+        return run
+
+    for module, name in ((decontaminate, "cut_lineage"), (jaccard, "stored"), (pii, "stored"), (tokencount, "stored")):
+        monkeypatch.setattr(module, name, flipping(getattr(module, name)))
+    try:
+        for k, f in operators.items():
+            for start in ("1k", "128m"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", start)
+                assert Counter(map(tuple, f().collect())) == want[k], k
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
