@@ -199,6 +199,13 @@ def test_personal_data_extra_spans_and_redaction(spark):
     assert not got[rows[2]]["spans"]
 
 
+def test_personal_data_overlaps(spark):
+    """A span that was dropped for an overlap drops no other."""
+    rows = [(1, "a", 0, 10), (1, "b", 5, 15), (1, "c", 12, 20), (1, "d", 19, 25), (1, "e", 20, 22), (1, "f", 30, 31), (2, "a", 3, 4), (2, "b", 3, 9), (2, "c", 9, 12), (3, "a", 1, 2)]
+    got = pii.disjoint(spark.createDataFrame(rows, "at bigint, kind string, start bigint, end bigint")).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 0, 10), (1, "c", 12, 20), (1, "e", 20, 22), (1, "f", 30, 31), (2, "b", 3, 9), (2, "c", 9, 12), (3, "a", 1, 2)]
+
+
 def test_decontamination(spark):
     item = "A train from the old station travels 60 km in 3 hours, and then Alice asks how fast the 3 drivers went home"
     other = "Le petit chat regarde la lune et pense que la nuit sera longue sans son ami"
