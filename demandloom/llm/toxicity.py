@@ -101,15 +101,15 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, labels: np.
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Chain:
-    """The chain fitted on at most ``sample`` labelled documents, the first by hash of their id.
+    """The chain fitted on at most ``sample`` labelled documents, the first by hash of their id, one of each id.
 
-    ``labels`` has doc_id and a column of 0 and 1 per category. Features are the words and beginnings
+    ``labels`` has doc_id and a column of 0 and 1 per category; rows with a null are no labels. Features are the words and beginnings
     found in ``MIN_DOCS`` sample documents whose chi-square for a category reaches ``MIN_CHI2``, at
     most ``MOST_FEATURES`` of each category; they are counted and chosen in Spark. Without labels, or
     with one class only, the chain gives the base rate everywhere.
     """
     ys = [F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]
-    some = labels.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(sample).select(F.col("doc_id").alias("id"), *ys).dropna()
+    some = labels.dropna(subset=["doc_id", *categories]).orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(sample).select(F.col("doc_id").alias("id"), *ys)
     n = len(categories)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
                 yield pa.RecordBatch.from_pydict({"id": [rest[0]], "found": pa.array([found], pa.list_(pa.string())), "dense": pa.array([dense_features(t or "", words)], pa.list_(pa.float64())), "ys": pa.array([rest[1:]], pa.list_(pa.int32()))})
 
     # The sample is at most ``sample`` rows of a few numbers, so it may be sent to all.
-    joined = docs.select(docs[text].alias("t"), docs[doc_id].alias("id")).join(F.broadcast(some), "id").select("t", "id", *[f"y{i}" for i in range(n)])
+    joined = docs.select(docs[text].alias("t"), docs[doc_id].alias("id")).join(F.broadcast(some), "id")
+    # One document per labelled id, the least by hash of its text, so that no more than the sample go on.
+    joined = joined.groupBy("id", *[f"y{i}" for i in range(n)]).agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "id", *[f"y{i}" for i in range(n)])
     kind = joined.schema["id"].dataType.simpleString()
     rows = stored(joined.mapInArrow(describe, f"id {kind}, found array<string>, dense array<double>, ys array<int>"))
     totals = rows.agg(F.count("*"), *[F.sum(F.col("ys")[i]) for i in range(n)]).first()

@@ -298,6 +298,17 @@ def test_toxicity_sample_bound(spark):
     assert chain.features == []
 
 
+def test_toxicity_sample_is_one_document_per_label(spark, monkeypatch):
+    """Labels with nulls use up no sample, and documents that share an id do not exceed it."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(200)] + [(i, f"copy {k} of {i}") for i in range(0, 200, 10) for k in range(50)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, None if i % 4 == 1 else i % 2, int(i % 5 == 0)) for i in range(200)], "doc_id bigint, low_quality int, toxic int")
+    fitted, real = [], toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, cols, dense, *rest: fitted.append(len(dense)) or real(rows, cols, dense, *rest))
+    toxicity.train(docs, marks, sample=120)
+    toxicity.train(docs, marks, sample=1000)
+    assert fitted == [120, 150]
+
+
 def test_url_rules(spark):
     urls = [
         None, "", "no scheme/x", "https://Example.ORG/es/1?x=1#y", "http://a.example.org/en/12", "https://org/", "https://org", "ftp://x.org/a",
