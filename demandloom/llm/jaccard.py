@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from demandloom.llm.columns import let, placed, stored, unpacked
-from demandloom.llm.shingles import Shingler, bitmap
+from demandloom.llm.shingles import Shingler, bitmap, pieces
 from demandloom.session import cut_lineage
 
 WORDS, PERCENT = 4, 85
 SAMPLE, SEEN, COMMON = 32, 3, 1 << 18
 FILTER_BITS = 1 << 24
 HOT, BLOCK, WIDE_BITS = 256, 1024, 12
+FLUSH, REMEMBERED = 1 << 18, 1 << 14
 
 
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
@@ -56,11 +57,20 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            found = list(shingler.sets(b.column(0)))
+        shingler, found, held = Shingler(words), [], 0
+
+        def counted() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+        for s in (s for b in batches for part in pieces(b, 0) for s in shingler.sets(part.column(0))):
+            found.append(s)
+            held += len(s)
+            if held > FLUSH:
+                yield counted()
+                found.clear()
+                held = 0
+        yield counted()
 
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(count, "shingle bigint, n bigint")
     often = some.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
@@ -73,7 +83,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch, 2)):
             sets = list(shingler.sets(b.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([_class(s) if len(s) else None for s in sets], pa.int64()),
@@ -91,8 +101,10 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarra
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, often, done = Shingler(words), last.value, set()
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch, 0)):
             out = []
+            if len(done) > REMEMBERED:  # only spares work: what is given out twice is one row after the exchange
+                done.clear()
             for s in shingler.sets(b.column(0)):
                 n = len(s)
                 name = _class(s) if n else None

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 20
+BASE, CHUNK = 0x9E3779B97F4A7C15, 1 << 18
 LEAST_BITS, MOST_BITS = 10, 18
 
 
@@ -84,6 +85,17 @@ class Shingler:
             i = j
 
 
+def pieces(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``size`` bytes of the text column; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = ends[i - 1] if i else 0
+        j = min(i + rows, max(i + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def bitmap(hashes: np.ndarray, power: int | None = None) -> np.ndarray:
     """A bit for each hash, in 64-bit words: a map of 2^power bits, or of two to four for each hash.
 

@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.columns import packed, stored, unpacked
+from demandloom.llm.shingles import pieces
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE, FOLDS, MIN_DOCS, MIN_CHI2, MOST_FEATURES = 12_000, 5, 3, 15.0, 2000
 STEPS, RATE, RIDGE = 150, 0.2, 1e-4
 WORD = re.compile(r"[^\W\d_]+")
 DENSE = ("words", "word_length", "distinct", "capitals", "symbols", "marks")
-CACHE = 400_000
+CACHE = 50_000
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -113,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     n = len(categories)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in pieces(batch, 0)):
             for t, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = WORD.findall(t or "")
                 found = sorted({f for w in set(words) for f in word_features(w)})
@@ -161,14 +162,15 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", reject: str = "toxi
     """
     own, held = docs.columns, docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
-    df = packed(docs).select("row_", F.coalesce(F.col("row_").getField(text), F.lit("")).alias("text_"))
+    df = packed(docs)
+    place = [c.lower() for c in own].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
         at, cache = {f: i for i, f in enumerate(c.features)}, {}
-        for b in batches:
-            sums, dense = np.zeros((b.num_rows, len(c.categories))), np.zeros((b.num_rows, len(DENSE)))
-            for i, t in enumerate(b.column(1).to_pylist()):
+        for rows, texts in ((part.column(0), part.column(1)) for b in batches for part in pieces(pa.record_batch([b.column(0), b.column(0).field(place)], ["row_", "text_"]), 1)):
+            sums, dense = np.zeros((len(rows), len(c.categories))), np.zeros((len(rows), len(DENSE)))
+            for i, t in enumerate(t or "" for t in texts.to_pylist()):
                 words = WORD.findall(t)
                 found = set()
                 for w in set(words):
@@ -183,7 +185,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", reject: str = "toxi
                     sums[i] = c.weights[sorted(found)].sum(0)
                 dense[i] = dense_features(t, words)
             scores = c.scores(sums, dense)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(scores[:, k]) for k in range(len(names))]], ["row_", *names])
+            yield pa.RecordBatch.from_arrays([rows, *[pa.array(scores[:, k]) for k in range(len(names))]], ["row_", *names])
 
     kind = df.schema["row_"].dataType.simpleString()
     scored = df.mapInArrow(run, f"row_ {kind}, " + ", ".join(f"`{x}` double" for x in names))
