@@ -11,6 +11,7 @@ from demandloom.llm.columns import join_null_safe, let, placed, unpacked
 from demandloom.session import cut_lineage
 
 WINDOW, COVERAGE, LITERALS, SENT_ROWS = 5, 0.8, 3, 500_000
+LEAST_TOKENS, LEAST_BITS, MOST_BITS, SENT_BYTES = 2, 1 << 12, 1 << 24, 64 << 20
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs day days week weeks month months year years "
     "hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams liter liters "
@@ -57,7 +58,7 @@ def template(words: Column) -> Column:
     after_number = lambda i: (i > 0) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False))
 
     def one(t: Column, i: Column) -> Column:
-        out = F.when(_is_number(t), F.lit(NUMBER)).when(F.lower(t).isin(UNITS) & after_number(i), F.lit(UNIT))
+        out = F.when(_is_number(t), F.lit(NUMBER)).when(after_number(i) & F.lower(t).isin(UNITS), F.lit(UNIT))
         return out.when(F.startswith(t, F.lit(NAME)), F.lit(NAME)).otherwise(F.lower(t))
 
     return F.transform(words, one)
@@ -67,6 +68,21 @@ def plain(words: Column) -> Column:
     return F.transform(words, lambda t: F.lower(F.ltrim(t, F.lit(NAME))))
 
 
+def window_hashes(hs: Column, width: int) -> Column:
+    """A hash of each run of ``width`` values, from hashes of pairs, pairs of pairs and so on; null for fewer values."""
+    joined = lambda a, b, at: F.zip_with(a, F.slice(b, at + 1, F.greatest(F.size(b), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+
+    def grow(part: Column, long: int, done: Column | None, have: int) -> Column:
+        rest = (width - have) // long
+        if rest % 2:
+            done, have = part if done is None else joined(done, part, have), have + long
+        if have == width:
+            return F.when(F.size(hs) >= width, F.slice(done, 1, F.greatest(F.size(hs) - (width - 1), F.lit(0))))
+        return let(joined(part, part, long), lambda p: grow(p, 2 * long, done, have))
+
+    return grow(hs, 1, None, 0)
+
+
 def windows(words: Column, width: int = WINDOW, literals: int = LITERALS) -> Column:
     """(hash, place, slot values) of each run of ``width`` tokens, read with names as placeholders and as they stand.
 
@@ -88,14 +104,15 @@ def windows(words: Column, width: int = WINDOW, literals: int = LITERALS) -> Col
             sums = F.transform(starts, lambda _, i: sum((codes[i + k] for k in range(1, width)), codes[i]))
             names, others = lambda c: F.shiftright(c, 4), lambda c: c.bitwiseAND(15)
 
-            def run(sums: Column, hs: Column, vs: Column, slots: Callable[[Column], Column], wanted: Callable[[Column], Column]) -> Column:
+            def run(sums: Column, hw: Column, vs: Column, slots: Callable[[Column], Column], wanted: Callable[[Column], Column]) -> Column:
                 text = lambda c, i: F.when(slots(c) > 0, F.array_join(F.slice(vs, i + 1, width), GAP))
-                one = lambda c, i: F.struct(F.xxhash64(*[hs[i + k] for k in range(width)]).alias("hash"), i.alias("pos"), text(c, i).alias("slots"))
+                one = lambda c, i: F.struct(hw[i].alias("hash"), i.alias("pos"), text(c, i).alias("slots"))
                 return F.transform(sums, lambda c, i: F.when(wanted(c) & (slots(c) <= width - literals), one(c, i)))
 
             def both(sums: Column) -> Column:
-                masked = run(sums, *readings[0], lambda c: names(c) + others(c), lambda c: F.lit(True))
-                return F.array_compact(F.concat(masked, run(sums, *readings[1], others, lambda c: names(c) > 0)))
+                kinds = [(lambda c: names(c) + others(c), lambda c: F.lit(True)), (others, lambda c: names(c) > 0)]
+                reading = lambda hs, vs, kind: let(window_hashes(hs, width), lambda hw: run(sums, hw, vs, *kind))
+                return F.array_compact(F.concat(*[reading(hs, vs, kind) for (hs, vs), kind in zip(readings, kinds, strict=True)]))
 
             whole = F.array_distinct(F.array(*[F.struct(F.xxhash64(hs, F.size(hs)).alias("hash"), F.lit(0).alias("pos"), F.array_join(vs, GAP).alias("slots")) for hs, vs in readings]))
             short = F.when(F.size(codes) > 0, whole).otherwise(F.slice(whole, 1, 0))
@@ -106,6 +123,62 @@ def windows(words: Column, width: int = WINDOW, literals: int = LITERALS) -> Col
     return let(words, lambda ws: let(plain(ws), lambda low: let(template(ws), lambda ts: of(low, ts))))
 
 
+def bit_table(known: DataFrame) -> tuple[Column, int]:
+    """A table with a bit for each window hash, as a scalar, and its number of bits.
+
+    It grows with the benchmark up to ``MOST_BITS``; beyond that more windows pass it and are left to the join.
+    """
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 16 * known.count()):
+        bits *= 2
+    place = F.col("hash").bitwiseAND(bits - 1)
+    filled = known.select(F.shiftright(place, 6).cast("int").alias("word"), place.bitwiseAND(63).cast("int").alias("bit")).distinct()
+    filled = filled.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    table = filled.agg(pairs.alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("t"))
+    return cut_lineage(table).scalar(), bits
+
+
+def met_windows(docs: DataFrame, text: str, known: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(at, hash, pos, slots) of those ``windows`` whose hash has its bit in the table of the known ones.
+
+    Hashes of all windows in both readings come first; slots are read only for windows that hit. A
+    window that meets one of an item has the item's template, so its real words need no count of their own.
+    """
+    table, bits = bit_table(known)
+    hit = lambda h: F.getbit(table[F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")], h.bitwiseAND(63).cast("int")) == 1
+
+    def hashes(hs: Column) -> Column:
+        whole = F.when(F.size(hs) > 0, F.array(F.xxhash64(hs, F.size(hs)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(hs) < width, whole).otherwise(window_hashes(hs, width))
+
+    def read(low: Column, ts: Column) -> Column:
+        masked = F.transform(ts, lambda x: F.xxhash64(x))
+        stand = lambda hm: F.transform(ts, lambda x, i: F.when(x == NAME, F.xxhash64(low[i])).otherwise(hm[i]))
+        return let(masked, lambda hm: F.struct(ts.alias("ts"), low.alias("low"), hashes(hm).alias("masked"), let(stand(hm), hashes).alias("stand")))
+
+    def slots(kinds: list[str]) -> Column:
+        part = F.slice("d.ts", F.col("pos") + 1, width)
+        values = F.transform(part, lambda x, k: F.when(x.isin(kinds), F.col("d.low")[F.col("pos") + k]).otherwise(F.lit("")))
+        return F.when(F.exists(part, lambda x: x.isin(kinds)), F.array_join(values, GAP))
+
+    words = tokens(docs[text])
+    rows = docs.select("at", let(words, lambda ws: let(plain(ws), lambda low: let(template(ws), lambda ts: read(low, ts)))).alias("d"))
+    rows = rows.select("at", "d", F.posexplode("d.masked").alias("pos", "m")).withColumn("s", F.col("d.stand")[F.col("pos")])
+    rows = rows.where(hit(F.col("m")) | hit(F.col("s")))
+    # Both readings of a window without names are one.
+    one = lambda h, kinds: F.struct(F.col(h).alias("hash"), slots(kinds).alias("slots"))
+    both = F.array(one("m", [NUMBER, UNIT, NAME]), F.when(F.col("s") != F.col("m"), one("s", [NUMBER, UNIT])))
+    return rows.select("at", "pos", F.explode(F.array_compact(both)).alias("w")).select("at", "w.hash", "pos", "w.slots")
+
+
+def sent(known: DataFrame) -> DataFrame:
+    """The stored rows marked for sending to all tasks if few and small: at most ``SENT_ROWS`` and ``SENT_BYTES`` of them."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in known.dtypes if t == "string"]
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(64))), F.lit(0))).first()
+    return F.broadcast(known) if n <= SENT_ROWS and size <= SENT_BYTES else known
+
+
 def item_windows(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
     """Windows of each item, and how many places it has."""
     both = windows(tokens(benchmark[text]))
@@ -125,7 +198,13 @@ def runs(words: Column, n: Column) -> Column:
     return let(plain(words), of)
 
 
-def exact_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str) -> DataFrame | None:
+def too_short(benchmark: DataFrame, item_text: str = "text", item_id: str = "item_id", least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """(item, tokens) of the items under ``least_tokens`` tokens, which are not searched for inside longer texts."""
+    sized = benchmark.select(benchmark[item_id].alias("item"), F.size(tokens(benchmark[item_text])).alias("tokens"))
+    return sized.where(F.col("tokens") < least_tokens)
+
+
+def exact_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str, least_tokens: int) -> DataFrame | None:
     """(at, item) for each document that holds, word for word, an item that has no window of its own; None without such items.
 
     Items shorter than a window are runs of their own length; longer ones of which no window has enough
@@ -134,7 +213,7 @@ def exact_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str
     """
     words = tokens(benchmark[item_text])
     own = benchmark.select(benchmark[item_id].alias("item"), F.xxhash64(benchmark[item_text]).alias("mark"), words.alias("words"))
-    own = own.where((F.size("words") > 0) & ((F.size("words") < WINDOW) | (F.size(windows(F.col("words"))) == 0)))
+    own = own.where((F.size("words") >= max(1, least_tokens)) & ((F.size("words") < WINDOW) | (F.size(windows(F.col("words"))) == 0)))
     n = F.least(F.size("words"), F.lit(WINDOW))
     known = own.select("item", "mark", (F.size("words") - n + 1).alias("places"), F.explode(runs(F.col("words"), n)).alias("r"))
     known = cut_lineage(known.select("item", "mark", "places", "r.n", "r.hash", F.col("r.pos").alias("q")).distinct())
@@ -142,27 +221,23 @@ def exact_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str
     if not lengths:
         return None
     found = docs.select("at", F.explode(let(tokens(docs[text]), lambda ws: F.concat(*[runs(ws, F.lit(k)) for k in lengths]))).alias("r"))
-    if known.count() <= SENT_ROWS:
-        known = F.broadcast(known)
-    hits = found.select("at", "r.n", "r.hash", F.col("r.pos").alias("p")).join(known, ["n", "hash"])
+    hits = found.select("at", "r.n", "r.hash", F.col("r.pos").alias("p")).join(sent(known), ["n", "hash"])
     shift = F.when(F.col("places") > 1, F.col("p") - F.col("q")).otherwise(F.lit(0)).alias("shift")
     met = hits.select("at", "item", "mark", shift, "q", "places").distinct().groupBy("at", "item", "mark", "shift").agg(F.count("*").alias("met"), F.max("places").alias("places"))
     return met.where("met = places").select("at", "item")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", coverage: float = COVERAGE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(at, item) for each document that holds ``coverage`` of an item's windows; ``docs`` has a column at.
 
     Documents and items are windowed alike, so a verbatim copy meets every place. Windows meet by hash. Along one alignment of document and item every value of the item must stand
-    for one value of the document; alignments that break this do not count. The benchmark's windows are
-    counted first: up to ``SENT_ROWS`` of them are sent to all tasks, more are joined by exchange. Items
-    without a window, or shorter than one, are found by ``exact_leaks``.
+    for one value of the document; alignments that break this do not count. A bit table of the benchmark's
+    hashes keeps windows that meet nothing out of the join; up to ``SENT_ROWS`` windows of at most ``SENT_BYTES`` are then sent to all
+    tasks, more are joined by exchange. Items without a window, or shorter than one, are found by
+    ``exact_leaks`` from ``least_tokens`` tokens on; ``too_short`` lists the others.
     """
-    found = docs.select("at", F.explode(windows(tokens(docs[text]))).alias("w")).select("at", "w.hash", F.col("w.pos").alias("p"), "w.slots")
     known = cut_lineage(item_windows(benchmark, item_text, item_id))
-    if known.count() <= SENT_ROWS:
-        known = F.broadcast(known)
-    hits = found.join(known, "hash")
+    hits = met_windows(docs, text, known).withColumnRenamed("pos", "p").join(sent(known), "hash")
     hits = cut_lineage(hits.select("at", "item", "mark", (F.col("p") - F.col("q")).alias("shift"), "q", "slots", "item_slots", "places"))
     line = ["at", "item", "mark", "shift"]
     pairs = hits.where("slots IS NOT NULL AND item_slots IS NOT NULL").select(*line, F.split("item_slots", GAP).alias("i"), F.split("slots", GAP).alias("d"))
@@ -170,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     broken = pairs.groupBy(*line, "i").agg(F.count("*").alias("n")).where("n > 1").select(*line).distinct()
     kept = join_null_safe(hits, broken, line, "left_anti").groupBy("at", "item", "mark").agg(F.count_distinct("q").alias("met"), F.max("places").alias("places"))
     kept = kept.where(F.col("met") >= F.lit(coverage) * F.col("places")).select("at", "item")
-    exact = exact_leaks(docs, benchmark, text, item_text, item_id)
+    exact = exact_leaks(docs, benchmark, text, item_text, item_id, least_tokens)
     return (kept if exact is None else kept.unionByName(exact)).distinct()
 
 
@@ -179,7 +254,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
     A null or empty text holds nothing, and a null or empty item is held by nothing; an item of fewer
     than ``WINDOW`` tokens is held by a text that is its template as a whole, or that has it anywhere as
-    it stands, as are longer items without a window of three real words; repeated rows are judged alike; without
+    it stands, as are longer items without a window of three real words (an item under ``LEAST_TOKENS``
+    tokens only as a whole text, see ``too_short``); repeated rows are judged alike; without
     documents there are no rows, without items nothing is contaminated; input columns with a computed
     name are replaced. Rows are numbered once and stored with their number.
     """
@@ -191,7 +267,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
+    """The documents that hold no benchmark item, with their own columns.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; an empty table, an
+    empty benchmark, very long texts and clashing names are treated as in ``contamination``.
+    """
     rows = placed(docs)
     held = leaks(rows.select("at", F.col("row_").getField(text).alias("text")), benchmark, "text", **options).select("at").distinct()
     return unpacked(rows.join(held, "at", "left_anti"), docs.columns, {})
