@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import decontaminate, jaccard, linededup, mixing, pii, quality, sharding, sql, tokencount, toxicity, urlfilter
+from demandloom.llm import alignment, chatformat, collocation, decontaminate, jaccard, linededup, mixing, pii, quality, sharding, sql, tokencount, toxicity, urlfilter
 from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,30 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_template_decontamination, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_pii, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: tuple[str, ...] | None = None) -> DataFrame:
+    """``tokenizers``: paths of byte-level file, piece model and ranks file; by default those of the installed package."""
+    if tokenizers is None:
+        import public_tokenizers
+
+        tokenizers = tuple(map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.align(docs, tokenizers, alignment.Tokenizers(*tokenizers).b_size, digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], talks.schema)
+    done = chatformat.digests(chatformat.format_chats(talks.unionByName(more)))
+    return done.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_template_decontamination, op2_token_counts, op3_toxicity, op4_jaccard_join, op5_pii, op6_quality_rules, op7_line_dedup, op8_url_filter, op9_source_mixing, op10_histogram_sharding, op11_token_alignment, op12_chat_format, op13_collocations)}
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for line in quality.STOP_WORDS.values() for w in line.split()}))
 #: Trained models, linked groups, span positions, token pieces and the CRC are out of reach of SQL.
-ORACLES: dict[str, str] = {"op6_quality_rules": sql.OP6.replace("{stop}", _STOP), "op7_line_dedup": sql.OP7, "op9_source_mixing": sql.OP9}
+ORACLES: dict[str, str] = {"op6_quality_rules": sql.OP6.replace("{stop}", _STOP), "op7_line_dedup": sql.OP7, "op9_source_mixing": sql.OP9, "op13_collocations": sql.OP13}

@@ -86,3 +86,21 @@ WITH docs AS (
 SELECT doc_id, size, source_size, target, CAST(least(floor(nth * rate + u) - floor((nth - 1) * rate + u), 2) AS BIGINT) * size AS taken
 FROM rated
 """
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) r(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+c AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM s)),
+v AS (SELECT c.lang, c.phrase, c.m, c.a, c.k, l.f AS l, r.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN n ON n.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS rn FROM v),
+q AS (SELECT lang, unnest([array_to_string(ws[1:m - 1], ' '), array_to_string(ws[2:], ' ')]) AS phrase, a FROM s WHERE m > 2),
+o AS (SELECT lang, phrase, max(a) AS longer FROM q GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE rn = 1 AND (longer IS NULL OR 100 * longer < 100 * a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
