@@ -19,7 +19,7 @@ from demandloom.llm.columns import stored
 from demandloom.llm.shingles import BASE, _mix, _powers, pieces
 
 MOST_WORDS, LEAST, TOP, PERCENT = 5, 100, 2000, 100
-BLOCK_ROWS, BLOCK_BYTES, FLUSH, HELD = 4096, 1 << 20, 1 << 20, 1 << 17
+BLOCK_ROWS, BLOCK_BYTES, FLUSH, HELD = 4096, 1 << 20, 1 << 20, 1 << 18
 FILTER_BITS = 1 << 24
 NO_LANGUAGE = "und"
 
@@ -130,9 +130,15 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             at = end
 
 
+def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that stand for a hash."""
+    least = np.uint64(FILTER_BITS - 1)
+    return hashes & least, (hashes >> np.uint64(32)) & least
+
+
 def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(FILTER_BITS - 1)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    one, two = ((bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1 for x in places(hashes))
+    return one & two
 
 
 def open_grams(block: Block, n: int, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +187,8 @@ def surviving(rows: DataFrame, sizes: list[int], filters: list, least: int) -> n
         if found:
             summary.merge(*map(np.concatenate, zip(*found, strict=True)))
         bits = np.zeros(FILTER_BITS, bool)
-        bits[(summary.survivors().view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+        for x in places(summary.survivors().view(np.uint64)):
+            bits[x.astype(np.int64)] = True
         table = np.packbits(bits, bitorder="little").view(np.int64)
         words = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(table[words])], ["word", "bits"])
@@ -199,8 +206,10 @@ def exact_counts(rows: DataFrame, filters: list, most_words: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = [f.value for f in filters], {}
 
-        def counted() -> pa.RecordBatch:
-            columns = list(zip(*held.values(), strict=True)) or [[]] * 4
+        def counted(up_to: int) -> pa.RecordBatch:
+            """The held n-grams found ``up_to`` times or less, which are held no longer."""
+            given = [k for k, own in held.items() if own[3] <= up_to]
+            columns = list(zip(*map(held.pop, given), strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "n"])
 
@@ -216,10 +225,9 @@ def exact_counts(rows: DataFrame, filters: list, most_words: int) -> DataFrame:
                         held[key] = [block.names[block.lang[i]], n, block.phrase(i, n), k]
                     else:
                         own[3] += k
-            if len(held) > HELD:
-                yield counted()
-                held.clear()
-        yield counted()
+            if len(held) > HELD:  # frequent ones stay, so that each task gives them out once
+                yield counted(sorted(own[3] for own in held.values())[len(held) // 2])
+        yield counted(max((own[3] for own in held.values()), default=0))
 
     parts = rows.mapInArrow(count, "lang string, size int, phrase string, n bigint")
     return parts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
