@@ -8,7 +8,7 @@ The time index of a value is its position.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,13 +160,13 @@ def poly_value(c: Column, x: Column) -> Column:
     )
 
 
-def polynomial(ys: Column, h: Column | int, degree: int = 2) -> Column:
-    """Polynomial blended with a robust trend and, far out, the recent mean; bounded."""
+def polynomial(ys: Column, h: Column | int, degree: int = 2, trend: Callable[[Column], Column] = middle_slope) -> Column:
+    """Polynomial blended with a robust trend and, far out, the recent mean; bounded. ``trend`` gives the slope of the last 30 values."""
 
     def roll(v: Column) -> Column:
         made = F.struct(
             poly_coefficients(v, degree).alias("c"),
-            middle_slope(tail(v, 30)).alias("trend"),
+            trend(tail(v, 30)).alias("trend"),
             mean(tail(v, 12)).alias("recent"),
             F.array_min(v).alias("lo"),
             F.array_max(v).alias("hi"),
@@ -502,12 +502,12 @@ def decomposition(ys: Column, h: Column | int, season: int = 12) -> Column:
 # ---------------------------------------------------------------- moving average
 
 
-def moving_average(ys: Column, h: Column | int, window: int = 3) -> Column:
+def moving_average(ys: Column, h: Column | int, window: Column | int = 3) -> Column:
     """Rolling mean plus a damped recent slope, fed back into the window; bounded."""
 
     def roll(v: Column) -> Column:
         n = F.size(v)
-        w = F.least(F.lit(max(3, window)), n)
+        w = F.least(F.greatest(F.lit(3), F.lit(window) if isinstance(window, int) else window), n)
         made = F.struct(
             line(tail(v, F.least(w * 2, n, F.lit(12))))["slope"].alias("slope"),
             F.greatest(F.array_min(v) * 0.5, zero()).alias("lo"),
@@ -553,8 +553,12 @@ def lag_rows(ys: Column, lags: int = 5, factors: Column | None = None) -> Column
     return F.when(F.size(ys) > lags, let(ys, rows))
 
 
-def knn(ys: Column, h: Column | int, k: int = 5, lags: int = 5, factors: Column | None = None) -> Column:
-    """Mean of the k nearest standardised lag rows, fed back step by step."""
+def knn(ys: Column, h: Column | int, k: Column | int = 5, lags: int = 5, factors: Column | None = None, future: Column | None = None) -> Column:
+    """Mean of the k nearest standardised lag rows, fed back step by step.
+
+    ``future`` has a row of factor values for each step; without it the last known ones stay.
+    """
+    k = F.lit(k) if isinstance(k, int) else k
 
     def scale(rows: Column) -> Column:
         width = F.size(F.element_at(rows, 1)["x"])
@@ -588,12 +592,13 @@ def knn(ys: Column, h: Column | int, k: int = 5, lags: int = 5, factors: Column
                                 i.alias("i"), r["y"].alias("y"),
                             ),
                         )
-                        return mean(F.transform(F.slice(F.sort_array(near), 1, k), lambda r: r["y"]))
+                        return mean(F.transform(F.slice(F.sort_array(near), F.lit(1), k), lambda r: r["y"]))
 
                     def step(a: Column, j: Column) -> Column:
                         x = F.concat(a["win"], F.array((F.size(v) + j).cast("double")))
                         if factors is not None:
-                            x = F.concat(x, F.element_at(factors, -1))
+                            last = F.element_at(factors, -1)
+                            x = F.concat(x, last if future is None else F.coalesce(F.get(future, j), last))
                         return let(
                             F.greatest(let(scaled(x, sc), nearest), zero()),
                             lambda y: F.struct(

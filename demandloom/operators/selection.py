@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import seriesmath as sm
+from demandloom.functions.arima import arima, auto_sarima
+from demandloom.functions.regression import consensus_slope, factor_line
 from demandloom.functions.scalars import add_periods, let, steady_round
+from demandloom.operators.series import parameter_grid
 from demandloom.operators.totals import first_rows
 
 # Metrics where more is better.
 HIGHER_IS_BETTER = {"accuracy", "mae_accuracy", "rmse_accuracy"}
+MODELS = sm.MODELS | {
+    "linear_factors": factor_line, "arima_order": arima, "auto_sarima": auto_sarima,
+    "consensus_polynomial": lambda ys, h, degree=2: sm.polynomial(ys, h, degree, consensus_slope),
+}
+# Models that take factor values next to the series.
+WITH_FACTORS = {"linear_factors", "knn"}
 METRICS = ["mae", "rmse", "mape", "accuracy", "mae_accuracy", "rmse_accuracy"]
 # The largest values that two generations of the result table could hold, for callers that must fit one.
 RESULT_BOUND, LEGACY_RESULT_BOUND = 999999.9999, 99999999.999999
 
 
-def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], horizon: int, ratio: float = 0.8, options: dict | None = None) -> DataFrame:
+def evaluate(
+    series: DataFrame, keys: Sequence[str], models: Sequence[str], horizon: int, ratio: float = 0.8, options: dict | None = None, factors: str | None = None, future: str | None = None,
+) -> DataFrame:
     """Every model on every series: scored on the held-back tail, refitted on the whole.
 
     Output: one row per entity and model with ``test_forecast``, ``test_actual``,
@@ -27,36 +39,92 @@ def evaluate(series: DataFrame, keys: Sequence[str], models: Sequence[str], hori
     (train part and whole), so the stage holds each model once and nothing is shuffled. A
     series under four points holds nothing back: its models have no score, and rank behind
     any model that has one.
+
+    ``factors`` names a column with a row of factor values for each period; the models in ``WITH_FACTORS``
+    learn from it. ``future`` names one with the values of the coming periods; then the held-back
+    periods are scored with their own factor values. Without it the last known values stay in both runs.
     """
     options = options or {}
+    given = {"fx": factors} | ({"fut": future} if future else {}) if factors else {}
 
     def results(train: Column, whole: Column, held: Column) -> Column:
+        kept = {"fx": lambda c: sm.head(F.col(c), F.col("cut")), "fut": lambda _: F.slice(factors, F.col("cut") + 1, F.greatest(held, F.lit(1)))}
         runs = F.array(
-            F.struct(train.alias("v"), F.greatest(held, F.lit(1)).alias("h")),
-            F.struct(whole.alias("v"), F.lit(horizon).alias("h")),
+            F.struct(train.alias("v"), F.greatest(held, F.lit(1)).alias("h"), *[kept[x](c).alias(x) for x, c in given.items()]),
+            F.struct(whole.alias("v"), F.lit(horizon).alias("h"), *[F.col(c).alias(x) for x, c in given.items()]),
         )
 
         def both_runs(name: str) -> Column:
-            return F.transform(runs, lambda r: sm.MODELS[name](r["v"], r["h"], **options.get(name, {})))
+            extra = lambda r: {"factors": r["fx"], "future": r["fut"] if future else None} if given and name in WITH_FACTORS else {}
+            return F.transform(runs, lambda r: MODELS[name](r["v"], r["h"], **options.get(name, {}), **extra(r)))
 
         return F.array(*[F.struct(F.lit(m).alias("algorithm"), both_runs(m).alias("f")) for m in models])
 
-    base = series.select(*keys, "periods", "ys", F.size("ys").alias("n"), sm.train_length(F.size("ys"), ratio).alias("cut"))
+    base = series.select(*keys, "periods", "ys", *given.values(), F.size("ys").alias("n"), sm.train_length(F.size("ys"), ratio).alias("cut"))
     held = F.col("n") - F.col("cut")
-    test = F.when(held > 0, F.slice("ys", F.col("cut") + 1, F.greatest(held, F.lit(1))))
-    scores = sm.score(test, F.when(held > 0, F.element_at("m.f", 1)))
     made = base.withColumn("fallback", sm.MODELS["simple_moving_average"](F.col("ys"), F.lit(horizon)))
     made = made.withColumn("m", F.explode(results(sm.head(F.col("ys"), F.col("cut")), F.col("ys"), held)))
+    return _scored(made, keys, F.col("m.algorithm"), F.element_at("m.f", 1), F.element_at("m.f", 2))
+
+
+def _scored(made: DataFrame, keys: Sequence[str], name: Column, on_train: Column, on_whole: Column) -> DataFrame:
+    """The columns of an evaluation, from both forecasts of a model next to the series."""
+    held = F.col("n") - F.col("cut")
+    tail = lambda c: F.when(held > 0, F.slice(c, F.col("cut") + 1, F.greatest(held, F.lit(1))))
+    made_test = F.when(held > 0, on_train)
     return made.select(
-        *keys, F.col("m.algorithm").alias("algorithm"), "n", "fallback", held.alias("test_periods"),
-        F.when(held > 0, F.slice("periods", F.col("cut") + 1, F.greatest(held, F.lit(1)))).alias("test_dates"),
-        test.alias("test_actual"),
-        F.when(held > 0, F.element_at("m.f", 1)).alias("test_forecast"),
-        F.element_at("m.f", 2).alias("forecast"),
-        scores.alias("metrics"),
+        *keys, name.alias("algorithm"), "n", "fallback", held.alias("test_periods"), tail("periods").alias("test_dates"),
+        tail("ys").alias("test_actual"), made_test.alias("test_forecast"), on_whole.alias("forecast"),
+        sm.score(tail("ys"), made_test).alias("metrics"),
     ).select("*", "metrics.*").drop("metrics")
 
 
+def evaluate_fitted(
+    series: DataFrame, keys: Sequence[str], models: dict[str, Callable[[DataFrame, list[str]], DataFrame]], horizon: int, ratio: float = 0.8
+) -> DataFrame:
+    """The rows of ``evaluate`` for models that are fitted as frames, not as expressions.
+
+    A model takes (runs, keys), where runs has keys, ``ys`` and the number of steps ``h``, and gives keys
+    and ``forecast``. The train part and the whole of every series are runs side by side, so one
+    fit serves both and all entities. ``series`` is read once for each model and should be stored.
+    """
+    own = [*keys, "run_"]
+    base = series.select(*keys, "periods", "ys", F.size("ys").alias("n"), sm.train_length(F.size("ys"), ratio).alias("cut"))
+    steps = F.greatest(F.col("n") - F.col("cut"), F.lit(1))
+    both = F.array(
+        F.struct(F.lit("train").alias("run_"), sm.head(F.col("ys"), F.col("cut")).alias("ys"), steps.alias("h")),
+        F.struct(F.lit("whole").alias("run_"), F.col("ys").alias("ys"), F.lit(horizon).alias("h")),
+    )
+    runs = base.select(*keys, F.explode(both).alias("r")).select(*keys, "r.*")
+    base = base.withColumn("fallback", sm.MODELS["simple_moving_average"](F.col("ys"), F.lit(horizon)))
+    out = None
+    for name, model in models.items():
+        pick = lambda run: F.max_by("forecast", F.col("run_") == run)
+        both_made = model(runs, own).groupBy(*keys).agg(pick("train").alias("on_train"), pick("whole").alias("on_whole"))
+        part = _scored(base.join(both_made, list(keys)), keys, F.lit(name), F.col("on_train"), F.col("on_whole"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def evaluate_grid(series: DataFrame, keys: Sequence[str], grids: Mapping[str, Mapping[str, Any]], horizon: int, ratio: float = 0.8) -> DataFrame:
+    """``evaluate`` for every model over every combination of its own parameter lists, in one plan.
+
+    ``grids`` maps a model to its parameters as ``parameter_grid`` takes them: lists under ``name_list``, constants
+    under their name. Parameters are columns of the result, null where a model has none of that name.
+    """
+    out, kinds = None, {}
+    parts = []
+    for model, params in grids.items():
+        names = [p.removesuffix("_list") for p in params]
+        grid = parameter_grid(series, params)
+        kinds |= {n: grid.schema[n].dataType for n in names}
+        parts.append(evaluate(grid, [*keys, *names], [model], horizon, ratio, {model: {n: F.col(n) for n in names}}))
+    for part in parts:
+        part = part.withColumns({n: F.lit(None).cast(t) for n, t in kinds.items() if n not in part.columns})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def usable(forecast: Column) -> Column:
     """Whether there is a forecast and all of it is finite."""
     finite = F.forall(forecast, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

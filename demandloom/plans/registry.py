@@ -11,7 +11,7 @@ from demandloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("landing", "totals", "forecast", "choose", "records", "split", "compare")
+MODULES = ("landing", "totals", "forecast", "choose", "models", "records", "split", "compare")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

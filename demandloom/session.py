@@ -18,6 +18,8 @@ RUNTIME = {
     # The JVM does not compile methods above 8000 bytecodes; wide row expressions then run
     # interpreted. Beyond the limit Spark splits the projection into methods that compile.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Models are nested functions over arrays, and each level of nesting takes the analyzer one round.
+    "spark.sql.analyzer.maxIterations": "1000",
 }
 
 
