@@ -54,7 +54,7 @@ def grow(samples: DataFrame, depth: int, min_leaf: int, ridge: float) -> tuple[D
         best = cut_lineage(best.select(*at, (-F.col("b.f")).alias("feature"), (-F.col("b.t")).alias("threshold")))
         splits = best if splits is None else splits.unionByName(best)
         child = 2 * F.col("node") + F.when(F.get("x", F.col("feature")) > F.col("threshold"), 1).otherwise(0)
-        rows = rows.join(best, at, "left").withColumn("node", F.coalesce(child, "node")).drop("feature", "threshold")
+        rows = rows.join(best, at, "left").withColumn("node", F.when(F.col("feature").isNotNull(), child).otherwise(F.col("node"))).drop("feature", "threshold")
     rows = cut_lineage(rows)
     leaves = rows.groupBy(*at).agg((F.sum("g") / (F.sum("h") + ridge) / UNIT).alias("value"))
     none = lambda t: F.lit(None).cast(t)
