@@ -1,7 +1,7 @@
 """Phrase collocations: n-grams that Misra-Gries summaries cannot rule out, counted exactly and scored.
 
 Level by level (words, pairs, longer runs) every text gives hashes of those n-grams whose parts are
-still in question. They are dealt out by hash; each task keeps a mergeable summary of the hashes it
+still in question. They are dealt out by hash partition; each task keeps a mergeable summary of the hashes it
 is dealt, which can only lose n-grams below the threshold. What survives is counted in a last pass as text.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from demandloom.llm.shingles import BASE, _mix, _powers, pieces
 MOST_WORDS, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 BLOCK_ROWS, BLOCK_BYTES, FLUSH, HELD = 4096, 1 << 20, 1 << 20, 1 << 18
 FILTER_BITS = 1 << 24
+# Summaries know an n-gram by 44 bits of its hash: 12 name its hash partition, 32 its place there. Equal ones only add up, so none is lost.
+PARTITION_BITS, KEY_BITS = 12, 32
 NO_LANGUAGE = "und"
 
 
@@ -133,7 +136,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of the filter that stand for a hash."""
     least = np.uint64(FILTER_BITS - 1)
-    return hashes & least, (hashes >> np.uint64(32)) & least
+    return hashes & least, (hashes >> np.uint64(PARTITION_BITS + KEY_BITS - 24)) & least
 
 
 def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -163,8 +166,13 @@ def surviving(rows: DataFrame, sizes: list[int], filters: list, least: int) -> n
         known, found, held = [f.value for f in filters], [], 0
 
         def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
+            """A row per hash partition: the 32-bit keys of its n-grams and how often each was found."""
+            mask = np.uint64((1 << PARTITION_BITS + KEY_BITS) - 1)
+            keys, n = np.unique(np.concatenate(found) & mask if found else np.zeros(0, np.uint64), return_counts=True)
+            parts, first = np.unique(keys >> np.uint64(KEY_BITS), return_index=True)
+            ends = pa.py_buffer((4 * np.append(first, len(keys))).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(parts), [None, ends, pa.py_buffer(x.astype("<u4"))]) for x in (keys & np.uint64((1 << KEY_BITS) - 1), n)]
+            return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *packed], ["part", "keys", "n"])
 
         for block in blocks(batches):
             for n in sizes:
@@ -179,8 +187,10 @@ def surviving(rows: DataFrame, sizes: list[int], filters: list, least: int) -> n
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary, found, held = Summary(least), [], 0
         for b in batches:
-            found.append([b.column(i).to_numpy() for i in (0, 1)])
-            held += b.num_rows
+            keys, n = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").astype(np.int64) for i in (1, 2))
+            sizes_ = pc.binary_length(b.column(1)).to_numpy() // 4
+            found.append([np.repeat(b.column(0).to_numpy().astype(np.int64), sizes_) << KEY_BITS | keys, n])
+            held += len(keys)
             if held > FLUSH:
                 summary.merge(*map(np.concatenate, zip(*found, strict=True)))
                 found, held = [], 0
@@ -193,7 +203,7 @@ def surviving(rows: DataFrame, sizes: list[int], filters: list, least: int) -> n
         words = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(table[words])], ["word", "bits"])
 
-    dealt = rows.mapInArrow(hashed, "gram bigint, n bigint").repartition("gram")
+    dealt = rows.mapInArrow(hashed, "part int, keys binary, n binary").repartition("part")
     words = dealt.mapInArrow(summarised, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
