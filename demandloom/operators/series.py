@@ -150,6 +150,105 @@ def extend_factors(rows: DataFrame, start: str, end: str, floor: bool = True) ->
     return out.select("factor_name", dates.alias("factor_date"), "factor_value", F.lit("Forecasted from historical data").alias("source"))
 
 
+ANCHORS = ("first day", "last day", "first business day", "last business day")
+
+
+def _anchor_day(month: Column, anchor: str) -> Column:
+    """The anchored day of the month that ``month`` lies in."""
+    if anchor.startswith("first"):
+        day = F.trunc(month, "MM")
+        return day if anchor == "first day" else F.date_add(day, F.when(F.weekday(day) > 4, 7 - F.weekday(day)).otherwise(0))
+    day = F.last_day(month)
+    return day if anchor == "last day" else F.date_sub(day, F.when(F.weekday(day) > 4, F.weekday(day) - 4).otherwise(0))
+
+
+def _all_on(anchor: str) -> Column:
+    return F.forall("d", lambda x: x == _anchor_day(x, anchor))
+
+
+def _month_number(d: Column) -> Column:
+    return F.year(d) * 12 + F.month(d)
+
+
+def factor_calendar(rows: DataFrame, key: str = "factor_name", date: str = "factor_date") -> DataFrame:
+    """Interval of each factor and the calendar days its dates keep to, with its first and last date.
+
+    From three dates on, ``anchor`` names what holds for all of them: every day, every business day, one
+    weekday, or the first or last (business) day of months one, three or twelve apart. Where none holds
+    it is NULL and the interval comes from the median gap, as in ``factor_interval``; one date is DAILY.
+    NULL dates are left out and repeats count once. A factor's dates are as many as its calendar.
+    """
+    dates = rows.where(F.col(date).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(date)).alias("d"))
+    d, n = F.col("d"), F.size("d")
+    gaps = lambda f: F.transform(F.sequence(F.lit(1), n - 1), lambda i: f(F.get(d, i), F.get(d, i - 1)))
+    dates = dates.withColumns({
+        "days": F.when(n > 1, gaps(lambda x, y: F.datediff(x, y))),
+        "steps": F.when(n > 1, gaps(lambda x, y: _month_number(x) - _month_number(y))),
+    })
+    all_gaps = lambda k: F.forall("days", lambda g: g == k)
+    business = F.forall("d", lambda x: F.weekday(x) < 5) & F.forall(
+        F.sequence(F.lit(1), n - 1), lambda i: F.get("days", i - 1) == F.when(F.weekday(F.get(d, i)) == 0, 3).otherwise(1)
+    )
+    step = F.get("steps", F.lit(0))
+    even = F.forall("steps", lambda s: s == step) & step.isin(1, 3, 12)
+    anchor = F.when(all_gaps(1), "day").when(business, "business day").when(all_gaps(7), "weekday")
+    for name in ANCHORS:
+        anchor = anchor.when(even & _all_on(name), name)
+    out = dates.withColumn("anchor", F.when(n > 2, anchor))
+    sorted_gaps = F.sort_array("days")
+    low, high = F.get(sorted_gaps, F.floor((n - 2) / 2).cast("int")), F.get(sorted_gaps, F.floor((n - 1) / 2).cast("int"))
+    gap = F.coalesce((low + high) / F.lit(2.0), F.lit(0.0))
+    by_gap = F.when(gap >= 300, "YEARLY").when(gap >= 80, "QUARTERLY").when(gap >= 25, "MONTHLY").when(gap >= 6, "WEEKLY").otherwise("DAILY")
+    by_step = F.when(step == 12, "YEARLY").when(step == 3, "QUARTERLY").otherwise("MONTHLY")
+    by_anchor = F.when(F.col("anchor").isin("day", "business day"), "DAILY").when(F.col("anchor") == "weekday", "WEEKLY").otherwise(by_step)
+    interval = F.when(F.col("anchor").isNull(), by_gap).otherwise(by_anchor)
+    return out.select(key, interval.alias("interval"), "anchor", F.get(d, F.lit(0)).alias("first_date"), F.get(d, n - 1).alias("last_date"), n.alias("points"))
+
+
+def calendar_dates(interval: Column, anchor: Column, last: Column, start: str, end: str) -> Column:
+    """The dates in an inclusive range at which a factor goes on, given its calendar; NULL for an unanchored one.
+
+    Weeks, quarters and years keep the phase of the factor's last date.
+    """
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    none = F.expr("cast(array() as array<date>)")
+    ordered = a <= b
+    days = F.when(ordered, F.sequence(a, F.greatest(a, b), F.expr("interval 1 day"))).otherwise(none)
+    firsts = F.when(ordered, F.sequence(F.trunc(a, "MM"), F.trunc(F.greatest(a, b), "MM"), F.expr("interval 1 month"))).otherwise(none)
+    step = F.when(interval == "YEARLY", 12).when(interval == "QUARTERLY", 3).otherwise(1)
+    due = F.filter(firsts, lambda m: F.pmod(_month_number(m) - _month_number(last), step) == 0)
+    on_anchor = lambda name: F.transform(due, lambda m: _anchor_day(m, name))
+    out = F.when(anchor == "day", days).when(anchor == "business day", F.filter(days, lambda x: F.weekday(x) < 5))
+    out = out.when(anchor == "weekday", F.filter(days, lambda x: F.pmod(F.datediff(x, last), F.lit(7)) == 0))
+    for name in ANCHORS:
+        out = out.when(anchor == name, F.filter(on_anchor(name), lambda x: x.between(a, b)))
+    return out
+
+
+def continue_factors(rows: DataFrame, start: str, end: str, floor: bool = True) -> DataFrame:
+    """Linear continuation of each factor on its own calendar days; without an anchor in steps from ``start``.
+
+    The first date in the range takes the value after the last known one, as in ``extend_factors``. Factors
+    with fewer than three points are left out.
+    """
+    series = to_series(rows, ["factor_name"], "factor_date", "factor_value").where(F.col("n") >= FACTOR_POINTS)
+    out = series.join(factor_calendar(rows), "factor_name")
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    dates = calendar_dates(F.col("interval"), F.col("anchor"), F.col("last_date"), start, end)
+    stepped = lambda name, n: F.transform(F.slice(F.sequence(F.lit(0), n), 1, n), lambda k: add_periods(a, k, name))
+    plain = None
+    for name in ("DAILY", "WEEKLY", "MONTHLY", "QUARTERLY", "YEARLY"):
+        count = F.greatest(_inclusive_steps(a, b, name), F.lit(0))
+        steps = stepped(name, count)
+        plain = F.when(F.col("interval") == name, steps) if plain is None else plain.when(F.col("interval") == name, steps)
+    fitted = out.select("factor_name", "n", sm.line(F.col("ys")).alias("line"), F.coalesce(dates, plain).alias("dates"))
+    # The outer form: for the inner one the optimizer tests the dates in a filter as well, and copies the calendar's expressions into it.
+    fitted = fitted.select("factor_name", "n", "line", F.posexplode_outer("dates").alias("step", "factor_date")).where("factor_date IS NOT NULL")
+    value = F.col("line.intercept") + F.col("line.slope") * (F.col("n") + F.col("step"))
+    value = F.greatest(value, F.lit(0.0)) if floor else value
+    return fitted.select("factor_name", "factor_date", value.alias("factor_value"), F.lit("Forecasted from historical data").alias("source"))
+
+
 def _inclusive_steps(a: Column, b: Column, interval: str) -> Column:
     if interval == "DAILY":
         k = F.datediff(b, a) + 1

@@ -230,6 +230,89 @@ def t8_failed(spark, sf_dir):
     return ops.short_factors(short, asked)
 
 
+# Order values on calendars of several kinds; those of the fifteenth keep to no anchor.
+add_view(
+    "dp_dated_factors",
+    """
+SELECT x.n AS factor_name, x.d AS factor_date, floor(avg(o_totalprice) * 100.0 + 0.500001) / 100.0 AS factor_value FROM (
+  SELECT o_totalprice, unnest([
+    {'n': 'day', 'd': o}, {'n': 'business day', 'd': CASE WHEN isodow(o) < 6 THEN o END}, {'n': 'friday', 'd': o + CAST((12 - isodow(o)) % 7 AS INTEGER)},
+    {'n': 'month end', 'd': last_day(o)}, {'n': 'first business day', 'd': f + CASE isodow(f) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END},
+    {'n': 'quarter end', 'd': last_day(CAST(date_trunc('quarter', o) + INTERVAL 2 MONTH AS DATE))},
+    {'n': 'year start', 'd': CAST(date_trunc('year', o) AS DATE)}, {'n': 'fifteenth', 'd': f + 14}]) AS x
+  FROM (SELECT o_totalprice, CAST(o_orderdate AS DATE) AS o, CAST(date_trunc('month', o_orderdate) AS DATE) AS f FROM orders))
+WHERE x.d IS NOT NULL GROUP BY x.n, x.d""",
+)
+add_view(
+    "dp_factor_calendar",
+    """
+SELECT factor_name, CASE
+    WHEN anchor IN ('day', 'business day') THEN 'DAILY' WHEN anchor = 'weekday' THEN 'WEEKLY'
+    WHEN anchor IS NOT NULL THEN CASE step WHEN 12 THEN 'YEARLY' WHEN 3 THEN 'QUARTERLY' ELSE 'MONTHLY' END
+    WHEN gap >= 300 THEN 'YEARLY' WHEN gap >= 80 THEN 'QUARTERLY' WHEN gap >= 25 THEN 'MONTHLY' WHEN gap >= 6 THEN 'WEEKLY' ELSE 'DAILY' END AS interval_name,
+  anchor, first_date, last_date, points FROM (
+  SELECT *, CASE WHEN points < 3 THEN NULL WHEN daily THEN 'day' WHEN business THEN 'business day' WHEN weekly THEN 'weekday'
+      WHEN step = last_step AND step IN (1, 3, 12) THEN CASE WHEN fd THEN 'first day' WHEN ld THEN 'last day' WHEN fb THEN 'first business day' WHEN lb THEN 'last business day' END
+    END AS anchor FROM (
+    SELECT factor_name, CAST(count(*) AS INTEGER) AS points, min(d) AS first_date, max(d) AS last_date, coalesce(quantile_cont(d - p, 0.5), 0) AS gap,
+      bool_and(d - p = 1) AS daily, bool_and(d - p = 7) AS weekly,
+      bool_and(isodow(d) < 6) AND bool_and(d - p = CASE isodow(d) WHEN 1 THEN 3 ELSE 1 END) AS business,
+      min(year(d) * 12 + month(d) - year(p) * 12 - month(p)) AS step, max(year(d) * 12 + month(d) - year(p) * 12 - month(p)) AS last_step,
+      bool_and(d = f) AS fd, bool_and(d = l) AS ld, bool_and(d = f + CASE isodow(f) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) AS fb,
+      bool_and(d = l - CASE isodow(l) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END) AS lb
+    FROM (SELECT factor_name, factor_date AS d, lag(factor_date) OVER (PARTITION BY factor_name ORDER BY factor_date) AS p,
+            CAST(date_trunc('month', factor_date) AS DATE) AS f, last_day(factor_date) AS l FROM dp_dated_factors) GROUP BY factor_name))""",
+    ["dp_dated_factors"],
+)
+
+
+def dated_factors(spark, sf_dir):
+    o = F.col("o_orderdate").cast("date")
+    first, quarter = F.trunc(o, "MM"), F.last_day(F.add_months(F.trunc(o, "quarter"), 2))
+    opening = F.date_add(first, F.when(F.weekday(first) > 4, 7 - F.weekday(first)).otherwise(0))
+    dates = {
+        "day": o, "business day": F.when(F.weekday(o) < 5, o), "friday": F.date_add(o, F.pmod(4 - F.weekday(o), F.lit(7))), "month end": F.last_day(o),
+        "first business day": opening, "quarter end": quarter, "year start": F.trunc(o, "year"), "fifteenth": F.date_add(first, 14),
+    }
+    each = F.array(*[F.struct(F.lit(n).alias("factor_name"), d.alias("factor_date")) for n, d in dates.items()])
+    # Days first: the calendars then share out a row per day, not one per order.
+    days = star.table(spark, sf_dir, "orders").groupBy("o_orderdate").agg(F.sum("o_totalprice").alias("total"), F.count("o_totalprice").alias("n"))
+    rows = days.select("total", "n", F.explode(each).alias("x")).where("x.factor_date IS NOT NULL")
+    return rows.groupBy("x.factor_name", "x.factor_date").agg(steady_round(F.sum("total") / F.sum("n"), 2).alias("factor_value"))
+
+
+@job("t7_factor_calendar", with_views("dp_factor_calendar", then="SELECT * FROM dp_factor_calendar"))
+def t7_calendar(spark, sf_dir):
+    return ops.factor_calendar(dated_factors(spark, sf_dir)).withColumnRenamed("interval", "interval_name")
+
+
+@job(
+    "t8_calendar_forecast",
+    with_views(
+        "dp_factor_calendar",
+        then="""
+, days AS (SELECT CAST(x AS DATE) AS d, CAST(date_trunc('month', x) AS DATE) AS f, last_day(CAST(x AS DATE)) AS l
+           FROM range(TIMESTAMP '2001-09-10', TIMESTAMP '2003-02-16', INTERVAL 1 DAY) r(x)),
+due AS (
+  SELECT factor_name, d FROM dp_factor_calendar, days WHERE CASE anchor
+    WHEN 'day' THEN TRUE WHEN 'business day' THEN isodow(d) < 6 WHEN 'weekday' THEN (d - last_date) % 7 = 0
+    ELSE (year(d) * 12 + month(d) - year(last_date) * 12 - month(last_date)) % (CASE interval_name WHEN 'YEARLY' THEN 12 WHEN 'QUARTERLY' THEN 3 ELSE 1 END) = 0
+      AND CASE anchor WHEN 'first day' THEN d = f WHEN 'last day' THEN d = l WHEN 'first business day' THEN d = f + CASE isodow(f) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END
+            ELSE d = l - CASE isodow(l) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END END END AND anchor IS NOT NULL
+  UNION ALL SELECT factor_name, d FROM dp_factor_calendar, days WHERE anchor IS NULL AND CASE interval_name
+    WHEN 'DAILY' THEN TRUE WHEN 'WEEKLY' THEN (d - DATE '2001-09-10') % 7 = 0
+    ELSE day(d) = 10 AND (year(d) * 12 + month(d) - 2001 * 12 - 9) % (CASE interval_name WHEN 'YEARLY' THEN 12 WHEN 'QUARTERLY' THEN 3 ELSE 1 END) = 0 END),
+i AS (SELECT *, row_number() OVER (PARTITION BY factor_name ORDER BY factor_date) - 1 AS t FROM dp_dated_factors),
+m AS (SELECT factor_name, regr_slope(factor_value, t) AS s, regr_intercept(factor_value, t) AS b, count(*) AS n FROM i GROUP BY factor_name HAVING count(*) >= 3)
+SELECT factor_name, d AS factor_date, round(greatest(b + s * (n + row_number() OVER (PARTITION BY factor_name ORDER BY d) - 1), 0), 1) AS factor_value,
+  'Forecasted from historical data' AS source FROM due JOIN m USING (factor_name)""",
+    ),
+)
+def t8_calendar(spark, sf_dir):
+    """Every factor continued on its own days: month ends on month ends, business days without weekends."""
+    return ops.continue_factors(dated_factors(spark, sf_dir), "2001-09-10", "2003-02-15").withColumn("factor_value", F.round("factor_value", 1))
+
+
 _WIDE = (
     "SELECT product, period, total_quantity, transaction_count, 1.0 AS constant_factor, "
     + ", ".join(f"max(CASE WHEN factor_name = '{p}' THEN factor_value END) AS {c}" for p, c in zip(PRIORITIES, FACTOR_COLUMNS))

@@ -14,7 +14,9 @@ from demandloom.operators.totals import first_rows
 from demandloom.plans import star
 from demandloom.plans.registry import job
 from demandloom.plans.twins import add_view, with_views
+from demandloom.session import scratch_folder
 from demandloom.sources import landing as src
+from demandloom.sources import months
 from demandloom.sources.catalogue import Catalogue, typed_load
 
 META = ["upload_id", "row_no", "sales_id"]
@@ -254,6 +256,31 @@ def s8(spark, sf_dir):
     return up.upsert(old_sales(spark, sf_dir), batch(spark, sf_dir), ["master_id", "date"])
 
 
+add_view("dp_late_batch", "SELECT * FROM dp_batch WHERE date >= DATE '1997-10-01'", ["dp_batch"])
+_LATE = "SELECT DISTINCT date_trunc('month', date) FROM dp_late_batch"
+
+
+@job(
+    "s8_monthly_merge",
+    with_views(
+        "dp_late_batch", "dp_old_sales",
+        then=f"SELECT *, TRUE AS rewritten FROM dp_late_batch UNION ALL SELECT *, date_trunc('month', date) IN ({_LATE}) AS rewritten FROM dp_old_sales o "
+        "WHERE NOT EXISTS (SELECT 1 FROM dp_late_batch b WHERE b.master_id = o.master_id AND b.date = o.date)",
+    ),
+)
+def s8_monthly(spark, sf_dir):
+    """Sales kept by month: the batch of the late months is merged into the stored table and read back.
+
+    ``rewritten`` tells the months that the merge wrote; all others are still the first version's folders.
+    """
+    root = scratch_folder(spark)
+    first = months.create(old_sales(spark, sf_dir), root, "sales", "date")
+    second = months.merge(batch(spark, sf_dir).where("date >= DATE '1997-10-01'"), root, "sales", ["master_id", "date"])
+    before, after = (months.months(spark, root, "sales", v) for v in (first, second))
+    carried = [m for m, folder in after.items() if before.get(m) == folder]
+    return months.read(spark, root, "sales").withColumn("rewritten", ~months.month_of(F.col("date")).isin(carried))
+
+
 @job(
     "s9_upload_report",
     with_views(

@@ -61,3 +61,20 @@ def cut_lineage(df):
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for tables of one run, under the shared folder the cluster names in spark.checkpoint.dir.
+
+    It lies in a folder of the application's id, to be removed when the application is done.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        import tempfile
+
+        return tempfile.mkdtemp(prefix="tables-")
+    import uuid
+
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/tables-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.sources.catalogue import Catalogue
@@ -21,9 +22,9 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def _names(spark: SparkSession, path: str, files: bool = False) -> list[str]:
     fs, where = _folder(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()) if fs.exists(where) else []
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() != files) if fs.exists(where) else []
 
 
 def versions(spark: SparkSession, root: str, name: str) -> list[int]:
@@ -36,8 +37,30 @@ def versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(out)
 
 
+class Conflict(RuntimeError):
+    """Another writer came first."""
+
+
+def claim(spark: SparkSession, path: str, content: bytes = b"") -> None:
+    """Create a file that no one else has created; ``Conflict`` if it exists."""
+    fs, where = _folder(spark, path)
+    try:
+        out = fs.create(where, False)
+    except Py4JJavaError as error:
+        if fs.exists(where):
+            raise Conflict(f"another writer has {path}") from error
+        raise
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def write_table(df: DataFrame, root: str, name: str, catalogue: Catalogue | None = None) -> int:
-    """Write the next version and return its number. With a catalogue the columns it declares must have its types."""
+    """Write the next version and return its number; of two writers with the same number the second gets ``Conflict``.
+
+    With a catalogue the columns it declares must have its types.
+    """
     if not LEGAL.fullmatch(name):
         raise ValueError(f"illegal table name {name}")
     if catalogue:
@@ -46,8 +69,11 @@ def write_table(df: DataFrame, root: str, name: str, catalogue: Catalogue | None
         if wrong:
             raise ValueError(f"columns missing or of another type {wrong}")
     spark = df.sparkSession
-    used = [int(v[1:]) for v in _names(spark, f"{root}/{name}") if v[1:].isdigit()]
+    # Folders and claims of lost writers keep their numbers.
+    taken = _names(spark, f"{root}/{name}") + [c.removesuffix(".claim") for c in _names(spark, f"{root}/{name}", files=True)]
+    used = [int(v[1:]) for v in taken if v[1:].isdigit()]
     version = max(used, default=0) + 1
+    claim(spark, f"{root}/{name}/v{version:09d}.claim")
     df.write.parquet(f"{root}/{name}/v{version:09d}")
     return version
 

@@ -408,6 +408,10 @@ def test_table_versions(spark, tmp_path):
     for bad in (lambda: tables.write_table(df, root, "a/b"), lambda: tables.read_table(spark, root, "none"), lambda: tables.read_table(spark, root, "plan", 3)):
         with pytest.raises(ValueError):
             bad()
+    tables.claim(spark, f"{root}/plan/v000000005.claim")  # a writer that has yet to write
+    with pytest.raises(tables.Conflict):
+        tables.claim(spark, f"{root}/plan/v000000005.claim")
+    assert tables.write_table(df, root, "plan") == 6 and tables.versions(spark, root, "plan") == [1, 2, 4, 6]
     assert tables.drop_table(spark, root, "plan") and tables.list_tables(spark, root) == []
 
 
