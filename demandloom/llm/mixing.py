@@ -77,15 +77,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     task and nothing depends on how rows are partitioned. Only whole documents are taken: a source of a
     few documents can miss by one of them.
 
-    Null text has size 0 and takes nothing; null is a source of its own; documents equal in source,
+    Ids may be numbers, texts or whatever else sorts; ids that are no whole numbers go to their tie bucket
+    by hash. Null text has size 0 and takes nothing; null is a source of its own; documents equal in source,
     size and id are interchangeable; an empty table gives no rows; an input column with a computed
     name is replaced. ``size`` replaces the word count of the text.
     """
     own = docs.columns
     size = size_in_words(docs[text]) if size is None else size
+    whole = docs.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = docs[doc_id] if whole else F.when(docs[doc_id].isNotNull(), F.xxhash64(docs[doc_id]))
     rows = docs.select(
         F.struct(*[docs[c] for c in own]).alias("row_"), docs[source].alias("source"), size.alias("size"), docs[doc_id].alias("id"),
-        F.pmod(F.coalesce(docs[doc_id], F.lit(0)), F.lit(TIES)).cast("int").alias("tie"),
+        F.pmod(F.coalesce(number, F.lit(0)), F.lit(TIES)).cast("int").alias("tie"),
     )
     # Up through the sizes and down again: what the rise takes too little, the fall takes too much.
     rows = rows.withColumn("run", F.when(F.col("tie") % 2 == 0, F.col("size")).otherwise(F.lit(FALL) - F.col("size")))
@@ -111,7 +114,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the input's columns."""
+    """The mix itself: each document as often as it is taken, with the input's columns.
+
+    Columns besides ``text``, ``source`` and ``doc_id`` may have any name, those that ``mix`` computes
+    included, and stay as they are. Empty and null texts are never taken; repeated rows are taken each for
+    itself; a text's length matters only as its number of words; an empty table gives no rows.
+    """
     own = docs.columns
     df = mix(packed(docs).select("row_", *[F.col("row_").getField(c).alias(c) for c in ("text", "source", "doc_id")]), **options)
     df = df.where("copies > 0").select("row_", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -360,6 +360,19 @@ def test_mixing(spark, documents):
     assert mixing.mixed(df).count() == sum(r["copies"] for r in rows)
 
 
+def test_mixing_takes_text_ids(spark):
+    rows = [(f"d-{i}" if i % 9 else None, "a b c " * (i % 4), "s" if i % 3 else "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for source in "st":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(df.repartition(7)).collect() if r["doc_id"]}
+    assert again == {r["doc_id"]: r["taken"] for r in got if r["doc_id"]}
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_mixing_all_sources_at_their_caps(spark):
     df = spark.createDataFrame([(i, "a b c", "s") for i in range(10)], "doc_id bigint, text string, source string")
     assert {(r["target"], r["taken"]) for r in mixing.mix(df, share=5.0).collect()} == {(60.0, 6)}
