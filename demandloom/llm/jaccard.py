@@ -3,8 +3,8 @@
 Two sets that reach the threshold share a shingle within the first few of each, in any order that all
 sets follow (the prefix). A tile holds the classes of one shared prefix shingle and one band of set
 sizes; pairs inside a tile pass a size and a place bound, then the bitmap bound, and what is left is
-intersected. Equal sets are one class from the start. Links already implied by found ones are not
-looked for again: only pairs between different components are.
+intersected. Equal sets are one class from the start. Groups need no link that found ones imply: for
+them only pairs between different components are looked for; ``jaccard_links`` looks for every link.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ SAMPLE, SEEN, COMMON = 32, 3, 1 << 18
 FILTER_BITS = 1 << 24
 HOT, BLOCK, WIDE_BITS = 256, 1024, 12
 FLUSH, REMEMBERED = 1 << 18, 1 << 14
+SALTS = 64
 
 
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
@@ -35,12 +36,16 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     return n - need + 1, n - least + 1
 
 
+def among(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in the sorted array."""
+    if not len(often):
+        return np.zeros(len(hashes), bool)
+    return often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
+
+
 def prefix(hashes: np.ndarray, percent: int, often: np.ndarray) -> np.ndarray:
     """The set's first shingles in the order all sets follow: by hash, the common ones last."""
-    late = np.zeros(len(hashes), bool)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-        late = often[at] == hashes
+    late = among(hashes, often)
     return np.concatenate([hashes[~late], hashes[late]])[: prefix_sizes(len(hashes), percent)[0]]
 
 
@@ -96,7 +101,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def shared_prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Rows (token, class, size, place) of the prefix shingles that two classes or more share."""
+    """Rows (token, class, size, place) of the prefix shingles that two classes or more share.
+
+    Rows of common shingles are spread over ``SALTS`` groups of classes (``salt``, -1 for the others),
+    so that no shingle gathers its rows in one task; their totals are at most ``COMMON`` rows.
+    """
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +121,29 @@ def shared_prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarra
                     continue
                 done.add(name)
                 p, q = prefix_sizes(n, percent)
-                own = prefix(s, percent, often).view(np.int64)
-                out.append((own, np.full(p, name), np.full(p, n), np.arange(p), np.arange(p) < q))
+                own = prefix(s, percent, often)
+                salt = np.where(among(own, often), (name >> 32) % SALTS, -1)
+                out.append((own.view(np.int64), np.full(p, name), np.full(p, n), np.arange(p), np.arange(p) < q, salt))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "cls", "n", "pos", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "cls", "n", "pos", "lead", "salt"])
 
-    rows = docs.select("text").mapInArrow(prefixes, "token bigint, cls bigint, n bigint, pos bigint, lead boolean")
-    rows = rows.select("token", "cls", F.col("n").cast("int"), F.col("pos").cast("int"), "lead").repartition("token").distinct()
-    by = Window.partitionBy("token")
+    rows = docs.select("text").mapInArrow(prefixes, "token bigint, cls bigint, n bigint, pos bigint, lead boolean, salt bigint")
+    rows = rows.select("token", "cls", *[F.col(c).cast("int").alias(c) for c in ("n", "pos", "salt")], "lead").repartition("token", "salt").distinct()
+    by = Window.partitionBy("token", "salt")
     met = rows.withColumns({"low": F.min("cls").over(by), "high": F.max("cls").over(by), "led": F.max("lead").over(by)})
-    return stored(met.where("low < high AND led").select("token", "cls", "n", "pos", "lead"))
+    met = stored(met.where("salt >= 0 OR (low < high AND led)"))
+    often = met.where("salt >= 0")
+    shared = often.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("led").alias("led")).where("low < high AND led")
+    hits = met.where("salt < 0").unionByName(often.join(F.broadcast(shared.select("token")), "token", "left_semi"))
+    return hits.select("token", "cls", "n", "pos", "lead", "salt")
+
+
+def over_tokens(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """The rows with aggregates of their token; those of common tokens are a table in every task."""
+    by = Window.partitionBy("token")
+    rare, often = rows.where("salt < 0"), rows.where("salt >= 0")
+    totals = often.groupBy("token").agg(*[m.alias(k) for k, m in measures.items()])
+    return rare.withColumns({k: m.over(by) for k, m in measures.items()}).unionByName(often.join(F.broadcast(totals), "token"))
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -219,19 +241,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def _star_pairs(hits: DataFrame, percent: int) -> DataFrame:
     """Each class with the least and the greatest class of each of its tiles' tokens."""
-    by = Window.partitionBy("token")
-    ends = hits.withColumns({"low": F.min(F.struct("cls", "n")).over(by), "high": F.max(F.struct("cls", "n")).over(by)})
+    ends = over_tokens(hits, {"low": F.min(F.struct("cls", "n")), "high": F.max(F.struct("cls", "n"))})
     ends = ends.select("cls", "n", F.explode(F.array("low", "high")).alias("x")).where(F.col("cls") != F.col("x.cls"))
     ends = ends.where(sizes_fit(F.col("n"), F.col("x.n"), percent))
     return ends.select(F.least("cls", "x.cls").alias("a"), F.greatest("cls", "x.cls").alias("b")).distinct()
 
 
-def _between(hits: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the tokens that classes of different components share, with ``root`` and the tile's size ``met``."""
-    by = Window.partitionBy("token")
-    named = hits.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.withColumns({"low": F.min("root").over(by), "high": F.max("root").over(by), "met": F.count("*").over(by)})
-    return stored(named.where("low < high").drop("low", "high"))
+def _between(hits: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of the tokens that classes of different components share, with ``root`` and the tile's size ``met``.
+
+    Without ``roots`` every class is a component of its own.
+    """
+    named = hits.withColumn("root", F.col("cls")) if roots is None else stored(hits.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    named = over_tokens(named, {"low": F.min("root"), "high": F.max("root"), "met": F.count("*")})
+    return stored(named.where("low < high").drop("low", "high", "salt"))
 
 
 def _tile_pairs(named: DataFrame, percent: int) -> DataFrame:
@@ -311,15 +334,16 @@ def _pairs(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n_a", "n_b"])
 
 
-def class_links(docs: DataFrame, signs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links between classes that join exactly what all links join."""
+def class_links(docs: DataFrame, signs: DataFrame, words: int, percent: int, whole: bool = False) -> DataFrame:
+    """Verified links between classes that join exactly what all links join; all links if ``whole``."""
     common = common_shingles(docs, words)
     hits = shared_prefixes(docs, words, percent, common)
-    stars = stored(verified(overlap_bound(_star_pairs(hits, percent), _classes(signs), percent), docs, signs, words, percent))
-    named = _between(hits, components(stars))
+    stars = None if whole else stored(verified(overlap_bound(_star_pairs(hits, percent), _classes(signs), percent), docs, signs, words, percent))
+    named = _between(hits, None if whole else components(stars))
     rest = overlap_bound(_tile_pairs(named, percent), _classes(signs), percent)
     rest = rest.unionByName(_hot_pairs(named, docs, signs, words, percent, common)).distinct()
-    return stars.union(verified(rest, docs, signs, words, percent))
+    rest = verified(rest, docs, signs, words, percent)
+    return rest if whole else stars.union(rest)
 
 
 def _classes(signs: DataFrame) -> DataFrame:
@@ -353,8 +377,33 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link, as pairs (``a``, ``b``) of classes with a < b, and the classes' members.
+
+    Members are all documents with ``n_shingles``, ``class_id`` (equal sets are one class; null without
+    words) and ``n_links``, the number of other documents each is linked with. Copies are not expanded:
+    a class of c documents stands for c * (c - 1) / 2 links, a pair of classes for the product of their
+    sizes. The cost grows with the number of links between different texts, which is quadratic in a
+    large group of near copies; ``jaccard_groups`` avoids that where components are enough. Null, empty
+    and repeated texts, null ids and an empty table are taken as there.
+    """
+    rows = _numbered(docs, text, doc_id)
+    signs = signatures(rows, words)
+    links = stored(class_links(rows, signs, words, percent, whole=True))
+    sizes = stored(signs.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("size")))
+    ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a"))
+    near = ends.join(sizes.select(F.col("cls").alias("other"), "size"), "other").groupBy("cls").agg(F.sum("size").alias("near"))
+    each = sizes.join(near, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    members = signs.join(each, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return links, members
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, one of each group: that of the smallest id. Documents without words all stay."""
+    """The documents, one of each group: that of the smallest id, of equal ids the first row stored.
+
+    Documents without words (null, empty or blank texts) all stay; a null id is kept only where a group
+    has no other; repeated rows are one group; an empty table gives no rows; all columns stay as they are.
+    """
     rows = placed(docs)
     parts = rows.select("at", F.col("row_").getField(doc_id).alias("doc_id"), F.col("row_").getField(text).alias("text"))
     groups = stored(_grouped(parts, words, percent))

@@ -160,6 +160,41 @@ def test_jaccard_hot_tiles(spark, monkeypatch):
     assert jaccard_rows(df) == Counter(zip(range(len(texts)), n, group, strict=True))
 
 
+def test_jaccard_links(spark, edge_rows, documents, monkeypatch):
+    """Every link is in the table, whether its shingles are common or not and its tiles small or hot."""
+    random.seed(4)
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join(w if random.random() > 0.01 else f"x{random.randrange(9)}" for w in base) for _ in range(60)]
+    texts = [d["text"] for d in documents[:300]] + near + near[:5] + [r[1] for r in edge_rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [brute.shingles(t, 4) for t in texts]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j])}
+    count = Counter(x for pair in want for x in pair)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)  # small tables have common shingles only if all rows are sampled
+    for hot in (jaccard.HOT, 3):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        links, members = (x.collect() for x in jaccard.jaccard_links(df))
+        assert {r["doc_id"]: r["n_links"] for r in members} == {i: count[i] for i in range(len(texts))}
+        of = {r["doc_id"]: r["class_id"] for r in members}
+        got = {(r["a"], r["b"]) for r in links}
+        assert len(got) == len(links) and got == {tuple(sorted((of[i], of[j]))) for i, j in want if of[i] != of[j]}
+
+
+def test_jaccard_spreads_common_shingles(spark):
+    """Rows of a shingle that all classes share lie in groups by salt, and no window gathers them."""
+    texts = [" ".join(["same"] * 5 + [f"w{k}.{i}" for i in range(3)]) for k in range(640)]
+    df = spark.createDataFrame(list(enumerate(texts)), "at bigint, text string")
+    common = jaccard.common_shingles(df, 4)
+    assert len(common)
+    hits = jaccard.shared_prefixes(df, 4, 10, common)
+    salts = hits.where("salt >= 0").groupBy("token", "salt").count().collect()
+    assert len(salts) >= jaccard.SALTS and max(r["count"] for r in salts) < 640 / 10
+    met = jaccard.over_tokens(hits, {"met": F.count("*")}).collect()
+    size = Counter(r["token"] for r in met)
+    assert all(r["met"] == size[r["token"]] for r in met) and max(size.values()) == 640
+
+
 def test_jaccard_prefixes_cover():
     for n in range(1, 400):
         for percent in (50, 80, 85, 100):
