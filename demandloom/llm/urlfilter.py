@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,10 +14,11 @@ from demandloom.llm.columns import ascii_lower, let, packed, unpacked
 from demandloom.session import cut_lineage
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-SAMPLE, ROUNDS, DEPTH, SMOOTH, SEED = 20_000, 12, 4, 10.0, 7
+SAMPLE, ROUNDS, DEPTH, SMOOTH, SEED, FOLDS = 20_000, 12, 4, 10.0, 7, 5
+SUFFIXES = {"suffix": 1, "suffix2": 2, "suffix3": 3}  # host suffixes by their number of labels
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "digits", "digit_ratio", "longest_digits", "parameters", "hyphens",
-    "escapes", "capitals", "entropy", "has_fragment", "ends_in_slash", "suffix_rate", "suffix_count", "folder_rate", "folder_count",
+    "escapes", "capitals", "entropy", "has_fragment", "ends_in_slash", *[f"{s}_rate" for s in SUFFIXES],
 ]
 
 
@@ -40,10 +43,16 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def entropy(text: Column) -> Column:
-    """Bits per character."""
-    chars = F.array_remove(F.split(text, ""), "")
-    part = lambda cs, c: F.size(F.filter(cs, lambda x: x == c)) / F.size(cs)
-    bits = lambda cs: F.aggregate(F.array_distinct(cs), F.lit(0.0), lambda a, c: a - let(part(cs, c), lambda p: p * F.log2(p)))
+    """Bits per character, from the lengths of the runs of equal characters in sorted order."""
+    chars = F.sort_array(F.array_remove(F.split(text, ""), ""))
+
+    def bits(cs: Column) -> Column:
+        n = F.size(cs).cast("double")
+        ends = F.filter(F.sequence(F.lit(1), F.size(cs)), lambda i: (i == F.size(cs)) | (F.get(cs, i) != F.get(cs, i - 1)))
+        share = lambda es, i, e: (e - F.when(i == 0, 0).otherwise(F.get(es, i - 1))) / n
+        parts = let(ends, lambda es: F.transform(es, lambda e, i: let(share(es, i, e), lambda p: -p * F.log2(p))))
+        return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda x, y: x + y)).otherwise(0.0)
+
     return let(chars, bits)
 
 
@@ -60,10 +69,61 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _rates(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed block rate and log count of each key, over all labelled URLs."""
-    n, blocked = F.count("*"), F.sum("label")
-    return labelled.groupBy(key).agg(((blocked + SMOOTH / 2) / (n + SMOOTH)).alias(f"{key}_rate"), F.log1p(n).alias(f"{key}_count"))
+def _rated(df: DataFrame, labelled: DataFrame, apart: bool) -> DataFrame:
+    """Block rates of the host's suffixes, counted over all labelled URLs.
+
+    A longer suffix starts from the rate of the shorter one, the shortest from that of all URLs, so an
+    unseen one adds nothing. With ``apart`` a row's own part of the hosts is left out of its rates: a
+    labelled URL meets rates that neither it nor another URL of its host went into, as a new host does.
+    """
+    counts = [F.count("*").alias("n_"), F.sum("label").alias("b_")]
+    folds = {r["fold"]: (r["n_"], r["b_"]) for r in labelled.groupBy("fold").agg(*counts).collect()}
+    n, b = (sum(x[i] for x in folds.values()) for i in (0, 1))
+    share = lambda blocked, all_: float(blocked + 1) / (all_ + 2)
+    rate = F.lit(share(b, n))
+    if apart:
+        for fold, (n_own, b_own) in folds.items():
+            rate = F.when(F.col("fold") == fold, share(b - b_own, n - n_own)).otherwise(rate)
+    for key in SUFFIXES:
+        df = df.join(labelled.groupBy(key).agg(*counts), key, "left")
+        n, b = F.col("n_"), F.col("b_")
+        if apart:
+            own = labelled.groupBy(key, "fold").agg(F.count("*").alias("n_own"), F.sum("label").alias("b_own"))
+            df = df.join(own, [key, "fold"], "left")
+            n, b = n - F.col("n_own"), b - F.col("b_own")
+        df = df.withColumn(f"{key}_rate", (F.coalesce(b, F.lit(0.0)) + SMOOTH * rate) / (F.coalesce(n, F.lit(0)) + SMOOTH)).drop("n_", "b_", "n_own", "b_own")
+        rate = F.col(f"{key}_rate")
+    return df
+
+
+def _labelled(seen: DataFrame, labels: DataFrame | None, rules) -> DataFrame:
+    if labels is None:
+        rows = seen.where("rule_ IS NOT NULL").withColumn("label", (F.col("said_") == "block").cast("double"))
+    else:
+        rows = _described(labels.select(F.coalesce(F.col("url"), F.lit("")).alias("url_"), F.col("label").cast("double").alias("label")), rules)
+    fold = F.pmod(F.xxhash64("host_"), F.lit(FOLDS)).alias("fold")
+    return cut_lineage(rows.select("url_", "host_", "label", fold, *SUFFIXES, *[c for c in FEATURES if c in rows.columns]))
+
+
+def _learned(labelled: DataFrame, sample: int) -> tuple[Callable[[DataFrame], DataFrame], float] | tuple[None, float]:
+    """What adds ``score_`` to described URLs, and the least score to block; None where only one verdict is labelled."""
+    kinds = [r[0] for r in labelled.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return None, kinds[0] if kinds else 0.0
+    model = _fit(labelled, sample)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features_")
+    return lambda df: model.transform(assembler.transform(_rated(df, labelled, False))).withColumn("score_", vector_to_array("probability")[1]), 0.5
+
+
+def held_out(pages: DataFrame, url: str = "url", rules=RULES, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Rows (label, verdict, n) over the labelled URLs of a fifth of the hosts, by trees that met none of these hosts."""
+    seen = _described(pages.select(F.coalesce(pages[url], F.lit("")).alias("url_")), rules)
+    labelled = _labelled(seen, labels, rules)
+    score, least = _learned(labelled.where("fold > 0"), sample)
+    test = labelled.where("fold = 0")
+    said = F.lit(least) if score is None else (F.col("score_") >= least).cast("double")
+    scored = (test if score is None else score(test)).withColumn("said", F.when(said > 0, "block").otherwise("allow"))
+    return scored.groupBy("label", F.col("said").alias("verdict")).agg(F.count("*").alias("n"))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -71,53 +131,34 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, labels: DataFra
 
     The rule's verdict holds where one fits. Other URLs get the trees' verdict, which are fitted on at
     most ``sample`` labelled URLs, the first by hash: those in ``labels`` (url, label 1 for block), or
-    else the URLs the rules decide. Block rates of host suffix and first folder are counted over all
-    labelled URLs. Where only one verdict, or none, is labelled, the rest gets that verdict, or allow.
-    A null or malformed URL has an empty host and path, fits no rule and is judged like any other;
-    repeated rows are judged alike; an empty table gives no rows; input columns with a computed name
-    are replaced.
+    else the URLs the rules decide. Block rates of host suffixes (one to three labels) are counted over
+    all labelled URLs; those the trees are fitted with leave out the URL's own fifth of the hosts.
+    Where only one verdict, or none, is labelled, the rest gets that verdict, or allow. A null or
+    malformed URL has an empty host and path, fits no rule and is judged like any other; repeated rows
+    are judged alike; an empty table gives no rows; input columns with a computed name are replaced.
     """
     own = pages.columns
     df = packed(pages).withColumn("url_", F.coalesce(F.col("row_").getField(url), F.lit("")))
     seen = _described(df.select("row_", "url_"), rules)
-    if labels is None:
-        labelled = seen.where("rule_ IS NOT NULL").withColumn("label", (F.col("said_") == "block").cast("double"))
-    else:
-        given = labels.select(F.coalesce(F.col("url"), F.lit("")).alias("url_"), F.col("label").cast("double").alias("label"))
-        labelled = _described(given, rules)
-    labelled = cut_lineage(labelled.select("url_", "label", "suffix", "folder", *[c for c in FEATURES if c in seen.columns]))
-    rates = [(key, _rates(labelled, key)) for key in ("suffix", "folder")]
-    kinds = [r[0] for r in labelled.select("label").distinct().collect()]
-    if len(kinds) < 2:
-        verdict = "block" if kinds == [1.0] else "allow"
-        scored = seen.withColumn("score_", F.lit(kinds[0] if kinds else 0.0))
-    else:
-        model = _fit(_rated(labelled, rates), sample)
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="features_")
-        scored = model.transform(assembler.transform(_rated(seen, rates))).withColumn("score_", vector_to_array("probability")[1])
-        verdict = F.when(F.col("score_") >= 0.5, "block").otherwise("allow")
-    verdict = F.coalesce("said_", verdict if isinstance(verdict, Column) else F.lit(verdict))
-    return unpacked(scored, own, {"host": F.col("host_"), "path": F.col("path_"), "rule": F.col("rule_"), "score": F.col("score_"), "verdict": verdict})
+    score, least = _learned(_labelled(seen, labels, rules), sample)
+    scored = seen.withColumn("score_", F.lit(least)) if score is None else score(seen)
+    verdict = F.when(F.col("score_") >= 0.5, "block").otherwise("allow")
+    return unpacked(scored, own, {"host": F.col("host_"), "path": F.col("path_"), "rule": F.col("rule_"), "score": F.col("score_"), "verdict": F.coalesce("said_", verdict)})
 
 
 def _described(df: DataFrame, rules) -> DataFrame:
     host, path = host_and_path(F.col("url_"))
     df = df.withColumns({"host_": host, "path_": path})
     rule, said = rule_columns(F.col("host_"), F.col("path_"), rules)
-    suffix, folder = F.substring_index("host_", ".", -1), F.split(F.col("path_"), "/")
-    return df.withColumns({"rule_": rule, "said_": said, "suffix": suffix, "folder": F.coalesce(F.get(folder, F.lit(1)), F.lit(""))} | lexical(F.col("url_"), F.col("host_"), F.col("path_")))
-
-
-def _rated(df: DataFrame, rates: list) -> DataFrame:
-    for key, table in rates:
-        df = df.join(table, key, "left").fillna({f"{key}_rate": 0.5, f"{key}_count": 0.0})
-    return df
+    suffixes = {key: F.substring_index("host_", ".", -n) for key, n in SUFFIXES.items()}
+    return df.withColumns({"rule_": rule, "said_": said} | suffixes | lexical(F.col("url_"), F.col("host_"), F.col("path_")))
 
 
 def _fit(labelled: DataFrame, sample: int):
     """Boosted trees on the first ``sample`` labelled URLs by hash, in one order and one partition: the same on every run."""
     order = [F.xxhash64("url_"), F.col("url_")]
-    some = labelled.orderBy(*order).limit(sample).coalesce(1).sortWithinPartitions(*order)
+    some = labelled.orderBy(*order).limit(sample)
+    some = _rated(cut_lineage(some), labelled, True).coalesce(1).sortWithinPartitions(*order)
     some = VectorAssembler(inputCols=FEATURES, outputCol="features_").transform(some).select("features_", "label")
     trees = GBTClassifier(featuresCol="features_", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED)
     return trees.fit(cut_lineage(some))

@@ -1,5 +1,7 @@
 """Every text operator on edge cases, and against plain Python."""
 
+import math
+import os
 import random
 import re
 import zlib
@@ -365,6 +367,38 @@ def test_url_trees_on_held_out_urls(spark):
     assert sum((r["verdict"] == "block") == bool(r["label"]) for r in out) >= 0.95 * len(out)
 
 
+def test_url_entropy(spark):
+    texts = ["", "a", "aaaa", "abab", "https://ü.org/ab?c=1&d=22", "x" * 5000 + "y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", urlfilter.entropy(F.col("t")).alias("e")).collect():
+        n = Counter(r["t"])
+        assert r["e"] == pytest.approx(-sum(c / len(r["t"]) * math.log2(c / len(r["t"])) for c in n.values()), abs=1e-9)
+
+
+def test_url_trees_on_held_out_hosts(spark):
+    """Rates leave a URL's own hosts out: a label that goes by the host alone teaches nothing about other hosts."""
+    rng = random.Random(5)
+    rows = [(f"https://h{h}.site.com/p{rng.randrange(10**4)}", h % 2) for h in range(200) for _ in range(5)]
+    rows += [(f"https://bad{h}.win.net/{'7' * 9}{rng.randrange(99)}?a=1", 1) for h in range(100)]
+    known = spark.createDataFrame(rows, "url string, label int")
+    out = urlfilter.held_out(known, rules=(), labels=known).collect()
+    total = sum(r["n"] for r in out)
+    right = sum(r["n"] for r in out if (r["verdict"] == "block") == bool(r["label"]))
+    assert total > 100 and 0.3 * total < right < 0.85 * total
+
+
+def test_url_trees_on_the_given_pages(spark):
+    """What no rule decides is not judged by its first folder alone."""
+    pages = spark.read.parquet(f"{os.path.dirname(SF_DIR)}/sf0.01/pages.parquet")
+    rest = urlfilter.filter_urls(pages).where("rule IS NULL").select("path", "score", "verdict").collect()
+    by = defaultdict(list)
+    for r in rest:
+        by[r["path"].split("/")[1] if "/" in r["path"] else ""].append(r["score"])
+    big = [v for v in by.values() if len(v) >= 15]
+    assert len(big) >= 3 and len({round(r["score"], 6) for r in rest}) > 10
+    assert max(map(min, big)) < min(map(max, big))  # the folders' scores overlap
+
+
 def test_mixing(spark, documents):
     docs = [(d["doc_id"], d["text"], d["source"] if i % 7 else None) for i, d in enumerate(documents)] + [(None, None, "zz"), (900, "", "zz")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
