@@ -103,18 +103,19 @@ def _redact_texts(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def redact(payload: str) -> Column:
-    """JSON text with the values of sensitive keys replaced, at any depth.
+def redact(df: DataFrame, payload: str) -> DataFrame:
+    """The rows with the values of sensitive keys in the JSON text replaced, at any depth.
 
-    Plain values are replaced in the JVM. Only texts where a sensitive key holds an object or
-    array, or that spell keys with unicode escapes, pass through Python; the others send NULL.
+    Plain values are replaced in the JVM. Only rows where a sensitive key holds an object or array, or
+    that spell keys with unicode escapes, pass through Python: the two kinds of rows are filtered apart.
     """
     keys = "|".join(SENSITIVE_KEYS)
     scalar = rf'(?i)"({keys})"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9][-+0-9.eE]*|true|false|null)'
     hard = F.col(payload).rlike(rf'(?i)"({keys})"\s*:\s*[\[{{]') | F.col(payload).contains("\\u")
-    plain = F.regexp_replace(payload, scalar, f'"$1": "{REDACTED}"')
+    hard = F.coalesce(hard, F.lit(False))
     nested = F.pandas_udf(_redact_texts, T.StringType())
-    return F.when(hard, nested(F.when(hard, F.col(payload)))).otherwise(plain)
+    plain = df.where(~hard).withColumn(payload, F.regexp_replace(payload, scalar, f'"$1": "{REDACTED}"'))
+    return plain.unionByName(df.where(hard).withColumn(payload, nested(F.col(payload))))
 
 
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, partitions: int | None = None) -> DataFrame:

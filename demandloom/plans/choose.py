@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import seriesmath as sm
@@ -10,6 +9,7 @@ from demandloom.functions.scalars import steady_round
 from demandloom.operators import selection as sel
 from demandloom.operators import series as ops
 from demandloom.operators import upsert as up
+from demandloom.operators.publish import number_rows
 from demandloom.operators.totals import first_rows, period_totals
 from demandloom.plans import star
 from demandloom.plans.forecast import HORIZON, START, product_series
@@ -224,8 +224,9 @@ SELECT r.product, metric, CASE WHEN e.cost < r.cost THEN 'ensemble' ELSE r.algor
 def x3_by_metric(spark, sf_dir):
     """Each product ranked by a metric of its own, here dealt out in turn."""
     made = scored(spark, sf_dir)
-    turn = F.dense_rank().over(Window.orderBy("product")) % 4
-    names = made.select("product").distinct().withColumn("metric_name", F.element_at(F.array(*[F.lit(m) for m in ("mape", "mae", "rmse", "accuracy")]), (turn + 1).cast("int")))
+    numbered = number_rows(made.select("product").distinct(), ["product"], "turn")
+    metrics = F.array(*[F.lit(m) for m in ("mape", "mae", "rmse", "accuracy")])
+    names = numbered.select("product", F.element_at(metrics, (F.col("turn") % 4 + 1).cast("int")).alias("metric_name"))
     return sel.best_fit(made.join(names, "product"), ["product"], F.col("metric_name")).select("product", "metric", "selected_algorithm")
 
 

@@ -555,4 +555,4 @@ def x10(spark, sf_dir):
         F.lit('{"user_id":'), F.col("user_id").cast("string"), F.lit(',"password":"p\\"'), F.col("log_id").cast("string"),
         F.lit('","nested":{"Token":'), F.col("log_id").cast("string"), F.lit(',"k":1},"list":[{"api_key":null,"x":"y"}],"note":"password"}'),
     )
-    return log.withColumn("payload", body).select("log_id", pub.redact("payload").alias("payload"))
+    return pub.redact(log.select("log_id", body.alias("payload")), "payload")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.functions.scalars import clean_text, erp_date, iso_date, to_date, to_number
+from demandloom.operators.publish import number_rows
 from demandloom.operators.totals import first_rows
 from demandloom.sources.catalogue import Catalogue
 
@@ -142,11 +143,18 @@ def upload_report(validated: DataFrame, upload: str) -> DataFrame:
 
 
 def error_rows(validated: DataFrame, upload: str, order: Sequence[str], most: int | None = None) -> DataFrame:
-    """Bad rows of each upload with ``error_no`` from 1 in row order; all of them, or the first ``most``."""
+    """Bad rows of each upload with ``error_no`` from 1 in row order; all of them, or the first ``most``.
+
+    All of them are numbered over the whole sorted table first, less the number before their upload's
+    first row, so an upload of any size is spread over tasks.
+    """
     bad = validated.where("errors <> ''")
     if most is not None:
         return first_rows(bad, [upload], [F.col(c) for c in order], most, "error_no")
-    return bad.withColumn("error_no", F.row_number().over(Window.partitionBy(upload).orderBy(*order)))
+    numbered = number_rows(bad, [upload, *order], "_n")
+    firsts = numbered.groupBy(F.col(upload).alias("_up")).agg(F.min("_n").alias("_first"))
+    out = numbered.join(firsts, F.col(upload).eqNullSafe(F.col("_up")))
+    return out.withColumn("error_no", (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_up", "_first")
 
 
 # ---------------------------------------------------------------- ERP records

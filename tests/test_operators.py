@@ -242,7 +242,7 @@ def test_redaction_at_depth(spark):
     deep = {"a": [{"Secret": {"x": [1, {"y": 2}]}, "ok": {"token": "t"}}], "s": 'say "token": 1'}
     texts = [json.dumps(deep), '{"Token" : -1.5e3, "x": "token"}', "not json \\u0041", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string")
-    got = [r.p for r in df.select("i", pub.redact("payload").alias("p")).orderBy("i").collect()]
+    got = [r.p for r in pub.redact(df, "payload").select("i", F.col("payload").alias("p")).orderBy("i").collect()]
     assert json.loads(got[0]) == {"a": [{"Secret": pub.REDACTED, "ok": {"token": pub.REDACTED}}], "s": 'say "token": 1'}
     assert json.loads(got[1]) == {"Token": pub.REDACTED, "x": "token"} and got[2] == texts[2] and got[3] is None
 
@@ -299,6 +299,17 @@ def test_sales_rows_keep_odd_cells_apart(spark):
     assert [r.error_no for r in bad.orderBy("i").collect()] == [1, 2]
 
 
+def test_error_rows_number_each_upload(spark):
+    rows_ = [(u, i, "bad" if (i * 7 + j) % 3 else "") for j, u in enumerate(["a", "b", None]) for i in range(40)]
+    df = spark.createDataFrame(rows_, "up string, i int, errors string")
+    got = src.error_rows(df, "up", ["i"])
+    want = []
+    for u in ("a", "b", None):
+        want += [(u, i, n + 1) for n, i in enumerate(sorted(i for w, i, e in rows_ if w == u and e))]
+    assert sorted(((r.up or "", r.i, r.error_no) for r in got.collect())) == sorted((u or "", i, n) for u, i, n in want)
+    assert src.error_rows(df.where("false"), "up", ["i"]).count() == 0
+
+
 def test_erp_filter_over_raw_text(spark):
     texts = ["/Date(1705363200000)/", "2024-01-14T23:59:59", "2024-01-15", "soon", None]  # the first is 16 January 2024
     df = spark.createDataFrame([(t,) for t in texts], "P string")
