@@ -236,6 +236,14 @@ def test_personal_data_extra_spans_and_redaction(spark):
     assert not got[rows[2]]["spans"]
 
 
+def test_personal_data_recall_on_held_out_plants(spark):
+    docs = spark.read.parquet(f"{os.path.dirname(SF_DIR)}/sf0.01/documents.parquet").select("doc_id", "text")
+    out = pii.held_out(docs).collect()
+    for r in out:
+        assert r["n"] > 50 and (r["taken"] >= 0.9 * r["n"] if r["label"] else r["taken"] <= 0.05 * r["n"]), r
+    assert {r["kind"] for r in out if r["label"]} == set(pii.KINDS)
+
+
 def test_personal_data_overlaps(spark):
     """A span that was dropped for an overlap drops no other."""
     rows = [(1, "a", 0, 10), (1, "b", 5, 15), (1, "c", 12, 20), (1, "d", 19, 25), (1, "e", 20, 22), (1, "f", 30, 31), (2, "a", 3, 4), (2, "b", 3, 9), (2, "c", 9, 12), (3, "a", 1, 2)]
