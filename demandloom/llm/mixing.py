@@ -101,8 +101,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     ties = counts.withColumn("next", F.coalesce(F.sum("n").over(running("source", "run").orderBy("tie")), F.lit(0)))
     starts = join_null_safe(join_null_safe(ties, runs, ["source", "run"]), plan, ["source"])
     starts = starts.select(*key, (F.col("first") + F.col("next")).alias("start"), "source_size", "target")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("id")))
-    df = join_null_safe(ranked, starts, key)
+    # A struct of a null equals itself, so window and join ask for the same keys and whole rows are exchanged once.
+    near = [F.struct("source").alias("of"), "run", "tie"]
+    ranked = rows.select("*", near[0]).withColumn("rank", F.row_number().over(Window.partitionBy("of", "run", "tie").orderBy("id")))
+    df = ranked.join(starts.select(*near, "start", "source_size", "target"), ["of", "run", "tie"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("start") + F.col("rank")
     crossed = F.floor(at * rate + F.col("u")) - F.floor((at - 1) * rate + F.col("u"))

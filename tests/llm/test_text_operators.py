@@ -251,6 +251,18 @@ def test_personal_data_overlaps(spark):
     assert sorted(map(tuple, got)) == [(1, "a", 0, 10), (1, "c", 12, 20), (1, "e", 20, 22), (1, "f", 30, 31), (2, "b", 3, 9), (2, "c", 9, 12), (3, "a", 1, 2)]
 
 
+def test_mixing_exchanges_whole_rows_once(spark, edge):
+    """The rows, texts included, meet their starts where they were ranked."""
+    sent = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mixed(edge)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    assert len(exchanges) > 1 and sum("row_#" in x for x in exchanges) == 1, plan
+
+
 def test_decontamination(spark):
     item = "A train from the old station travels 60 km in 3 hours, and then Alice asks how fast the 3 drivers went home"
     other = "Le petit chat regarde la lune et pense que la nuit sera longue sans son ami"
