@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,7 +34,8 @@ WIDE = {
 }
 OPEN, CLOSE, PLAIN = "\x01", "\x02", "\x03"
 BLOCK = 256  # parts; even, as every second part is a match
-SAMPLE, PLANTED, ROUNDS, DEPTH, PRECISION, SEED, CONTEXT = 20_000, 600, 10, 4, 0.99, 11, 24
+PLANTS, ROUNDS, DEPTH, PRECISION, SEED, CONTEXT = 4, 10, 4, 0.99, 11, 24
+LARGEST, STEPS = 63, 32  # features: counts above, and parts of a share below, are alike
 FORMAT = ["length", "digits", "groups", "longest_group", "letters", "dots", "colons", "ats", "hyphens", "spaces", "brackets", "hex_share", "distinct", "check_sum"]
 NEAR = ["glued_left", "glued_right", "quote_left", "equals_left", "cue_phone", "cue_card", "cue_mail", "cue_net", "cue_secret"]
 CUES = {
@@ -74,10 +78,15 @@ def spans(text: Column, pattern: str, kind: str) -> Column:
     return let(parts, all_)
 
 
-def luhn(digits: Column) -> Column:
-    """Whether the digits' check sum, every second one from the right doubled, ends in 0."""
+def check_digit(digits: Column) -> Column:
+    """Last digit of the digits' check sum, every second one from the right doubled."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, F.try_to_number(d, F.lit("9"))).otherwise(F.try_to_number(d, F.lit("9")) * 2).cast("int"))
-    return F.aggregate(F.filter(each, lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
+    return F.aggregate(F.filter(each, lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10
+
+
+def luhn(digits: Column) -> Column:
+    """Whether the digits' check sum ends in 0."""
+    return check_digit(digits) == 0
 
 
 def valid(kind: Column, value: Column) -> Column:
@@ -106,17 +115,20 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def described(df: DataFrame) -> DataFrame:
-    """Format features of the value and of what stands around it."""
+    """Format features of the value and of what stands around it: counts up to ``LARGEST``, shares in steps of 1 / ``STEPS``, flags."""
     value, left, right = F.col("value"), F.col("left"), F.col("right")
     n = F.greatest(F.char_length(value), F.lit(1)).cast("double")
-    left_only = lambda pattern: F.char_length(F.regexp_replace(value, pattern, "")).cast("double")
+    count = lambda c: F.least(c, F.lit(LARGEST)).cast("double")
+    share = lambda c: F.floor(c * STEPS) / F.lit(float(STEPS))
+    left_only = lambda pattern: F.char_length(F.regexp_replace(value, pattern, ""))
+    held = lambda *chars: count(F.char_length(value) - F.char_length(F.translate(value, "".join(chars), "")))
     groups = F.filter(F.split(value, "[^0-9]+"), lambda x: x != "")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     out = {
-        "length": n, "digits": left_only("[^0-9]+"), "groups": F.size(groups).cast("double"),
-        "longest_group": F.coalesce(F.array_max(F.transform(groups, F.char_length)), F.lit(0)).cast("double"), "letters": left_only("[^A-Za-z]+"),
-        "dots": left_only("[^.]+"), "colons": left_only("[^:]+"), "ats": left_only("[^@]+"), "hyphens": left_only("[^-]+"), "spaces": left_only("[^ ]+"),
-        "brackets": left_only("[^()\\[\\]]+"), "hex_share": left_only("[^0-9A-Fa-f]+") / n, "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "length": count(n), "digits": count(left_only("[^0-9]+")), "groups": count(F.size(groups)),
+        "longest_group": count(F.coalesce(F.array_max(F.transform(groups, F.char_length)), F.lit(0))), "letters": count(left_only("[^A-Za-z]+")),
+        "dots": held("."), "colons": held(":"), "ats": held("@"), "hyphens": held("-"), "spaces": held(" "),
+        "brackets": held("(", ")", "[", "]"), "hex_share": share(left_only("[^0-9A-Fa-f]+") / n), "distinct": share(F.size(F.array_distinct(F.split(value, ""))) / n),
         "check_sum": flag(luhn(F.regexp_replace(value, "[^0-9]", ""))),
         "glued_left": flag(left.rlike("[\\p{L}\\p{N}]$")), "glued_right": flag(right.rlike("^[\\p{L}\\p{N}]")), "quote_left": flag(left.rlike("[\"'`]$")), "equals_left": flag(left.rlike("[=:] ?[\"']?$")),
     }
@@ -127,9 +139,9 @@ def forms(seed: Column) -> list[tuple[str, int, Column, Column]]:
     """(kind, label, words before, value) of what is planted, from 32 hex digits: data in unlisted formats, and what only looks like it."""
     part = lambda a, n: F.substring(F.translate(seed, "abcdef", "012345"), a, n)
     join_ = lambda sep, *xs: F.concat_ws(sep, *[F.lit(x) if isinstance(x, str) else x for x in xs])
-    ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(part(1, 15), d.cast("string")))
-    good, bad = F.filter(ends, luhn)[0], F.filter(ends, lambda x: ~luhn(x))[0]
-    fours = lambda sep, x: join_(sep, *[F.substring(x, i, 4) for i in (1, 5, 9, 13)])
+    last = ((10 - check_digit(F.concat(part(1, 15), F.lit("0")))) % 10).cast("string")
+    good, bad = F.concat(part(13, 3), last), F.concat(part(13, 3), F.when(last == "0", "1").otherwise("0"))
+    fours = lambda sep, end: let(end, lambda x: join_(sep, part(1, 4), part(5, 4), part(9, 4), x))
     wide = join_(":", *[F.substring(seed, i, 4) for i in range(1, 32, 4)])
     return [
         (kind, label, F.lit(cue), value) for kind, label, cue, value in (
@@ -146,53 +158,74 @@ def forms(seed: Column) -> list[tuple[str, int, Column, Column]]:
     ]
 
 
-def planted(rows: DataFrame, documents: int = PLANTED) -> DataFrame:
-    """(at, kind, label, start, end, text): every form within words of each of the first ``documents`` documents by hash.
+def planted(rows: DataFrame, each: int = PLANTS) -> DataFrame:
+    """(at, held, kind, label, start, end, text): ``each`` forms within words of each document that has a letter.
 
+    Forms are dealt by hash, so that all are equally frequent; from as many on as there are, every document has every form.
     Numbers are negative, so they meet none of the corpus; ``held`` marks those of a quarter of the documents.
     """
-    some = rows.where(F.col("text").rlike("\\p{L}")).orderBy(F.xxhash64("at"), "at").limit(documents)
     at = F.pmod(F.xxhash64("text"), F.char_length("text").cast("long")).cast("int")
     near = lambda shift: F.regexp_replace(F.substr(F.col("text"), at + 1 + shift, F.lit(CONTEXT)), "[^\\p{L}]", " ")
-    some = some.select("at", F.md5(F.concat_ws(":", F.col("at").cast("string"), F.col("text"))).alias("seed"), near(0).alias("before"), near(CONTEXT).alias("after"))
+    some = rows.where(F.col("text").rlike("\\p{L}")).select("at", F.md5(F.concat_ws(":", F.col("at").cast("string"), F.col("text"))).alias("seed"), near(0).alias("before"), near(CONTEXT).alias("after"))
     all_ = forms(F.col("seed"))
-    each = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(k).alias("kind"), F.lit(float(y)).alias("label"), c.alias("cue"), v.alias("value")) for i, (k, y, c, v) in enumerate(all_)])
-    held = (F.pmod(F.xxhash64("at", F.lit("held")), F.lit(4)) == 0).alias("held")
+    values = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(k).alias("kind"), F.lit(float(y)).alias("label"), c.alias("cue"), v.alias("value")) for i, (k, y, c, v) in enumerate(all_)]
+    first, n = F.pmod(F.xxhash64("at", F.lit("form")), F.lit(len(values))), len(values)
+    dealt = lambda j: reduce(lambda c, i: c.when(F.col("form") == (i - j) % n, values[i]), range(1, n), F.when(F.col("form") == -j % n, values[0]))
+    some = some.withColumn("form", first).withColumn("x", F.explode(F.array(*(values if each >= n else map(dealt, range(each))))))
     left, right = F.concat("before", F.lit(" "), "x.cue"), F.concat(F.lit(" "), "after")
-    out = some.select("*", held, F.explode(each).alias("x")).select((-F.col("at") * len(all_) - F.col("x.i") - 1).alias("at"), "held", "x.kind", "x.label", left.alias("l"), "x.value", right.alias("r"))
+    out = some.select("*", _held()).select((-F.col("at") * len(all_) - F.col("x.i") - 1).alias("at"), "held", "x.kind", "x.label", left.alias("l"), "x.value", right.alias("r"))
     start = F.char_length("l").cast("long")
     return out.select("at", "held", "kind", "label", start.alias("start"), (start + F.char_length("value")).alias("end"), F.concat("l", "value", "r").alias("text"))
 
 
+def _held() -> Column:
+    """Whether a document's examples are held out."""
+    return (F.pmod(F.xxhash64("at", F.lit("held")), F.lit(4)) == 0).alias("held")
+
+
 def _meets(a: str, b: str) -> Column:
     return (F.col(f"{a}.at") == F.col(f"{b}.at")) & (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end"))
 
 
-def _learn(found: DataFrame, plants: DataFrame, sample: int, precision: float):
-    """The trees as a function that adds ``score``, and the threshold of the asked precision; None if nothing can be learned.
+def examples(found: DataFrame, plants: DataFrame) -> DataFrame:
+    """(features..., label, held, n): how often each feature vector occurs among all examples of the corpus.
 
     Examples have labels of their own: base matches by their check, wide card numbers by their check
     sum where it fails, and proposals on planted spans (a planted value itself, or what meets a planted
-    look-alike). All other proposals have no label. The threshold is the least whole percent at which
-    the held-out examples, those of other documents, keep the precision.
+    look-alike). All other proposals have no label.
     """
     base = found.where("base")
     failed = found.alias("f").where("NOT base AND (exact OR kind = 'card')").where(~luhn(F.regexp_replace("value", "[^0-9]", "")) | (F.col("kind") != "card"))
     failed = failed.join(base.alias("b"), _meets("f", "b"), "left_anti")
-    own = base.withColumn("label", F.lit(1.0)).unionByName(failed.withColumn("label", F.lit(0.0))).withColumn("held", F.pmod(F.xxhash64("at", F.lit("held")), F.lit(4)) == 0)
-    hits = candidates(plants.select("at", "text")).alias("c").join(plants.select("at", "held", "kind", "label", "start", "end").alias("p"), _meets("c", "p"))
-    whole = (F.col("c.start") == F.col("p.start")) & (F.col("c.end") == F.col("p.end")) & (F.col("c.kind") == F.col("p.kind"))
-    hits = hits.where(whole | (F.col("p.label") == 0)).select("c.at", "c.kind", "c.start", "c.end", "c.value", "c.left", "c.right", "p.label", "p.held")
-    columns = ["at", "kind", "start", "end", "value", "left", "right", "label", "held"]
-    order = [F.xxhash64("at", "kind", "start", "end"), *[F.col(c) for c in ("at", "kind", "start", "end", "label")]]
-    some = hits.select(*columns).distinct().unionByName(own.select(*columns).distinct().orderBy(*order).limit(sample))
+    own = base.withColumn("label", F.lit(1.0)).unionByName(failed.withColumn("label", F.lit(0.0))).withColumn("held", _held())
+    # Proposals of one planted text are gathered in its row, so no plant is shuffled.
+    all_ = F.array_distinct(F.concat(*[spans(F.col("text"), p, k) for patterns in (BASE, WIDE) for k, p in patterns.items()]))
+    meets = lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"])
+    whole = lambda x: (x["start"] == F.col("start")) & (x["end"] == F.col("end")) & (x["kind"] == F.col("kind"))
+    hits = plants.select("label", "held", F.explode(F.filter(all_, lambda x: meets(x) & (whole(x) | (F.col("label") == 0)))).alias("s"))
+    columns = ["kind", "value", "left", "right", "label", "held"]
+    own = own.select("at", "start", "end", *columns).distinct().select(*columns)
+    return described(hits.select("s.*", "label", "held").select(*columns).unionByName(own)).groupBy(*FORMAT, *NEAR, "label", "held").agg(F.count("*").alias("n"))
+
+
+def _learn(found: DataFrame, plants: DataFrame, precision: float):
+    """The trees as a function that adds ``score``, and the threshold of the asked precision; None if nothing can be learned.
+
+    All examples are learned from, each distinct feature vector weighed by its count: features have few
+    values, so these are few rows in one order, and a fit can be repeated. The threshold is the
+    least whole percent at which the held-out examples, those of other documents, keep the precision.
+    """
     assembler = VectorAssembler(inputCols=[*FORMAT, *NEAR], outputCol="features_")
-    some = cut_lineage(assembler.transform(described(some)).coalesce(1).sortWithinPartitions(*order).select("features_", "label", "held"))
-    if some.where("NOT held").select("label").distinct().count() < 2:
+    some = assembler.transform(examples(found, plants).withColumn("n", F.col("n").cast("double")))
+    some = cut_lineage(some.coalesce(1).sortWithinPartitions(*FORMAT, *NEAR, "label", "held").select("features_", "label", "held", "n"))
+    known = some.where("NOT held").groupBy("label").agg(F.count("*").alias("rows")).collect()
+    if len(known) < 2:
         return None
-    model = GBTClassifier(featuresCol="features_", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED).fit(some.where("NOT held").select("features_", "label"))
+    # With this many bins MLlib looks for splits in all rows and no sample of them.
+    bins = max(LARGEST + 1, isqrt(sum(r["rows"] for r in known)) + 1)
+    model = GBTClassifier(featuresCol="features_", labelCol="label", weightCol="n", maxIter=ROUNDS, maxDepth=DEPTH, maxBins=bins, seed=SEED).fit(some.where("NOT held").select("features_", "label", "n"))
     score = vector_to_array("probability")[1]
-    steps = model.transform(some.where("held")).groupBy(F.floor(score * 100).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
+    steps = model.transform(some.where("held")).groupBy(F.floor(score * 100).alias("score")).agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits"))
     right = total = 0.0
     threshold = None
     for r in sorted(steps.collect(), key=lambda r: -r["score"]):
@@ -212,9 +245,9 @@ def _kind() -> Column:
     return F.when(F.col("kind") != "token", F.col("kind")).otherwise(token)
 
 
-def _extra(found: DataFrame, plants: DataFrame, sample: int, precision: float) -> DataFrame | None:
+def _extra(found: DataFrame, plants: DataFrame, precision: float) -> DataFrame | None:
     """Proposals beyond the base spans that the trees take, none of which overlap; None if nothing can be learned."""
-    learned = _learn(found, plants, sample, precision)
+    learned = _learn(found, plants, precision)
     if learned is None:
         return None
     score, threshold = learned
@@ -223,12 +256,11 @@ def _extra(found: DataFrame, plants: DataFrame, sample: int, precision: float) -
     return disjoint(taken)
 
 
-def held_out(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def held_out(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
     """(kind, label, n, taken): planted spans of the held-out documents, and how many the operator takes or, of look-alikes, touches."""
     rows = stored(placed(docs).select("at", F.col("row_").getField(text).alias("text")))
-    plants = stored(planted(rows))
-    test = plants.where("held")
-    learned = _learn(stored(candidates(rows)), plants, sample, precision)
+    test = stored(planted(rows, len(forms(F.lit("")))).where("held"))
+    learned = _learn(stored(candidates(rows)), planted(rows), precision)
     if learned is None:
         return test.groupBy("kind", "label").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("taken"))
     score, threshold = learned
@@ -253,20 +285,20 @@ def disjoint(taken: DataFrame) -> DataFrame:
     return sets.select("at", F.explode(F.aggregate("s", F.slice("s", 1, 0), keep)).alias("x")).select("at", "x.kind", "x.start", "x.end")
 
 
-def find(docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
     """Every document with ``base`` and ``spans``, arrays of (kind, start, end) by kind and start, end exclusive.
 
     ``base`` are the spans of the exact patterns that pass their checks; ``spans`` adds what the trees
-    take. The trees are fitted on at most ``sample`` checked proposals, the first by hash, and on spans
-    planted into words of ``PLANTED`` documents; every other proposal is scored. A null or empty text
+    take. The trees and their threshold are learned from all checked proposals and from spans
+    planted into words of each document; every other proposal is scored. A null or empty text
     has no spans; repeated rows get the same spans; an empty table gives no rows; input columns with a
     computed name are replaced. Rows are numbered once and stored with their number.
     """
     numbered = placed(docs)
     rows = numbered.select("at", F.col("row_").getField(text).alias("text"))
-    found, plants = stored(candidates(rows)), stored(planted(rows))
+    found, plants = stored(candidates(rows)), planted(rows)
     base = found.where("base").select("at", "kind", "start", "end", F.lit(True).alias("base"))
-    extra = _extra(found, plants, sample, precision)
+    extra = _extra(found, plants, precision)
     if extra is not None:
         base = base.unionByName(extra.withColumn("base", F.lit(False)))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))

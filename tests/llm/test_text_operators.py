@@ -244,6 +244,21 @@ def test_personal_data_recall_on_held_out_plants(spark):
     assert {r["kind"] for r in out if r["label"]} == set(pii.KINDS)
 
 
+def test_personal_data_learns_from_every_document(spark):
+    """Every checked proposal and a plant of every document are examples, however many there are."""
+    n = 21_000
+    df = spark.range(n).select(F.col("id").alias("at"), F.concat(F.lit("words then 10.0.0."), F.col("id") % 400, F.lit(" and more words")).alias("text"))
+    plants, all_ = pii.planted(df), len(pii.forms(F.col("text")))
+    assert plants.count() == n * pii.PLANTS and plants.groupBy("kind", "label").count().count() == 8
+    assert pii.planted(df.limit(700), all_).count() == 700 * all_
+    found = stored(pii.candidates(df))
+    alone = dict(map(tuple, pii.examples(found, plants.limit(0)).groupBy("label").agg(F.sum("n")).collect()))
+    fine = sum(i % 400 <= 255 for i in range(n))
+    assert alone[1.0] == fine and alone[0.0] >= n - fine
+    both = dict(map(tuple, pii.examples(found, plants.where("label = 1")).groupBy("label").agg(F.sum("n")).collect()))
+    assert both == {1.0: fine + plants.where("label = 1").count(), 0.0: alone[0.0]}
+
+
 def test_personal_data_overlaps(spark):
     """A span that was dropped for an overlap drops no other."""
     rows = [(1, "a", 0, 10), (1, "b", 5, 15), (1, "c", 12, 20), (1, "d", 19, 25), (1, "e", 20, 22), (1, "f", 30, 31), (2, "a", 3, 4), (2, "b", 3, 9), (2, "c", 9, 12), (3, "a", 1, 2)]
