@@ -99,17 +99,21 @@ def valid(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lit(True)).when(kind == "ip", small).when(kind == "card", card).otherwise(n.between(9, 15))
 
 
+def proposed(text: Column, patterns: dict[str, str]) -> Column:
+    """Spans of all patterns; one whose signs (``@``, ``.``, ``+``, ``:``) the text lacks is not tried."""
+    has = lambda c: F.contains(text, F.lit(c))
+    needs = {BASE["email"]: has("@"), WIDE["email"]: has("@") | text.rlike("[(\\[]at[)\\]]"), BASE["ip"]: has("."), WIDE["ip"]: has(":"), BASE["phone"]: has("+")}
+    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>)")
+    return F.concat(*[F.when(needs.get(p, text.rlike("[0-9]")), spans(text, p, k)).otherwise(none) for k, p in patterns.items()])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """A row per proposed span of documents (at, text): base matches that pass their check have ``base``."""
     clean = F.translate(F.coalesce(docs["text"], F.lit("")), OPEN + CLOSE, PLAIN + PLAIN)
     rows = docs.select("at", clean.alias("text"))
-    rows = rows.withColumn("digits", F.col("text").rlike("[0-9]")).withColumn("ats", F.contains("text", F.lit("@")) | F.col("text").rlike("[(\\[]at[)\\]]"))
-    rows = rows.where("digits OR ats")
-    needs = {"email": F.col("ats")}
-    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>)")
-    held = lambda kind, pattern: F.when(needs.get(kind, F.col("digits")), spans(F.col("text"), pattern, kind)).otherwise(none)
-    base = rows.select("at", F.lit(True).alias("exact"), F.explode(F.concat(*[held(k, BASE[k]) for k in KINDS])).alias("s"))
-    wide = rows.select("at", F.lit(False).alias("exact"), F.explode(F.concat(*[held(k, p) for k, p in WIDE.items()])).alias("s"))
+    rows = rows.where(F.col("text").rlike("[0-9]") | F.contains("text", F.lit("@")) | F.col("text").rlike("[(\\[]at[)\\]]"))
+    base = rows.select("at", F.lit(True).alias("exact"), F.explode(proposed(F.col("text"), BASE)).alias("s"))
+    wide = rows.select("at", F.lit(False).alias("exact"), F.explode(proposed(F.col("text"), WIDE)).alias("s"))
     df = base.unionByName(wide).select("at", "exact", "s.*")
     return df.withColumn("base", F.col("exact") & valid(F.col("kind"), F.col("value")))
 
@@ -199,7 +203,7 @@ def examples(found: DataFrame, plants: DataFrame) -> DataFrame:
     failed = failed.join(base.alias("b"), _meets("f", "b"), "left_anti")
     own = base.withColumn("label", F.lit(1.0)).unionByName(failed.withColumn("label", F.lit(0.0))).withColumn("held", _held())
     # Proposals of one planted text are gathered in its row, so no plant is shuffled.
-    all_ = F.array_distinct(F.concat(*[spans(F.col("text"), p, k) for patterns in (BASE, WIDE) for k, p in patterns.items()]))
+    all_ = F.array_distinct(F.concat(proposed(F.col("text"), BASE), proposed(F.col("text"), WIDE)))
     meets = lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"])
     whole = lambda x: (x["start"] == F.col("start")) & (x["end"] == F.col("end")) & (x["kind"] == F.col("kind"))
     hits = plants.select("label", "held", F.explode(F.filter(all_, lambda x: meets(x) & (whole(x) | (F.col("label") == 0)))).alias("s"))
