@@ -2,7 +2,7 @@
 
 Level by level (words, pairs, longer runs) every text gives hashes of those n-grams whose parts are
 still in question. They are dealt out by hash partition; each task keeps a mergeable summary of the hashes it
-is dealt, which can only lose n-grams below the threshold. What survives is counted in a last pass as text.
+is dealt, which can only lose n-grams below the threshold. What survives is counted in a last pass as text, by a few tasks per core.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from demandloom.llm.columns import stored
 from demandloom.llm.shingles import BASE, _mix, _powers, pieces
 
 MOST_WORDS, LEAST, TOP, PERCENT = 5, 100, 2000, 100
-BLOCK_ROWS, BLOCK_BYTES, FLUSH, HELD = 4096, 1 << 20, 1 << 20, 1 << 18
+BLOCK_ROWS, BLOCK_BYTES, FLUSH, HELD, GIVEN = 4096, 1 << 20, 1 << 20, 1 << 19, 1 << 16
+TASKS_PER_CORE = 2
 FILTER_BITS = 1 << 24
 # Summaries know an n-gram by 44 bits of its hash: 12 name its hash partition, 32 its place there. Equal ones only add up, so none is lost.
 PARTITION_BITS, KEY_BITS = 12, 32
@@ -210,36 +211,59 @@ def surviving(rows: DataFrame, sizes: list[int], filters: list, least: int) -> n
     return table.view(np.uint64)
 
 
-def exact_counts(rows: DataFrame, filters: list, most_words: int) -> DataFrame:
-    """(lang, size, phrase, n) of every n-gram that passes the filters, counted as text."""
+class Held:
+    """Counts of n-grams by hash; the text of each is kept once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = [f.value for f in filters], {}
+    NAMES = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string())])
+
+    def __init__(self):
+        self.keys, self.counts, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.names: list[pa.RecordBatch] = []
 
-        def counted(up_to: int) -> pa.RecordBatch:
-            """The held n-grams found ``up_to`` times or less, which are held no longer."""
-            given = [k for k, own in held.items() if own[3] <= up_to]
-            columns = list(zip(*map(held.pop, given), strict=True)) or [[]] * 4
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "size", "phrase", "n"])
+    def add(self, block: Block, n: int, first: np.ndarray, hashes: np.ndarray) -> None:
+        keys, at, times = np.unique(hashes, return_index=True, return_counts=True)
+        place = np.searchsorted(self.keys, keys)
+        old = np.r_[self.keys, np.uint64(0)][place] == keys
+        old &= place < len(self.keys)
+        self.counts[place[old]] += times[old]
+        at = first[at[~old]].tolist()
+        if not at:
+            return
+        columns = [[block.names[block.lang[i]] for i in at], [n] * len(at), [block.phrase(i, n) for i in at]]
+        self.names.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.NAMES.types, strict=True)], schema=self.NAMES))
+        slots = np.arange(len(self.keys), len(self.keys) + len(at))
+        self.keys, self.counts, self.slots = (np.insert(x, place[~old], y) for x, y in ((self.keys, keys[~old]), (self.counts, times[~old]), (self.slots, slots)))
 
+    def taken(self, up_to: int) -> Iterator[pa.RecordBatch]:
+        """The n-grams found ``up_to`` times or less, which are held no longer."""
+        out, names = self.counts <= up_to, pa.Table.from_batches(self.names, self.NAMES).combine_chunks()
+        given = names.take(pa.array(self.slots[out])).append_column("n", pa.array(self.counts[out]))
+        self.names = names.take(pa.array(self.slots[~out])).to_batches()
+        self.keys, self.counts, self.slots = self.keys[~out], self.counts[~out], np.arange(int((~out).sum()))
+        yield from given.to_batches(max_chunksize=GIVEN)
+
+
+def exact_counts(rows: DataFrame, filters: list, most_words: int) -> DataFrame:
+    """(lang, size, phrase, n) of every n-gram that passes the filters, counted as text.
+
+    Each task gives out each n-gram it holds once, and a frequent one is found nearly everywhere. So there
+    are a few tasks per core, however many parts the input has: a task per part would give rows that
+    grow with the parts times the n-grams, and both grow with the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = [f.value for f in filters], Held()
         for block in blocks(batches):
             for n in range(1, most_words + 1):
                 first, hashes = open_grams(block, n, known)
                 good = passes(hashes, known[min(n, 3) - 1])
-                keys, at, times = np.unique(hashes[good], return_index=True, return_counts=True)
-                at = first[good][at]
-                for key, i, k in zip(keys.tolist(), at.tolist(), times.tolist(), strict=True):
-                    own = held.get(key)
-                    if own is None:
-                        held[key] = [block.names[block.lang[i]], n, block.phrase(i, n), k]
-                    else:
-                        own[3] += k
-            if len(held) > HELD:  # frequent ones stay, so that each task gives them out once
-                yield counted(sorted(own[3] for own in held.values())[len(held) // 2])
-        yield counted(max((own[3] for own in held.values()), default=0))
-
-    parts = rows.mapInArrow(count, "lang string, size int, phrase string, n bigint")
+                held.add(block, n, first[good], hashes[good])
+            if len(held.keys) > HELD:  # frequent ones stay, so that each task gives them out once
+                yield from held.taken(int(np.median(held.counts)))
+        yield from held.taken(int(held.counts.max(initial=0)))
+
+    few = rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(count, "lang string, size int, phrase string, n bigint")
     return parts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 

@@ -221,6 +221,38 @@ def test_summaries_lose_nothing_frequent(parts, least):
     assert {k for k, n in true.items() if n >= least} <= set(halves[0].survivors().tolist())
 
 
+def test_counted_rows_do_not_grow_with_the_parts_of_the_input(spark, monkeypatch):
+    """A phrase found in every part of the input is given out a few times per core, not once per part."""
+    words = [f"w{i}" for i in range(30)]
+    rows = spark.createDataFrame([(" ".join(words), "en")] * 800, "text string, lang string")
+    everything = spark.sparkContext.broadcast(np.full(collocation.FILTER_BITS // 64, 2**64 - 1, np.uint64))
+    plain, seen = type(rows).mapInArrow, []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **b: seen.append(plain(self, *a, **b)) or seen[-1])
+    totals = collocation.exact_counts(rows.repartition(20 * spark.sparkContext.defaultParallelism), [everything] * 3, 2)
+    assert {tuple(r) for r in totals.collect()} == {("en", n, " ".join(words[i : i + n]), 800) for n in (1, 2) for i in range(31 - n)}
+    assert seen[0].count() <= 2 * spark.sparkContext.defaultParallelism * 59
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.text(alphabet="ab ,\t", max_size=12), min_size=1, max_size=4), st.integers(-1, 4)), min_size=1, max_size=6))
+def test_held_counts_are_given_out_whole(groups):
+    """Whatever is given out on the way, the counts of a phrase add up."""
+    held, got, true, batches = collocation.Held(), Counter(), Counter(), []
+    for texts, up_to in groups:
+        block = collocation.Block(texts, ["en", None][: len(texts)] + ["en"] * (len(texts) - 2), {})
+        for n in (1, 2):
+            first, hashes = block.grams(n)
+            true.update((block.names[block.lang[i]], n, block.phrase(i, n)) for i in first)
+            held.add(block, n, first, hashes)
+        batches += held.taken(up_to)
+        assert (held.counts > up_to).all()
+    batches += held.taken(int(held.counts.max(initial=0)))
+    for b in batches:
+        for r in b.to_pylist():
+            got[r["lang"], r["size"], r["phrase"]] += r["n"]
+    assert got == true and not len(held.keys)
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     text = "one two, three four five. " * 50 + "six " * 100 + "; seven eight"
     batch = pa.RecordBatch.from_pydict({"text": [text], "lang": ["en"]})
