@@ -12,6 +12,7 @@ from demandloom.session import cut_lineage
 
 WINDOW, COVERAGE, LITERALS, SENT_ROWS = 5, 0.8, 3, 500_000
 LEAST_TOKENS, LEAST_BITS, MOST_BITS, SENT_BYTES = 2, 1 << 12, 1 << 24, 64 << 20
+BLOCK = 128
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs day days week weeks month months year years "
     "hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams liter liters "
@@ -53,13 +54,14 @@ def _is_number(t: Column) -> Column:
     return (t >= "0") & (t < ":")
 
 
-def template(words: Column) -> Column:
-    """Numbers, units after a number and names become placeholders; the rest is lower-cased."""
+def template(words: Column, low: Column | None = None) -> Column:
+    """Numbers, units after a number and names become placeholders; the rest is lower-cased, or read from ``low``, the ``plain`` words."""
     after_number = lambda i: (i > 0) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False))
 
     def one(t: Column, i: Column) -> Column:
-        out = F.when(_is_number(t), F.lit(NUMBER)).when(after_number(i) & F.lower(t).isin(UNITS), F.lit(UNIT))
-        return out.when(F.startswith(t, F.lit(NAME)), F.lit(NAME)).otherwise(F.lower(t))
+        lower = F.lower(t) if low is None else low[i]
+        out = F.when(_is_number(t), F.lit(NUMBER)).when(F.startswith(t, F.lit(NAME)), F.lit(NAME))
+        return out.when(lower.isin(UNITS) & after_number(i), F.lit(UNIT)).otherwise(lower)
 
     return F.transform(words, one)
 
@@ -129,21 +131,39 @@ def bit_table(known: DataFrame) -> tuple[Column, int]:
     It grows with the benchmark up to ``MOST_BITS``; beyond that more windows pass it and are left to the join.
     """
     bits = LEAST_BITS
-    while bits < min(MOST_BITS, 16 * known.count()):
+    while bits < min(MOST_BITS, 64 * known.count()):
         bits *= 2
     place = F.col("hash").bitwiseAND(bits - 1)
     filled = known.select(F.shiftright(place, 6).cast("int").alias("word"), place.bitwiseAND(63).cast("int").alias("bit")).distinct()
     filled = filled.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    pairs = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
-    table = filled.agg(pairs.alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(bits // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("t"))
+    # Every word has a row, so the table is a sorted list; looking words up in a map would take the square of their number.
+    words = known.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(filled, "word", "left")
+    listed = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    table = words.agg(listed.alias("words")).select(F.transform("words", lambda x: x["bits"]).alias("t"))
     return cut_lineage(table).scalar(), bits
 
 
+def blocks(words: Column, least: int, width: int = WINDOW) -> Column:
+    """(base, lead, words) of each run of ``BLOCK`` places where a run of ``least`` tokens can begin; none for no tokens.
+
+    A block goes on for ``width`` - 1 more tokens, and all but the first have the token before them (``lead``
+    1), so runs and placeholders are read as in the whole text.
+    """
+
+    def one(ws: Column, i: Column) -> Column:
+        lead = F.when(i > 0, F.lit(1)).otherwise(F.lit(0))
+        return F.struct(i.alias("base"), lead.alias("lead"), F.slice(ws, i - lead + 1, lead + (BLOCK + width - 1)).alias("words"))
+
+    starts = lambda ws: F.sequence(F.lit(0), F.greatest(F.size(ws) - least, F.lit(0)), F.lit(BLOCK))
+    return let(words, lambda ws: F.when(F.size(ws) > 0, F.transform(starts(ws), lambda i: one(ws, i))))
+
+
 def met_windows(docs: DataFrame, text: str, known: DataFrame, width: int = WINDOW) -> DataFrame:
     """(at, hash, pos, slots) of those ``windows`` whose hash has its bit in the table of the known ones.
 
-    Hashes of all windows in both readings come first; slots are read only for windows that hit. A
-    window that meets one of an item has the item's template, so its real words need no count of their own.
+    Texts are read in ``blocks``, so what is kept beside a window does not grow with its text. Hashes of all
+    windows in both readings come first; slots are read only for windows that hit. A window that meets one
+    of an item has the item's template, so its real words need no count of their own.
     """
     table, bits = bit_table(known)
     hit = lambda h: F.getbit(table[F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")], h.bitwiseAND(63).cast("int")) == 1
@@ -155,21 +175,25 @@ def met_windows(docs: DataFrame, text: str, known: DataFrame, width: int = WINDO
     def read(low: Column, ts: Column) -> Column:
         masked = F.transform(ts, lambda x: F.xxhash64(x))
         stand = lambda hm: F.transform(ts, lambda x, i: F.when(x == NAME, F.xxhash64(low[i])).otherwise(hm[i]))
-        return let(masked, lambda hm: F.struct(ts.alias("ts"), low.alias("low"), hashes(hm).alias("masked"), let(stand(hm), hashes).alias("stand")))
+        both = lambda hm, m: F.struct(ts.alias("ts"), low.alias("low"), m.alias("masked"), F.when(F.array_contains(ts, NAME), let(stand(hm), hashes)).otherwise(m).alias("stand"))
+        return let(masked, lambda hm: let(hashes(hm), lambda m: both(hm, m)))
 
     def slots(kinds: list[str]) -> Column:
         part = F.slice("d.ts", F.col("pos") + 1, width)
         values = F.transform(part, lambda x, k: F.when(x.isin(kinds), F.col("d.low")[F.col("pos") + k]).otherwise(F.lit("")))
         return F.when(F.exists(part, lambda x: x.isin(kinds)), F.array_join(values, GAP))
 
-    words = tokens(docs[text])
-    rows = docs.select("at", let(words, lambda ws: let(plain(ws), lambda low: let(template(ws), lambda ts: read(low, ts)))).alias("d"))
-    rows = rows.select("at", "d", F.posexplode("d.masked").alias("pos", "m")).withColumn("s", F.col("d.stand")[F.col("pos")])
-    rows = rows.where(hit(F.col("m")) | hit(F.col("s")))
+    rows = docs.select("at", F.explode(blocks(tokens(docs[text]), width, width)).alias("b"))
+    own = lambda words: F.slice(words, F.col("b.lead") + 1, BLOCK + width)
+    both = lambda low: let(own(template(F.col("b.words"), low)), lambda ts: let(own(low), lambda lw: read(lw, ts)))
+    rows = rows.select("at", F.col("b.base").alias("base"), let(plain(F.col("b.words")), both).alias("d"))
+    rows = rows.select("at", "base", "d", F.posexplode("d.masked").alias("pos", "m")).withColumn("s", F.col("d.stand")[F.col("pos")])
+    rows = rows.withColumn("met_m", hit(F.col("m"))).withColumn("met_s", (F.col("s") != F.col("m")) & hit(F.col("s"))).where("met_m OR met_s")
     # Both readings of a window without names are one.
-    one = lambda h, kinds: F.struct(F.col(h).alias("hash"), slots(kinds).alias("slots"))
-    both = F.array(one("m", [NUMBER, UNIT, NAME]), F.when(F.col("s") != F.col("m"), one("s", [NUMBER, UNIT])))
-    return rows.select("at", "pos", F.explode(F.array_compact(both)).alias("w")).select("at", "w.hash", "pos", "w.slots")
+    one = lambda h, kinds: F.when(F.col(f"met_{h}"), F.struct(F.col(h).alias("hash"), slots(kinds).alias("slots")))
+    both = F.array(one("m", [NUMBER, UNIT, NAME]), one("s", [NUMBER, UNIT]))
+    rows = rows.select("at", "base", "pos", F.explode(F.array_compact(both)).alias("w"))
+    return rows.select("at", "w.hash", (F.col("base") + F.col("pos")).alias("pos"), "w.slots")
 
 
 def sent(known: DataFrame) -> DataFrame:
@@ -188,11 +212,12 @@ def item_windows(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
     return join_null_safe(rows, sizes, ["item", "mark"])
 
 
-def runs(words: Column, n: Column) -> Column:
-    """(n, hash, place) of each run of ``n`` tokens as they stand, numbers and units too."""
+def runs(words: Column, n: Column, most: int | None = None) -> Column:
+    """(n, hash, place) of each run of ``n`` tokens as they stand, numbers and units too; those at the first ``most`` places."""
 
     def of(low: Column) -> Column:
-        starts = F.slice(low, 1, F.greatest(F.size(low) - (n - 1), F.lit(0)))
+        places = F.greatest(F.size(low) - (n - 1), F.lit(0))
+        starts = F.slice(low, 1, places if most is None else F.least(places, F.lit(most)))
         return F.transform(starts, lambda _, i: F.struct(n.alias("n"), F.xxhash64(F.slice(low, i + 1, n)).alias("hash"), i.alias("pos")))
 
     return let(plain(words), of)
@@ -220,8 +245,10 @@ def exact_leaks(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
     if not lengths:
         return None
-    found = docs.select("at", F.explode(let(tokens(docs[text]), lambda ws: F.concat(*[runs(ws, F.lit(k)) for k in lengths]))).alias("r"))
-    hits = found.select("at", "r.n", "r.hash", F.col("r.pos").alias("p")).join(sent(known), ["n", "hash"])
+    found = docs.select("at", F.explode(blocks(tokens(docs[text]), 1)).alias("b"))
+    own = F.slice("b.words", F.col("b.lead") + 1, BLOCK + WINDOW)
+    found = found.select("at", "b.base", F.explode(let(own, lambda ws: F.concat(*[runs(ws, F.lit(k), BLOCK) for k in lengths]))).alias("r"))
+    hits = found.select("at", "r.n", "r.hash", (F.col("base") + F.col("r.pos")).alias("p")).join(sent(known), ["n", "hash"])
     shift = F.when(F.col("places") > 1, F.col("p") - F.col("q")).otherwise(F.lit(0)).alias("shift")
     met = hits.select("at", "item", "mark", shift, "q", "places").distinct().groupBy("at", "item", "mark", "shift").agg(F.count("*").alias("met"), F.max("places").alias("places"))
     return met.where("met = places").select("at", "item")
